@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cladeframe.llm import exact_dedup
+from cladeframe.llm import bpe, exact_dedup, simple8b
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_simple8b": simple8b.op3_simple8b,
+    "op6_bpe": bpe.op6_bpe,
 }
 
 ORACLES = {
