@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from cladeframe.llm import bpe, exact_dedup, simple8b
+from cladeframe.llm import bpe, exact_dedup, quality, simple8b
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_simple8b": simple8b.op3_simple8b,
     "op6_bpe": bpe.op6_bpe,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op10_quality_rules": quality.ORACLE,
 }
