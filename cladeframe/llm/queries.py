@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from cladeframe.llm import bpe, exact_dedup, quality, simple8b
+from cladeframe.llm import bpe, chat, exact_dedup, quality, simple8b, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_simple8b": simple8b.op3_simple8b,
     "op6_bpe": bpe.op6_bpe,
+    "op7_warc": warc.op7_warc,
+    "op9_chat": chat.op9_chat,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op7_warc": warc.ORACLE,
+    "op9_chat": chat.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }
