@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cladeframe.llm import bpe, chat, exact_dedup, quality, simple8b, warc
+from cladeframe.llm import bpe, chat, exact_dedup, quality, simple8b, substring, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_simple8b": simple8b.op3_simple8b,
+    "op4_substring": substring.op4_substring,
     "op6_bpe": bpe.op6_bpe,
     "op7_warc": warc.op7_warc,
     "op9_chat": chat.op9_chat,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op4_substring": substring.ORACLE,
     "op7_warc": warc.ORACLE,
     "op9_chat": chat.ORACLE,
     "op10_quality_rules": quality.ORACLE,
