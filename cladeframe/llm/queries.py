@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cladeframe.llm import bpe, chat, exact_dedup, quality, simple8b, substring, warc
+from cladeframe.llm import bpe, chat, exact_dedup, line_dedup, minhash_dedup, quality, simple8b, substring, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_simple8b": simple8b.op3_simple8b,
     "op4_substring": substring.op4_substring,
+    "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op7_warc": warc.op7_warc,
     "op9_chat": chat.op9_chat,
