@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cladeframe.llm import bpe, chat, exact_dedup, line_dedup, minhash_dedup, quality, simple8b, substring, warc
+from cladeframe.llm import bpe, chat, exact_dedup, line_dedup, minhash_dedup, packing, quality, simple8b, substring, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op7_warc": warc.op7_warc,
+    "op8_best_fit": packing.op8_best_fit,
     "op9_chat": chat.op9_chat,
     "op10_quality_rules": quality.op10_quality_rules,
 }
@@ -20,6 +21,7 @@ ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op4_substring": substring.ORACLE,
     "op7_warc": warc.ORACLE,
+    "op8_best_fit": packing.op8_best_fit,
     "op9_chat": chat.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }
