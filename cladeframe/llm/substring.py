@@ -37,7 +37,7 @@ ALIGNED, SETTLED = 1, 2
 FLUSH = 1 << 20
 FLUSH_BYTES = 6 << 20
 #: Words for which there is a bucket.
-BUCKET_WORDS = 1 << 20
+BUCKET_WORDS = 1 << 19
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -297,7 +297,7 @@ def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> Da
     workspace.bounded_batches(spark)
     own = docs.select(F.col("__key").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(16, 2 * workspace.shuffle_width(spark), size // 6 // BUCKET_WORDS)
+    n = max(16, size // 6 // BUCKET_WORDS)
     probes = own.mapInArrow(lambda b: probe(n, window, b), blobs.SCHEMA)
     hits = _exchange(probes).mapInArrow(lambda s: meet(n, True, s), blobs.SCHEMA)
     texts = own.mapInArrow(lambda b: ship(n, b), blobs.SCHEMA)
