@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,13 @@ from cladeframe.llm import textkernels as tk
 from cladeframe.llm import workspace
 
 
+TABLE_BITS = 20
+#: Fragments given to the library at a time.
+LEARN = 2048
+#: Masks of the first n of eight bytes.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -53,7 +62,8 @@ def white_space_ends(raw: np.ndarray) -> np.ndarray:
 class Codec:
     """Encoder and decoder of one vocabulary. ``memo`` bounds the number of remembered fragments."""
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would each keep memory
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -80,7 +90,11 @@ class Codec:
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
-        self.at = [0]
+        self.at = np.zeros(1 << 16, np.int64)  # fragment i has flat[at[i] : at[i + 1]]
+        # a direct-mapped table before the memo: fragments of up to 15 bytes, whole, with their length on top
+        self.table_low = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.table_high = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.table_index = np.zeros(1 << TABLE_BITS, np.int32)
 
     def cuts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where fragments begin, with the end of the buffer last."""
@@ -97,35 +111,46 @@ class Codec:
         return np.flatnonzero(cut)
 
     def _learn(self, missing: list[bytes]) -> None:
-        if len(self.known) + len(missing) > self.limit:
-            self._forget()
-        found = self.library.encode_batch_fast([m.decode("utf-8") for m in missing], add_special_tokens=False)
-        ids = [np.array(e.ids, np.int32) for e in found]
-        top = self.at[-1] + sum(map(len, ids))
-        while top > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        for m, x in zip(missing, ids, strict=True):
-            self.known[m] = len(self.at) - 1
-            self.flat[self.at[-1] : self.at[-1] + len(x)] = x
-            self.at.append(self.at[-1] + len(x))
+        ids = []
+        for at in range(0, len(missing), LEARN):
+            texts = [m.decode("utf-8") for m in missing[at : at + LEARN]]
+            ids += [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        have, n = len(self.known), len(ids)
+        if have + n + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), n + 1), np.int64)])
+        self.at[have + 1 : have + n + 1] = self.at[have] + np.cumsum(np.fromiter(map(len, ids), np.int64, n))
+        low, high = int(self.at[have]), int(self.at[have + n])
+        if high > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), high), np.int32)])
+        self.flat[low:high] = np.fromiter(chain.from_iterable(ids), np.int32, high - low)
+        self.known.update(zip(missing, range(have, have + n), strict=True))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and their n+1 offsets."""
         edges = self.cuts(raw, offsets)
-        data, ends = raw.tobytes(), edges.tolist()
-        parts = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        if not parts:
+        if len(edges) < 2:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        if len(self.known) > self.limit:
+            self._forget()
+        start, size = edges[:-1], np.diff(edges)
+        padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+        eight = np.ndarray((len(raw) + 8,), "<u8", padded, 0, (1,))
+        low = eight[start] & FIRST[np.minimum(size, 8)]
+        high = (eight[start + 8] & FIRST[np.clip(size - 8, 0, 7)]) | (size.astype(np.uint64) << np.uint64(56))
+        slot = ((low ^ (high * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
+        index = self.table_index[slot].astype(np.int64)
+        rest = np.flatnonzero((size > 15) | (self.table_low[slot] != low) | (self.table_high[slot] != high))
+        data = raw.tobytes()
+        parts = [data[a:b] for a, b in zip(start[rest].tolist(), edges[1:][rest].tolist(), strict=True)]
         if missing := [p for p in set(parts) if p not in self.known]:
-            if len(self.known) + len(missing) > self.limit:
-                self._forget()
-                missing = list(set(parts))
             self._learn(missing)
-        index = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-        at = np.array(self.at)
-        size = at[index + 1] - at[index]
-        before = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(at[index] - before[:-1], size) + np.arange(before[-1])]
+        index[rest] = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        new = rest[size[rest] <= 15]
+        self.table_low[slot[new]], self.table_high[slot[new]], self.table_index[slot[new]] = low[new], high[new], index[new]
+        first = self.at[index]
+        length = self.at[index + 1] - first
+        before = np.concatenate([[0], np.cumsum(length)])
+        ids = self.flat[np.repeat(first - before[:-1], length) + np.arange(before[-1])]
         return ids, before[np.searchsorted(edges, offsets)]
 
     def decode(self, ids: np.ndarray) -> bytes:

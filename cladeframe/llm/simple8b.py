@@ -30,7 +30,7 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 
 BLOCK = 1024
-SHARD_IDS = 1 << 21
+SHARD_IDS = 1 << 19
 MAGIC = b"S8B1"
 _COUNT = np.array([0, *COUNTS, 1], np.int64)
 _U = np.uint64
@@ -178,7 +178,7 @@ def write_ids(docs: DataFrame, out: str, vocabulary: str, end_id: int) -> None:
         .select(F.col("image").cast("string").alias("value"))
         .write.option("compression", "none")
         .option("lineSep", "\n")
-        .option("maxRecordsPerFile", 8)
+        .option("maxRecordsPerFile", 32)
         .text(out)
     )
 
