@@ -48,10 +48,10 @@ def drawn(long: DataFrame, depth: int, seed: int = 42, replicates: int = 1) -> D
         pdf = pdf.sort_values("feature_id")
         n = pdf["n"].to_numpy()
         if n.sum() < depth:
-            return pd.DataFrame({"replicate": [], "sample_id": [], "feature_id": [], "value": []})
+            return pdf.head(0)[["replicate", "sample_id", "feature_id"]].assign(value=0.0)
         mark = [seed, int(key[0]), *key[1].encode()]
         took = np.random.default_rng(mark).multivariate_hypergeometric(n, depth, method="marginals")
-        out = pd.DataFrame({"replicate": key[0], "sample_id": key[1], "feature_id": pdf["feature_id"], "value": took.astype(float)})
+        out = pdf[["replicate", "sample_id", "feature_id"]].assign(value=took.astype(float))
         return out[out["value"] > 0]
 
     return whole.groupBy("replicate", "sample_id").applyInPandas(one, "replicate int, sample_id string, feature_id string, value double")

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cladeframe.session import shared_folder
 
@@ -34,7 +35,7 @@ def drain(stream: DataFrame, name: str, mode: str = "update", each: Callable[[Da
     query.awaitTermination()
     if not schemas:
         return spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0))
-    return spark.read.schema(schemas[0].add("batch", "int")).parquet(f"{base}/out")
+    return spark.read.schema(schemas[0].add("batch", T.IntegerType())).parquet(f"{base}/out")
 
 
 def running_totals(spark: SparkSession, path: str, sample: str, value: str, files_per_batch: int = 1) -> DataFrame:
