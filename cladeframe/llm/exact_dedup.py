@@ -138,11 +138,10 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged. Same rules as :func:`decide`."""
     decisions = workspace.materialise(decide(docs, id_col, text_col), "exact")
-    stay = decisions.filter("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    content = _bytes(text_col)
-    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.sha2(content, 256) == F.col("__digest")))
-    kept = kept.drop("__id")
+    stay = decisions.filter("kept").select(F.col("id").alias("keep_id"), "text_sha256")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.sha2(_bytes(text_col), 256).alias("digest"))
+    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("text_sha256")), "left_semi")
     repeated = decisions.filter(F.col("id").eqNullSafe(F.col("keep_id")) & ~F.col("kept"))
     if not repeated.isEmpty():  # rows repeated with id and text: one of each
-        kept = kept.dropDuplicates(["__digest"])
-    return kept.drop("__digest")
+        kept = kept.dropDuplicates(["digest"])
+    return kept.select("row.*")

@@ -175,9 +175,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows that the rules keep, all columns unchanged."""
-    verdict = judge(docs, id_col, text_col, host_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (_text_hash(F.col(text_col)) == F.col("__text"))
-    return docs.join(verdict, same, "left_semi")
+    verdict = judge(docs, id_col, text_col, host_col).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_text"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), _text_hash(F.col(text_col)).alias("text_hash"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_text"))
+    return rows.join(verdict, same, "left_semi").select("row.*")
 
 
 ORACLE = r"""

@@ -318,14 +318,15 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with the kept words, joined by a space, as the text of rows that lose any; ``chars_col`` follows it."""
-    columns = docs.columns
-    docs, _ = keyed(docs, id_col)
-    changed = workspace.materialise(repeats(docs, text_col).filter("n_removed > 0").select("key", "kept_text"), "repeats")
-    out = docs.join(changed, docs["__key"] == changed["key"], "left")
-    out = out.withColumn(text_col, F.coalesce("kept_text", text_col))
-    if chars_col in columns:
-        out = out.withColumn(chars_col, F.when(F.col("key").isNotNull(), F.char_length(text_col).cast(dict(docs.dtypes)[chars_col])).otherwise(F.col(chars_col)))
-    return out.select(*columns)
+    rows, _ = keyed(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id")), "doc_id")
+    texts = rows.select("__key", F.col("row").getField(text_col).alias("text"))
+    changed = workspace.materialise(repeats(texts).filter("n_removed > 0").select("key", "kept_text"), "repeats")
+    out, new = rows.join(changed, rows["__key"] == changed["key"], "left"), F.col("key").isNotNull()
+    row = F.col("row").withField(text_col, F.when(new, F.col("kept_text")).otherwise(F.col("row").getField(text_col)))
+    if chars_col in docs.columns:
+        count = F.char_length("kept_text").cast(docs.schema[chars_col].dataType)
+        row = row.withField(chars_col, F.when(new, count).otherwise(F.col("row").getField(chars_col)))
+    return out.select(row.alias("row")).select("row.*")
 
 
 ORACLE = r"""
