@@ -66,12 +66,12 @@ def emd_factors(c: Community, leaf_depth: DataFrame, weighted: bool = False) ->
 
 def sketch(
     c: Community, weighted: bool = False, raw_counts: bool = False, sketch: int = 2048, method: str = "dmh", bits: int = 16,
-    portable: bool = False, length: int = 2048, seed: int = 1337,
+    portable: bool = False, length: int = 2048, seed: int = 1337, least: int = 2,
 ) -> DataFrame:
-    """Signatures of all samples that have any branch; fewer than two are an error."""
+    """Signatures of all samples that have any branch; fewer than ``least`` are an error (1 for samples that come singly)."""
     H.validate(method, portable, raw_counts, weighted, length)
     w = materialise(B.branch_weights(masses(c, weighted, raw_counts)), "weights")
-    kept = B.non_empty(c.samples, w)
+    kept = B.non_empty(c.samples, w, least)
     return H.sketches(w, kept, sketch, method, seed, bits, length, None if method == "ers" else portable)
 
 

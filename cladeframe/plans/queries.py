@@ -469,7 +469,14 @@ def o16_neighbour_joining(spark, d):
     return newick.tree_nodes(spark, newick.write(C.neighbour_joining(O.square_array(w, ids), ids))).drop("path")
 
 
-for _f in (o1_pcoa, o1_pcoa_randomized, o4_procrustes, o11_linkage, o12_cophenetic_comparison, o14_robinson_foulds, o16_neighbour_joining):
+def o19_sketch_sweep(spark, d):
+    from cladeframe.plans import sweeps
+
+    c = A.nations(spark, d)
+    return sweeps.summarise(sweeps.sweep(c, E.exact(c, "weighted"), True, sizes=(64, 256), seeds=(1, 2), portable=True))
+
+
+for _f in (o19_sketch_sweep, o1_pcoa, o1_pcoa_randomized, o4_procrustes, o11_linkage, o12_cophenetic_comparison, o14_robinson_foulds, o16_neighbour_joining):
     QUERIES[_f.__name__] = _f
 
 RAREFIED = """e AS (SELECT sample_id, feature_id, unnest(range(1, v::BIGINT + 1)) AS k FROM tab WHERE sample_id IN (SELECT sample_id FROM tab GROUP BY sample_id HAVING sum(v) >= {0})),
