@@ -18,9 +18,12 @@ def totals(long: DataFrame) -> DataFrame:
 
 
 def relative(long: DataFrame) -> DataFrame:
-    """Values divided by their sample's total, in one window; samples without a positive total go."""
-    total = F.sum("value").over(Window.partitionBy("sample_id"))
-    return long.withColumn("total", total).filter("total > 0").select("sample_id", "feature_id", (F.col("value") / F.col("total")).alias("value"))
+    """Values divided by their sample's total; samples without a positive total go.
+
+    Totals are combined on the map side and joined back, so a sample with many rows is not gathered in one task (as it
+    would be by a window), and Spark broadcasts or splits the join by what it finds.
+    """
+    return long.join(totals(long).filter("total > 0"), "sample_id").select("sample_id", "feature_id", (F.col("value") / F.col("total")).alias("value"))
 
 
 def presence(long: DataFrame) -> DataFrame:
