@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: MinHash over character shingles, banding, exact Jaccard, distributed union-find.
 
-Equal lines collapse first. Distinct lines are signed (the Poisson signature with all weights one is plain MinHash),
-banded, verified and closed to components by :mod:`neardup`; of each component the first line (by document id, then
+Equal lines collapse first. Distinct lines are signed (short ones by the Poisson signature, which with all weights one
+is plain MinHash; long ones by the cheaper MinHash of one permutation), banded, verified and closed to components by :mod:`neardup`; of each component the first line (by document id, then
 line number) stays in place and all others go.
 """
 
@@ -15,12 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import neardup, workspace
+from cladeframe.llm import neardup, poisson, workspace
 from cladeframe.llm import textkernels as tk
-from cladeframe.llm.minhash_dedup import distinct, sign, verifier
+from cladeframe.llm.minhash_dedup import ROWS, Verifier, distinct, poisson_bands, sign
 from cladeframe.llm.substring import keyed
 
 SHINGLE = 8
+SLOTS = 64
+#: Shingles from which a line is long: its bins are then nearly all full.
+LONG = 192
 
 
 def char_shingles(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -39,11 +42,46 @@ def char_shingles(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tup
     return tk.mix((total[stop] - total[start[at]]) * tk._powers(base, True, n)[start[at]]), line[at]
 
 
-def sign_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in tk.chunks(batch, "text", tk.CHUNK_BYTES // 2):
-            elements, weights, bag = distinct(*char_shingles(*tk.buffer(part.column("text"))), whole=False)
-            yield sign(part.column("key"), elements, np.ones_like(weights), bag)
+def binned(elements: np.ndarray, bag: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
+    """MinHash by one permutation dealt to bins; an empty bin takes the value of the first full one in an order of its own."""
+    h = tk.mix(elements ^ tk.salt(77))
+    at = bag * slots + (h % np.uint64(slots)).astype(np.int64)
+    low = np.full(n * slots, np.uint64(0xFFFFFFFFFFFFFFFF))
+    np.minimum.at(low, at, h)
+    full = np.zeros(n * slots, bool)
+    full[at] = True
+    empty, turn = np.flatnonzero(~full), 0
+    source = np.arange(n * slots)
+    while len(empty):
+        draw = tk.mix((empty % slots).astype(np.uint64) + tk.salt(turn)) % np.uint64(slots)
+        source[empty] = empty // slots * slots + draw.astype(np.int64)
+        empty, turn = empty[~full[source[empty]]], turn + 1
+    return low[source].reshape(n, slots)
+
+
+def line_bands(elements: np.ndarray, bag: np.ndarray, edges: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Poisson bands for short lines and bins for long ones; lines near the limit get both, so similar lines share a kind."""
+    size = np.diff(edges)
+    out = []
+    for short in (True, False):
+        own = np.flatnonzero((size > 0) & (size * neardup.SIMILAR[0] <= LONG * neardup.SIMILAR[1] if short else size >= LONG))
+        if not len(own):
+            continue
+        name = np.full(len(size), -1)
+        name[own] = np.arange(len(own))
+        mine = name[bag] >= 0
+        e, b = elements[mine], name[bag[mine]]
+        if short:
+            out.append((own, poisson_bands(e, np.ones(len(e), np.int64), b, np.searchsorted(b, np.arange(len(own) + 1)), SLOTS)))
+        else:
+            out.append((own, poisson.bands(binned(e, b, len(own)), ROWS)))
+    return out or [(np.zeros(0, np.int64), np.zeros((0, SLOTS // ROWS), np.int64))]
+
+
+def sign_batch(batch: pa.RecordBatch) -> Iterator[neardup.Signed]:
+    for part in tk.chunks(batch, "text", tk.CHUNK_BYTES // 2):
+        elements, weights, bag = distinct(*char_shingles(*tk.buffer(part.column("text"))), whole=False)
+        yield sign(part.column("key").to_numpy(), elements, np.ones_like(weights), bag, line_bands)
 
 
 def _lines(docs: DataFrame, text_col: str) -> DataFrame:
@@ -82,8 +120,8 @@ def removed_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
         unique.select(F.monotonically_increasing_id().alias("key"), F.col("line").alias("text"), "first", "n"), "lines"
     )
     texts = unique.select("key", "text")
-    signed = workspace.materialise(texts.mapInArrow(sign_rows, neardup.SIGNED), "signed")
-    found = workspace.materialise(neardup.classes(signed, verifier(texts, char_shingles, as_sets=True)), "near")
+    signed = neardup.banded(texts, sign_batch, SLOTS // ROWS)
+    found = workspace.materialise(neardup.classes(*signed, Verifier(texts, char_shingles, as_sets=True)), "near")
     # lines that have copies, near or exact, and what stays for them
     stay = unique.select("key", "first", "n").join(found, "key").groupBy("class").agg(F.min("first").alias("stay"), F.sum("n").alias("all"))
     stay = workspace.materialise(stay.filter("all > 1"), "stay")
@@ -103,7 +141,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Dat
     own = docs.select(F.col("__key").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     per_doc = gone.groupBy("key").agg(F.collect_list("pos").alias("gone"))
     rows = own.join(per_doc, "key", "left").select("key", "text", "gone")
-    return rows.mapInArrow(cut_rows, "key long, n_lines long, n_removed long, kept_sha256 string, kept_text string"), gone
+    return workspace.arrow_map(rows, cut_rows, "key long, n_lines long, n_removed long, kept_sha256 string, kept_text string"), gone
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

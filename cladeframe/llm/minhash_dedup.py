@@ -14,10 +14,8 @@ from cladeframe.llm import textkernels as tk
 from cladeframe.llm.substring import keyed
 
 SHINGLE = 5
-SLOTS, ROWS = 64, 4
-
-SIGNED = pa.schema([("key", pa.int64()), ("size", pa.int64()), ("bag1", pa.int64()), ("bag2", pa.int64()), ("bands", pa.list_(pa.int64()))])
-
+SLOTS, ROWS = 96, 4
+SIGN_BAGS = 256
 
 def word_shingles(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text of every k-word shingle; a text of fewer words has one shingle of all of them."""
@@ -47,37 +45,51 @@ def distinct(grams: np.ndarray, bag: np.ndarray, whole: bool) -> tuple[np.ndarra
     return grams[at], np.diff(np.concatenate([at, [len(new)]])), bag[at]
 
 
-def sign(keys: pa.Array, elements: np.ndarray, weights: np.ndarray, bag: np.ndarray) -> pa.RecordBatch:
-    """Size, digest (two sums of mixed elements and weights) and bands of each bag."""
+def poisson_bands(elements: np.ndarray, weights: np.ndarray, bag: np.ndarray, edges: np.ndarray, slots: int) -> np.ndarray:
+    """Bands of every bag; a few bags at a time, as each makes some hundreds of points, however small it is."""
+    n, out = len(edges) - 1, [np.zeros((0, slots // ROWS), np.int64)]
+    for low in range(0, n, SIGN_BAGS):
+        high = min(low + SIGN_BAGS, n)
+        own = slice(edges[low], edges[high])
+        out.append(poisson.bands(poisson.signatures(elements[own], weights[own], bag[own] - low, high - low, slots), ROWS))
+    return np.concatenate(out)
+
+
+def sign(keys: np.ndarray, elements: np.ndarray, weights: np.ndarray, bag: np.ndarray, bands=None) -> neardup.Signed:
+    """Size, digest (two sums of mixed elements and weights) and bands of each bag.
+
+    ``bands`` gives rows of bags and of bands (by default, the Poisson signature's for all).
+    """
     n = len(keys)
+    edges = np.searchsorted(bag, np.arange(n + 1))
     sums = []
     for which in range(2):
         total = np.concatenate([[np.uint64(0)], np.cumsum(tk.mix(tk.mix(elements ^ tk.salt(which)) + weights.astype(np.uint64)), dtype=np.uint64)])
-        edges = np.searchsorted(bag, np.arange(n + 1))
         sums.append((total[edges[1:]] - total[edges[:-1]]).view(np.int64))
     size = np.bincount(bag, weights, n).astype(np.int64)
-    flat = poisson.bands(poisson.signatures(elements, weights, bag, n, SLOTS), ROWS)
-    flat = flat[size > 0].ravel()
-    ends = np.concatenate([[0], np.cumsum(np.where(size > 0, SLOTS // ROWS, 0))]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
-    return pa.RecordBatch.from_arrays([keys, pa.array(size), pa.array(sums[0]), pa.array(sums[1]), lists], schema=SIGNED)
+    some = np.flatnonzero(size > 0)
+    parts = bands(elements, bag, edges) if bands else [(some, poisson_bands(elements, weights, bag, edges, SLOTS)[some])]
+    who = np.concatenate([np.repeat(w, b.shape[1]) for w, b in parts])
+    return neardup.Signed(keys, size, *sums, who, np.concatenate([b.ravel() for _, b in parts]))
 
 
-def sign_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in tk.chunks(batch, "text"):
-            yield sign(part.column("key"), *distinct(*word_shingles(*tk.buffer(part.column("text"))), whole=False))
+def sign_batch(batch: pa.RecordBatch) -> Iterator[neardup.Signed]:
+    for part in tk.chunks(batch, "text"):
+        yield sign(part.column("key").to_numpy(), *distinct(*word_shingles(*tk.buffer(part.column("text"))), whole=False))
 
 
-def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
-    """Exact: multiset overlap over multiset union reaches the similarity."""
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    overlap = int(np.minimum(a[1][i], b[1][j]).sum())
-    return neardup.SIMILAR[1] * overlap >= neardup.SIMILAR[0] * (int(a[1].sum()) + int(b[1].sum()) - overlap) and overlap > 0
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
+    """Exact sizes of the multiset overlap and union."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    hit = b[0][at] == a[0]
+    both = int(np.minimum(a[1][hit], b[1][at[hit]]).sum())
+    return both, int(a[1].sum()) + int(b[1].sum()) - both
 
 
 def verify_rows(shingles: Callable, as_sets: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with their texts: those that are similar. A text is cut once as long as it stays in turn."""
+    """Pairs with their texts: similarity, and whether it reaches the threshold (told from whole numbers). A text is cut once as long as it stays in turn."""
     held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
@@ -97,33 +109,55 @@ def verify_rows(shingles: Callable, as_sets: bool, batches: Iterator[pa.RecordBa
                 for k, x, y in zip(part.column("key").to_pylist(), edges, edges[1:], strict=False):
                     bags[k] = elements[x:y], (np.ones(y - x, np.int64) if as_sets else weights[x:y])
             held |= bags
-        true = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if similar(held[x], held[y])]
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in true], pa.int64()), pa.array([b[i] for i in true], pa.int64())], ["a", "b"])
+        sizes = [overlap(held[x], held[y]) for x, y in zip(a, b, strict=True)]
+        linked = [neardup.SIMILAR[1] * o >= neardup.SIMILAR[0] * u for o, u in sizes]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), pa.array([o / u for o, u in sizes], pa.float64()), pa.array(linked, pa.bool_())],
+            ["a", "b", "similarity", "linked"],
+        )
         held = {k: held[k] for k in {a[-1]} if k in held} if a else {}
 
 
-def verifier(texts: DataFrame, shingles: Callable, as_sets: bool) -> Callable[[DataFrame], Callable[[DataFrame], DataFrame]]:
+def element_rows(shingles: Callable, as_sets: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in tk.chunks(batch, "text"):
+            elements, weights, bag = distinct(*shingles(*tk.buffer(part.column("text"))), whole=True)
+            ends = pa.array(np.searchsorted(bag, np.arange(part.num_rows + 1)).astype(np.int32))
+            weights = np.ones_like(weights) if as_sets else weights
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (elements.view(np.int64), weights)]
+            yield pa.RecordBatch.from_arrays([part.column("key"), *lists], ["key", "e", "w"])
+
+
+class Verifier:
     """For :func:`neardup.classes`: texts ``key, text`` that pairs name are written once and joined to both sides."""
 
-    def start(keys: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        few = workspace.materialise(texts.join(keys, "key", "left_semi"), "texts")
+    def __init__(self, texts: DataFrame, shingles: Callable, as_sets: bool):
+        self.texts, self.shingles, self.as_sets, self.by_elements = texts, shingles, as_sets, not as_sets
 
-        def check(pairs: DataFrame) -> DataFrame:
-            right = pairs.join(few.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b")
-            both = right.join(few.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a")
-            return both.select("a", "b", "a_text", "b_text").mapInArrow(lambda s: verify_rows(shingles, as_sets, s), "a long, b long")
+    def prepare(self, keys: DataFrame) -> None:
+        # shuffled at every size: a broadcast would only serve small inputs
+        self.texts = workspace.materialise(self.texts.join(keys.hint("merge"), "key", "left_semi"), "texts")
 
-        return check
+    def check(self, pairs: DataFrame) -> DataFrame:
+        shingles, as_sets = self.shingles, self.as_sets
+        right = pairs.join(self.texts.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b")
+        both = right.join(self.texts.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a")
+        return workspace.arrow_map(both.select("a", "b", "a_text", "b_text"),
+            lambda s: verify_rows(shingles, as_sets, s), "a long, b long, similarity double, linked boolean"
+        )
 
-    return start
+    def elements(self, keys: DataFrame) -> DataFrame:
+        shingles, as_sets = self.shingles, self.as_sets
+        rows = self.texts.join(keys, "key", "left_semi").select("key", "text")
+        lists = workspace.arrow_map(rows, lambda s: element_rows(shingles, as_sets, s), "key long, e array<long>, w array<long>")
+        return lists.select("key", F.explode(F.arrays_zip("e", "w")).alias("z")).select("key", F.col("z.e").alias("element"), F.col("z.w").alias("weight"))
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``key, class`` for each row of ``docs`` (told apart by ``__key``)."""
     workspace.bounded_batches(docs.sparkSession)
     own = docs.select(F.col("__key").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = workspace.materialise(own.mapInArrow(sign_rows, neardup.SIGNED), "signed")
-    return neardup.classes(signed, verifier(own, word_shingles, as_sets=False))
+    return neardup.classes(*neardup.banded(own, sign_batch, SLOTS // ROWS), Verifier(own, word_shingles, as_sets=False))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +183,7 @@ def named(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFram
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The least row of every class, all columns unchanged."""
-    columns = docs.columns
-    docs, _ = keyed(docs, id_col)
-    keep = workspace.materialise(near_duplicates(docs, text_col).filter("key = class").select(F.col("key").alias("__key")), "near")
-    return docs.join(keep, "__key", "left_semi").select(*columns)
+    rows, _ = keyed(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id")), "doc_id")
+    found = near_duplicates(rows.select("__key", F.col("row").getField(text_col).alias("text")))
+    keep = workspace.materialise(found.filter("key = class").select(F.col("key").alias("__key")), "near")
+    return rows.join(keep, "__key", "left_semi").select("row.*")

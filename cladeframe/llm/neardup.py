@@ -1,70 +1,300 @@
 """From banded signatures to classes of near duplicates.
 
-Items with equal bags collapse to one representative. Representatives that share a band meet in a bucket; each is
-first compared with the bucket's least member only (a star, not all pairs) and the links found are closed to
-components. Only buckets that still hold more than one component are looked at again, across components, so that no
-link between different items is lost. Every link is verified exactly.
+Signatures' bands travel packed (see ``blobs``): items that share a band inside one task are told there, and of those
+and of equal bags one goes on, so a group of copies costs a row for each task and not for each member. Items with equal
+bags collapse to one representative. Representatives that share a band are a bucket; each is compared with the bucket's least member only (a star, not all pairs) and the links found are closed to components.
+
+What a star can miss is a link between two members of a bucket that do not both link to its lead. Those are found by
+bounds that cost no comparison, in this order:
+
+* Jaccard distance is a metric: a member that links to the lead (similarity t or more) can only link to one whose
+  similarity to the lead is 2t - 1 or more. So members that are linked already only stay where some member lies between.
+* Buckets that are one component are done.
+* Elements that few open items have are rare. Two items that share no rare element overlap in common ones alone, which
+  bounds their similarity and sets aside items with edits of their own; items that do share one are paired by it, a
+  bounded number for each element. Elements that some more items have bound what is left at the end, and pair only that.
+* A second star leads from the item with the least share of such elements, the closest to what the others have in common.
+* What is then left is compared where it shares two bands. Similar items nearly always do (at 24 bands all but one pair
+  in ten thousand at the threshold itself); items that merely share a passage nearly never.
+
+Pairs that are left between components are verified one by one, exactly; no count of partners or candidates is capped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple, Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm import workspace
+from cladeframe.llm import blobs, workspace
 from cladeframe.llm.components import components
 
-SIGNED = "key long, size long, bag1 long, bag2 long, bands array<long>"
+class Signed(NamedTuple):
+    """Signatures of some items: keys, sizes, two 64-bit digests of each bag, and rows of item and band."""
+
+    keys: np.ndarray
+    sizes: np.ndarray
+    bag1: np.ndarray
+    bag2: np.ndarray
+    who: np.ndarray
+    bands: np.ndarray
+
+
+FOUND, ENTRY, ITEM = range(3)
+#: Bands that a task gathers before it deals them out, and those for which there is a bucket.
+FLUSH = 1 << 19
+BUCKET_BANDS = 1 << 20
+
+ROWS = "kind int, key long, size long, bag1 long, bag2 long, bucket long"
+ARROW = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("key", "size", "bag1", "bag2", "bucket"))])
+
+
+def _send(sign: Callable[[pa.RecordBatch], Iterator[Signed]], buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sender = blobs.Sender()
+    held: list[Signed] = []
+    size = 0
+
+    def flush() -> list[tuple[int, int, int, bytes]]:
+        first = np.cumsum([0, *(len(s.keys) for s in held)])
+        keys, sizes, bag1, bag2 = (np.concatenate([s[i] for s in held]) for i in range(4))
+        who = np.concatenate([s.who + n for s, n in zip(held, first, strict=False)])
+        bands = np.concatenate([s.bands for s in held]).view(np.uint64)
+        by = np.argsort(keys, kind="stable")
+        home = (keys % buckets).astype(np.int64)
+        rows = sender.deal(ITEM, home[by], keys[by], sizes[by], bag1[by].view(np.uint64), bag2[by].view(np.uint64))
+        # of equal bags the least key goes on
+        order = np.lexsort((keys, bag2, bag1))
+        new = np.ones(len(order), bool)
+        new[1:] = (bag1[order][1:] != bag1[order][:-1]) | (bag2[order][1:] != bag2[order][:-1])
+        on = np.zeros(len(keys), bool)
+        on[order[new]] = True
+        mine = on[who]
+        who, bands = who[mine], bands[mine]
+        bucket = ((bands >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        name = (bucket << 32) | (bands & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        order = np.lexsort((keys[who], name))
+        who, bucket, name = who[order], bucket[order], name[order]
+        head = np.ones(len(name), bool)
+        head[1:] = name[1:] != name[:-1]
+        at = np.flatnonzero(head)
+        count = np.diff(np.append(at, len(name)))
+        many = np.repeat(count > 1, count)
+        rows += sender.deal(FOUND, home[who[many]], keys[who[many]], name[many].view(np.uint64))
+        one, settled = who[at], (count > 1).astype(np.uint8)
+        by = np.argsort(keys[one], kind="stable")
+        rows += sender.deal(ENTRY, bucket[at][by], name[at][by].astype(np.uint32), keys[one][by], settled[by])
+        return rows
+
+    for batch in batches:
+        for signed in sign(batch):
+            held.append(signed)
+            size += len(signed.bands) + len(signed.keys)
+            if size >= FLUSH:
+                yield from blobs.batches(flush())
+                held, size = [], 0
+    if held:
+        yield from blobs.batches(flush())
+
+
+def _meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(kind: int, keys: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(keys), pa.int64())
+        cells = [pa.array(columns[c].view(np.int64)) if c in columns else none for c in ARROW.names[2:]]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), *cells], schema=ARROW)
+
+    for bucket, parts in blobs.by_bucket(stream):
+        held = []
+        for kind, payload in parts:
+            columns = blobs.unpack(payload)
+            if kind == ENTRY:
+                held.append(columns)
+            elif kind == FOUND:
+                yield rows(FOUND, columns[0], bucket=columns[1])
+            else:
+                yield rows(ITEM, columns[0], size=columns[1].astype(np.int64), bag1=columns[2], bag2=columns[3])
+        if held:
+            prints, keys, settled = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(prints, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(prints[order]) != 0, [True]]))
+            count = np.diff(edges)
+            found = np.zeros(len(order), bool)
+            found[order] = np.repeat(count > 1, count)
+            found = np.flatnonzero(found & (settled == 0))
+            if len(found):
+                yield rows(FOUND, keys[found], bucket=(np.int64(bucket) << 32) | prints[found].astype(np.int64))
+
+
+def banded(items: DataFrame, sign: Callable[[pa.RecordBatch], Iterator[Signed]], bands: int) -> tuple[DataFrame, DataFrame]:
+    """``key, size, bag1, bag2`` of all items; ``bucket, key`` of those that share a band with another."""
+    n = max(16, items.count() * bands // BUCKET_BANDS)
+    rows = workspace.arrow_map(items, lambda b: _send(sign, n, b), blobs.SCHEMA)
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "src")
+    rows = workspace.materialise(workspace.arrow_map(rows, _meet, ROWS), "banded", "kind")
+    return rows.filter(F.col("kind") == ITEM).select("key", "size", "bag1", "bag2"), rows.filter(F.col("kind") == FOUND).select("bucket", "key")
+
 
 #: Similarity from which items are near duplicates, as a fraction.
 SIMILAR = (8, 10)
 
 
-def comparable(a: str, b: str) -> Column:
+
+class Verifier(Protocol):
+    """What knows the items themselves."""
+
+    #: Whether elements bound what is compared: worth it where items of many elements share few by chance.
+    by_elements: bool
+
+    def prepare(self, keys: DataFrame) -> None:
+        """Keys (column ``key``) that the other calls can name."""
+
+    def check(self, pairs: DataFrame) -> DataFrame:
+        """``a, b, similarity, linked`` of pairs ``a, b``."""
+
+    def elements(self, keys: DataFrame) -> DataFrame:
+        """``key, element, weight`` of the keys' bags."""
+
+
+def comparable(a: str, b: str, share: tuple[int, int] = SIMILAR) -> Column:
     """Whether sizes leave room for the similarity: the lesser is at least that share of the greater."""
-    return SIMILAR[1] * F.least(a, b) >= SIMILAR[0] * F.greatest(a, b)
+    return share[1] * F.least(a, b) >= share[0] * F.greatest(a, b)
+
+
+def reachable(a: str, b: str, a_own: str, b_own: str) -> Column:
+    """Whether sizes, less the rare elements of either, leave room for the similarity of items that share none of those."""
+    both = F.least(F.col(a) - F.col(a_own), F.col(b) - F.col(b_own))
+    return SIMILAR[1] * both >= SIMILAR[0] * (F.col(a) + F.col(b) - both)
+
+
+def _mixed(rows: DataFrame, place: str) -> DataFrame:
+    """Rows of places in which members of two components meet; the places are written."""
+    met = rows.groupBy(place).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select(place)
+    return rows.join(workspace.materialise(met, "met"), place)
+
 
+def _spread(held: DataFrame) -> DataFrame:
+    """``place, rep, size, comp, own_most``: members by pairs of their buckets, where members of two components meet."""
+    own = held.groupBy("rep").agg(*(F.max(c).alias(c) for c in ("size", "comp", "own", "most")), F.sort_array(F.collect_set("bucket")).alias("b")).filter("size(b) > 1")
+    two = own.select("*", F.posexplode("b").alias("i", "x"))
+    pairs = F.explode(F.transform(F.expr("slice(b, i + 2, size(b))"), lambda y: F.xxhash64("x", y))).alias("place")
+    return _mixed(two.select("rep", "size", "comp", F.col("most").alias("own_most"), pairs), "place")
 
-def classes(signed: DataFrame, verify: Callable[[DataFrame, DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """``key, class`` for every row of ``signed`` (written already, keys distinct); class is the least key of the class.
 
-    ``verify(keys)`` is given the keys that pairs can name and returns what turns pairs ``a, b`` into the true links.
+#: Open items that may have a rare element, and one that pairs what is in doubt.
+RARE, SCARCE = 8, 64
+
+
+def _scarce(elements: DataFrame) -> DataFrame:
+    """``element, n, key, weight``: the elements of ``key, element, weight`` that no more than SCARCE items have."""
+    few = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= SCARCE)
+    return elements.join(few, "element")
+
+
+def classes(signed: DataFrame, shared: DataFrame, verifier: Verifier) -> DataFrame:
+    """``key, class`` for every item, given what :func:`banded` returns; class is the least key of the class.
+
     Items of size 0 have nothing to compare and are classes of their own.
     """
+    near = (2 * SIMILAR[0] - SIMILAR[1], SIMILAR[1])
     bags = workspace.materialise(
         signed.filter("size > 0").groupBy("bag1", "bag2").agg(F.min("key").alias("rep")), "bags"
     )
-    reps = signed.join(bags.select(F.col("rep").alias("key")), "key", "left_semi")
-    buckets = reps.select(F.col("key").alias("rep"), "size", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "size")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = workspace.materialise(
-        buckets.join(workspace.materialise(shared.drop("n"), "shared"), "bucket").select("bucket", "rep", "size", "lead"), "members"
-    )
-    check = verify(members.select(F.col("rep").alias("key")).distinct())
-    star = (
-        members.filter(F.col("rep") != F.col("lead.rep"))
-        .filter(comparable("size", "lead.size"))
-        .select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
-        .distinct()
-    )
-    links = workspace.materialise(check(star), "links")
+    # keys in buckets give way to the representatives of their bags
+    few = signed.join(shared.select("key").distinct(), "key", "left_semi").join(bags, ["bag1", "bag2"]).select("key", "size", "rep")
+    members = shared.join(workspace.materialise(few, "few"), "key").groupBy("bucket", "rep").agg(F.max("size").alias("size"))
+    members = workspace.materialise(members, "members")
+    leads = members.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("other")).filter("lead <> other")
+    members = workspace.materialise(members.join(workspace.materialise(leads.select("bucket", "lead"), "leads"), "bucket"), "members")
+    verifier.prepare(members.select(F.col("rep").alias("key")).distinct())
+
+    sizes = members.filter("rep = lead").select(F.col("rep").alias("a"), F.col("size").alias("a_size")).distinct()
+    star = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"), "size").distinct().join(sizes, "a")
+    star = workspace.materialise(star.filter(comparable("size", "a_size", near)).select("a", "b"), "pairs")
+    told = workspace.materialise(verifier.check(star), "star")
+    links = told.filter("linked").select("a", "b")
     first = workspace.materialise(components(links).withColumnRenamed("node", "rep"), "first")
-    held = members.join(first, "rep", "left").select("bucket", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
-    mixed = held.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
-    held = workspace.materialise(held.join(mixed, "bucket", "left_semi"), "mixed")
-    x = held.select("bucket", F.col("rep").alias("a"), F.col("size").alias("a_size"), F.col("comp").alias("a_comp"))
-    y = held.select("bucket", F.col("rep").alias("b"), F.col("size").alias("b_size"), F.col("comp").alias("b_comp"))
-    across = (
-        x.join(y, "bucket").filter("a < b and a_comp <> b_comp").filter(comparable("a_size", "b_size")).select("a", "b").distinct()
-    )
-    more = workspace.materialise(check(across.join(star, ["a", "b"], "left_anti")), "links")
-    last = first if more.isEmpty() else workspace.materialise(
-        components(links.unionByName(more)).withColumnRenamed("node", "rep"), "last"
+
+    lead = F.col("rep") == F.col("a")
+    placed = members.withColumnRenamed("lead", "a").join(told.withColumnRenamed("b", "rep"), ["a", "rep"], "left")
+    placed = placed.select("bucket", "rep", "size", (lead | F.coalesce("linked", F.lit(False))).alias("linked"), F.coalesce("similarity", F.when(lead, 1.0), F.lit(0.0)).alias("similarity"))
+    placed = placed.join(first, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    between = ~F.col("linked") & (F.col("similarity") >= near[0] / near[1] - 1e-9)
+    open_buckets = (
+        placed.groupBy("bucket")
+        .agg(F.count_if(between).alias("between"), F.count_if(~F.col("linked")).alias("loose"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        .filter("low <> high and (between > 0 or loose > 1)")
     )
-    named = workspace.materialise(bags.join(last, "rep", "left").select("bag1", "bag2", F.coalesce("comp", "rep").alias("class")), "classes")
+    held = placed.join(workspace.materialise(open_buckets.select("bucket", "between"), "open"), "bucket").filter("not linked or between > 0")
+    held = workspace.materialise(held.select("bucket", "rep", "size", "comp"), "held")
+    named = lambda last: workspace.materialise(bags.join(last, "rep", "left").select("bag1", "bag2", F.coalesce("comp", "rep").alias("class")), "classes")
+    if not held.isEmpty():
+        first = _across(held, links, first, verifier)
     return (
-        signed.filter("size > 0").join(named, ["bag1", "bag2"]).select("key", "class")
+        signed.filter("size > 0").join(named(first), ["bag1", "bag2"]).select("key", "class")
         .unionByName(signed.filter("size = 0").select("key", F.col("key").alias("class")))
     )
+
+
+def _across(held: DataFrame, links: DataFrame, first: DataFrame, verifier: Verifier) -> DataFrame:
+    """Components with the links that the first star missed, from ``bucket, rep, size, comp`` of open buckets."""
+    several = held.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("comp").alias("comp")).filter("n > 1")
+    items = workspace.materialise(several.select("rep", "size", "comp"), "items")
+    if not verifier.by_elements:
+        held = held.join(items.select("rep"), "rep", "left_semi").withColumn("own", F.lit(0).cast("long")).withColumn("most", F.lit(0).cast("long"))
+        return _rest(held, None, items, links, first, verifier)
+    scarce = workspace.materialise(_scarce(verifier.elements(items.select(F.col("rep").alias("key")))), "scarce")
+    own = scarce.groupBy(F.col("key").alias("rep")).agg(F.sum(F.when(F.col("n") <= RARE, F.col("weight")).otherwise(0)).alias("own"), F.sum("weight").alias("most"))
+    own = workspace.materialise(own, "own")
+    held = held.join(items.select("rep"), "rep", "left_semi").join(own, "rep", "left").fillna(0, ["own", "most"])
+    # an item that even the best size there is in a bucket cannot reach is done with there
+    least = workspace.materialise(held.groupBy("bucket").agg(F.min("size").alias("least")), "least")
+    held = held.join(least, "bucket").withColumn("zero", F.lit(0))
+    held = held.withColumn("best", F.greatest("least", F.col("size") - F.col("own"))).filter(reachable("size", "best", "own", "zero"))
+    held = workspace.materialise(held.select("bucket", "rep", "size", "comp", "own", "most"), "reachable")
+
+    side = lambda k: items.select(F.col("rep").alias(k), F.col("size").alias(f"{k}_size"), F.col("comp").alias(f"{k}_comp"))
+    owners = scarce.filter("n > 1").select("element", "n", F.col("key").alias("a"))
+    rare = owners.filter(F.col("n") <= RARE).drop("n")
+    paired = rare.join(rare.withColumnRenamed("a", "b"), "element").filter("a < b").select("a", "b").distinct()
+    paired = paired.join(side("a"), "a").join(side("b"), "b").filter("a_comp <> b_comp").filter(comparable("a_size", "b_size")).select("a", "b")
+
+    open_rows = workspace.materialise(_mixed(held, "bucket"), "open")
+    leads = open_rows.groupBy("bucket").agg(F.min(F.struct((F.col("most") / F.col("size")).alias("share"), "rep", "size", "own", "comp")).alias("lead"))
+    leads = leads.select("bucket", F.col("lead.rep").alias("a"), F.col("lead.size").alias("a_size"), F.col("lead.own").alias("a_own"), F.col("lead.comp").alias("a_comp"))
+    star = open_rows.join(workspace.materialise(leads, "leads"), "bucket")
+    star = star.filter("comp <> a_comp").filter(comparable("size", "a_size")).filter(reachable("size", "a_size", "own", "a_own"))
+    star = star.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).unionByName(paired)
+    star = workspace.materialise(star.distinct(), "pairs")
+    told = verifier.check(star).filter("linked").select("a", "b")
+    links = workspace.materialise(links.unionByName(told), "links")
+    second = workspace.materialise(components(links).withColumnRenamed("node", "rep"), "second")
+
+    return _rest(open_rows, owners, items, links, second, verifier)
+
+
+def _rest(rows: DataFrame, owners: DataFrame | None, items: DataFrame, links: DataFrame, second: DataFrame, verifier: Verifier) -> DataFrame:
+    """Components with the links between what is still apart, pair by pair."""
+    now = rows.drop("comp").join(second, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    now = workspace.materialise(_spread(workspace.materialise(_mixed(now, "bucket"), "open")), "spread")
+    # each place's largest component needs no comparison inside: its other members meet everyone else
+    most = now.groupBy("place", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("place").agg(F.max(F.struct("n", "comp")).alias("m"))
+    most = workspace.materialise(most.select("place", F.col("m.comp").alias("most")), "most")
+    part = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("rep", "size", "most", "comp")]
+    each = now.select("place", "rep", "size", F.col("own_most").alias("most"), "comp").join(most.withColumnRenamed("most", "largest"), "place")
+    x, y = each.filter("comp <> largest").select("place", *part("x")), each.select("place", *part("y"))
+    pairs = x.join(y, "place").filter("x_comp <> y_comp").filter(comparable("x_size", "y_size")).filter(reachable("x_size", "y_size", "x_most", "y_most"))
+    pairs = pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
+    if owners is not None:  # that bound sets scarce elements aside, so those of the items compared pair them too
+        side = lambda k: items.select(F.col("rep").alias(k), F.col("size").alias(f"{k}_size"))
+        left = workspace.materialise(x.select(F.col("x_rep").alias("a")).distinct(), "left")
+        some = owners.filter(F.col("n") > RARE).drop("n")
+        shared = some.join(left, "a", "left_semi").join(some.withColumnRenamed("a", "b"), "element").filter("a <> b").select("a", "b").distinct()
+        shared = shared.join(side("a"), "a").join(side("b"), "b").filter(comparable("a_size", "b_size"))
+        pairs = pairs.unionByName(shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    pairs = pairs.distinct()
+    pairs = workspace.materialise(pairs, "pairs")
+    more = workspace.materialise(verifier.check(pairs).filter("linked").select("a", "b"), "more")
+    return second if more.isEmpty() else workspace.materialise(components(links.unionByName(more)).withColumnRenamed("node", "rep"), "last")

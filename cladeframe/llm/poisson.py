@@ -35,6 +35,43 @@ def _processes(elements: np.ndarray, weights: np.ndarray, bag: np.ndarray):
     return [np.concatenate(x) for x in (seeds, bags, rates, cells)]
 
 
+#: Points drawn in one array operation, at most (or one turn of all processes).
+DRAW = 1 << 14
+
+
+def _points(seed: np.ndarray, own: np.ndarray, rate: np.ndarray, cells: np.ndarray, bound: np.ndarray):
+    """Bag, time and hash of all points up to each process's bound that its weight sees.
+
+    Processes are taken by their expected number of points, which are then drawn side by side; those that have not
+    passed the bound go on from their last point.
+    """
+    expected, cut = rate * bound, cells < rate
+    level = np.ceil(np.log2(np.maximum(expected, 1.0))).astype(np.int64)
+    for lam in np.unique(level).tolist():
+        group = np.flatnonzero(level == lam)
+        first, later = (1, 1) if lam < 2 else (1 << lam, 1 << (lam // 2 + 1))
+        step = max(DRAW // first, 1)
+        for low in range(0, len(group), step):
+            mine = group[low : low + step]
+            time, turn, draws = np.zeros(len(mine)), 0, first
+            while len(mine):
+                turns = (np.arange(turn + 1, turn + draws + 1).astype(U64) * U64(tk.salt(0)))[None, :]
+                h = tk.mix(seed[mine][:, None] + turns)
+                gap = np.log(((h >> U64(11)) + U64(1)).astype(np.float64) * 2.0**-53)
+                times = time[:, None] - (np.cumsum(gap, axis=1) if draws > 1 else gap) / rate[mine][:, None]
+                seen = times <= bound[mine][:, None]
+                row = np.nonzero(seen)[0] if draws > 1 else np.flatnonzero(seen[:, 0])
+                point, who, when = tk.mix(h[seen]), mine[row], times[seen]
+                if cut[mine].any():
+                    inside = ((point & U64(0xFFFFFFFF)).astype(np.float64) * rate[who] * 2.0**-32).astype(np.int64) < cells[who]
+                    point, who, when = point[inside], who[inside], when[inside]
+                yield own[who], when, point
+                on = seen[:, -1]
+                mine, time = mine[on], times[on, -1]
+                turn += draws
+                draws = later
+
+
 def signatures(elements: np.ndarray, weights: np.ndarray, bag: np.ndarray, n: int, slots: int = 64) -> np.ndarray:
     """An (n, slots) array of uint64 for n bags; ``bag`` gives the bag of each distinct element. Empty bags get zeros."""
     out = np.zeros(n * slots, U64)
@@ -45,24 +82,13 @@ def signatures(elements: np.ndarray, weights: np.ndarray, bag: np.ndarray, n: in
         bound[todo] = scale * slots / total[todo]
         mine = bound[bag] > 0
         seed, own, rate, cells = _processes(elements[mine], weights[mine], bag[mine])
-        time, turn = np.zeros(len(seed)), 0
-        at, times, ids = [], [], []
-        while len(seed):
-            h = tk.mix(seed + tk.salt(turn))
-            time = time - np.log(((h >> U64(11)) + U64(1)).astype(np.float64) * 2.0**-53) / rate
-            live = time <= bound[own]
-            seed, own, rate, cells, time, h = (x[live] for x in (seed, own, rate, cells, time, h))
-            point = tk.mix(h)
-            low = ((point & U64(0xFFFFFFFF)).astype(np.float64) * rate * 2.0**-32).astype(np.int64) < cells
-            at.append(own[low] * slots + ((point[low] >> U64(32)) % U64(slots)).astype(np.int64))
-            times.append(time[low])
-            ids.append(point[low])
-            turn += 1
-        at, times, ids = np.concatenate(at), np.concatenate(times), np.concatenate(ids)
+        found = list(_points(seed, own, rate, cells, bound[own]))
+        who, times, point = (np.concatenate(c) for c in zip(*found, strict=True))
+        at = who * slots + ((point >> U64(32)) % U64(slots)).astype(np.int64)
         first = np.full(n * slots, np.inf)
         np.minimum.at(first, at, times)
         won = times == first[at]
-        out[at[won]] = ids[won]
+        out[at[won]] = point[won]
         todo = todo[np.isinf(first.reshape(n, slots)[todo]).any(axis=1)]
         scale *= 2
     return out.reshape(n, slots)
