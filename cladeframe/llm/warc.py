@@ -1,12 +1,13 @@
 """WARC archives with revisit records.
 
-Headers, not payloads, are shuffled by payload digest to find the record that keeps each payload. Archives are plain
-WARC/1.1 files: Spark's text writer ends every record with the two line breaks the format asks for, so files come from
-Spark's committer and may lie in any store that Spark reaches.
+Headers, not payloads, are shuffled by payload digest to find the record that keeps each payload. Archives are
+WARC/1.1 files, gzipped whole: Spark's text writer ends every record with the two line breaks the format asks for, so
+files come from Spark's committer and may lie in any store that Spark reaches.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -35,7 +36,9 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit(CRLF)), F.lit(""))
 
 
-def write_archives(pages: DataFrame, out: str, min_bytes: int = MIN_REVISIT_BYTES, date: str = "1970-01-01T00:00:00Z") -> None:
+def write_archives(
+    pages: DataFrame, out: str, min_bytes: int = MIN_REVISIT_BYTES, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip"
+) -> None:
     """One record for each row of ``page_id, url, html`` in WARC files under ``out``.
 
     A null payload is empty. Of equal payloads of at least ``min_bytes`` bytes, that with the largest page_id is
@@ -93,7 +96,7 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = MIN_REVISIT_BYTE
     (
         joined.select(record.alias("value"))
         .write.option("lineSep", CRLF + CRLF)
-        .option("compression", "none")
+        .option("compression", compression)
         .option("maxRecordsPerFile", RECORDS_PER_FILE)
         .text(out)
     )
@@ -101,6 +104,8 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = MIN_REVISIT_BYTE
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
     """Named fields and block of each record of an archive."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at, view = 0, memoryview(data)
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
@@ -137,7 +142,7 @@ def read_archives(spark: SparkSession, out: str) -> DataFrame:
     """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to. Revisits take both from their original."""
     files = spark.read.format("binaryFile").load(out).select("content")
     ddl = "page_id long, record_type string, record_id string, refers string, named_digest string, payload_bytes long, payload_digest string"
-    rows = workspace.materialise(files.mapInArrow(archive_rows, ddl), "records")
+    rows = workspace.materialise(workspace.arrow_map(files, archive_rows, ddl), "records")
     responses = rows.filter("record_type = 'response'")
     originals = (
         responses.join(rows.filter("record_type = 'revisit'").select(F.col("refers").alias("record_id")).distinct(), "record_id", "left_semi")
