@@ -22,11 +22,12 @@ _unpack = zstandard.ZstdDecompressor()
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Arrays of one length; 64-bit ones are stored as differences of neighbours."""
+    """Arrays of one length, their bytes in planes; 64-bit ones are stored as differences of neighbours."""
     out = [len(columns[0]).to_bytes(4, "little")]
     for c in columns:
         raw = np.diff(c, prepend=c.dtype.type(0)) if c.dtype.itemsize == 8 and c.dtype.kind == "i" else c
-        data = _pack.compress(np.ascontiguousarray(raw).tobytes())
+        planes = np.ascontiguousarray(raw).view(np.uint8).reshape(len(raw), c.dtype.itemsize)
+        data = _pack.compress(planes.T.tobytes())
         out += [c.dtype.str.encode(), len(data).to_bytes(4, "little"), data]
     return b"".join(out)
 
@@ -36,7 +37,8 @@ def unpack(payload: bytes) -> list[np.ndarray]:
     while at < len(payload):
         kind = np.dtype(payload[at : at + 3].decode())
         size = int.from_bytes(payload[at + 3 : at + 7], "little")
-        raw = np.frombuffer(_unpack.decompress(payload[at + 7 : at + 7 + size], max_output_size=n * kind.itemsize + 1), kind)
+        planes = np.frombuffer(_unpack.decompress(payload[at + 7 : at + 7 + size], max_output_size=n * kind.itemsize + 1), np.uint8)
+        raw = np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).ravel()
         out.append(np.cumsum(raw, dtype=kind) if kind.itemsize == 8 and kind.kind == "i" else raw)
         at += 7 + size
     return out

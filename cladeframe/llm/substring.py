@@ -34,7 +34,7 @@ FOUND, ENTRY, TEXT, DONE = range(4)
 ALIGNED, SETTLED = 1, 2
 
 #: Entries that a task gathers before it deals them out, and bytes of text that it packs at a time.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 FLUSH_BYTES = 6 << 20
 #: Words for which there is a bucket.
 BUCKET_WORDS = 1 << 19
@@ -298,12 +298,12 @@ def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> Da
     own = docs.select(F.col("__key").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(16, size // 6 // BUCKET_WORDS)
-    probes = own.mapInArrow(lambda b: probe(n, window, b), blobs.SCHEMA)
-    hits = _exchange(probes).mapInArrow(lambda s: meet(n, True, s), blobs.SCHEMA)
-    texts = own.mapInArrow(lambda b: ship(n, b), blobs.SCHEMA)
-    windows = _exchange(hits.unionByName(texts)).mapInArrow(lambda s: extend(n, window, s), blobs.SCHEMA)
-    found = _exchange(windows).mapInArrow(lambda s: meet(n, False, s), blobs.SCHEMA)
-    return _exchange(found).mapInArrow(
+    probes = workspace.arrow_map(own, lambda b: probe(n, window, b), blobs.SCHEMA)
+    hits = workspace.arrow_map(_exchange(probes), lambda s: meet(n, True, s), blobs.SCHEMA)
+    texts = workspace.arrow_map(own, lambda b: ship(n, b), blobs.SCHEMA)
+    windows = workspace.arrow_map(_exchange(hits.unionByName(texts)), lambda s: extend(n, window, s), blobs.SCHEMA)
+    found = workspace.arrow_map(_exchange(windows), lambda s: meet(n, False, s), blobs.SCHEMA)
+    return workspace.arrow_map(_exchange(found),
         lambda s: remove(window, s), "key long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
 
