@@ -19,6 +19,8 @@ _STREAM_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
     # many small stores: preallocated logs would take more disk than the state
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # stores of a finished query are closed soon, not within a minute
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -78,8 +80,9 @@ def stream_state(spark: SparkSession, log: DataFrame, log_path: str, max_bytes_p
     if query.lastProgress is None:  # no batch ran
         return spark.createDataFrame([], state).drop("batch")
     changes = spark.read.schema(state).parquet(out)
-    # size and keeper only ever grow, so the last change of a digest is its largest
-    return changes.groupBy("digest", "bytes").agg(F.max("size").alias("size"), F.max("keeper").alias("keeper"))
+    # size and keeper only ever grow, so the last change of a digest is its largest; written, so that the join with it
+    # has plain exchanges on both sides, which Spark splits where one digest has many rows
+    return workspace.materialise(changes.groupBy("digest", "bytes").agg(F.max("size").alias("size"), F.max("keeper").alias("keeper")), "state")
 
 
 def _differing(docs: DataFrame, text_col: str) -> DataFrame:
@@ -137,7 +140,9 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged. Same rules as :func:`decide`."""
+    since = workspace.mark()
     decisions = workspace.materialise(decide(docs, id_col, text_col), "exact")
+    workspace.discard(docs.sparkSession, since)
     stay = decisions.filter("kept").select(F.col("id").alias("keep_id"), "text_sha256")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.sha2(_bytes(text_col), 256).alias("digest"))
     kept = rows.join(stay, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("text_sha256")), "left_semi")

@@ -169,11 +169,13 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart, and named by their ids in the result. An empty table gives an empty result.
     """
     docs, _ = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
-    return named(docs, near_duplicates(docs))
+    since = workspace.mark()
+    found = workspace.materialise(near_duplicates(docs), "near")
+    workspace.discard(spark, since)
+    return named(docs, found)
 
 
 def named(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    found = workspace.materialise(found, "near")
     sizes = found.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"))
     ids = docs.select(F.col("__key").alias("key"), F.col(id_col).cast("long").alias("doc_id"))
     sizes = sizes.join(ids.select(F.col("key").alias("class"), F.col("doc_id").alias("class_id")), "class")
@@ -184,6 +186,8 @@ def named(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFram
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The least row of every class, all columns unchanged."""
     rows, _ = keyed(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id")), "doc_id")
+    since = workspace.mark()
     found = near_duplicates(rows.select("__key", F.col("row").getField(text_col).alias("text")))
     keep = workspace.materialise(found.filter("key = class").select(F.col("key").alias("__key")), "near")
+    workspace.discard(docs.sparkSession, since)
     return rows.join(keep, "__key", "left_semi").select("row.*")

@@ -176,11 +176,15 @@ def _mixed(rows: DataFrame, place: str) -> DataFrame:
 
 
 def _spread(held: DataFrame) -> DataFrame:
-    """``place, rep, size, comp, own_most``: members by pairs of their buckets, where members of two components meet."""
+    """``place, rep, size, comp, own_most, largest``: members by pairs of their buckets, where members of two components meet."""
     own = held.groupBy("rep").agg(*(F.max(c).alias(c) for c in ("size", "comp", "own", "most")), F.sort_array(F.collect_set("bucket")).alias("b")).filter("size(b) > 1")
     two = own.select("*", F.posexplode("b").alias("i", "x"))
     pairs = F.explode(F.transform(F.expr("slice(b, i + 2, size(b))"), lambda y: F.xxhash64("x", y))).alias("place")
-    return _mixed(two.select("rep", "size", "comp", F.col("most").alias("own_most"), pairs), "place")
+    rows = two.select("rep", "size", "comp", F.col("most").alias("own_most"), pairs)
+    # with each place's largest component, which needs no comparison inside: its members meet everyone else
+    count = rows.groupBy("place", "comp").agg(F.count(F.lit(1)).alias("n"))
+    met = count.groupBy("place").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("m")).filter("comps > 1")
+    return rows.join(workspace.materialise(met.select("place", F.col("m.comp").alias("largest")), "met"), "place")
 
 
 #: Open items that may have a rare element, and one that pairs what is in doubt.
@@ -279,11 +283,8 @@ def _rest(rows: DataFrame, owners: DataFrame | None, items: DataFrame, links: Da
     """Components with the links between what is still apart, pair by pair."""
     now = rows.drop("comp").join(second, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     now = workspace.materialise(_spread(workspace.materialise(_mixed(now, "bucket"), "open")), "spread")
-    # each place's largest component needs no comparison inside: its other members meet everyone else
-    most = now.groupBy("place", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("place").agg(F.max(F.struct("n", "comp")).alias("m"))
-    most = workspace.materialise(most.select("place", F.col("m.comp").alias("most")), "most")
     part = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("rep", "size", "most", "comp")]
-    each = now.select("place", "rep", "size", F.col("own_most").alias("most"), "comp").join(most.withColumnRenamed("most", "largest"), "place")
+    each = now.select("place", "rep", "size", F.col("own_most").alias("most"), "comp", "largest")
     x, y = each.filter("comp <> largest").select("place", *part("x")), each.select("place", *part("y"))
     pairs = x.join(y, "place").filter("x_comp <> y_comp").filter(comparable("x_size", "y_size")).filter(reachable("x_size", "y_size", "x_most", "y_most"))
     pairs = pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))

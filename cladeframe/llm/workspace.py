@@ -6,9 +6,12 @@ back from there. That cuts lineage, so a lost executor costs a re-read and not a
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes in one Arrow batch handed to a Python kernel; bounds a worker's memory whatever the row sizes are.
@@ -31,8 +34,26 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Paths handed out in this driver, in order.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def mark() -> int:
+    """A point in the order of paths, for :func:`discard`."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int) -> None:
+    """Delete what was written since a mark, but for the last table: the one that all the others led to."""
+    for path in _made[since:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _made[since:-1]
 
 
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -48,3 +69,24 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _release() -> None:
+    """Give freed memory back to the system; a worker lives on and takes other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def arrow_map(rows: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose worker gives its memory back at the end of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            _release()
+
+    return rows.mapInArrow(run, schema)
