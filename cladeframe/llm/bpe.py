@@ -188,6 +188,6 @@ def op6_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     workspace.bounded_batches(spark)
     path = vocabulary or default_vocabulary()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return docs.mapInArrow(
+    return workspace.arrow_map(docs,
         lambda batches: op6_rows(path, batches), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -163,7 +163,7 @@ def document_items(docs: DataFrame, text_col: str = "text", source_col: str = "s
         F.xxhash64(F.coalesce(F.col(source_col).cast("string"), F.lit(""))).alias("source_hash"),
         F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long").alias("cluster"),
     )
-    return own.mapInArrow(measure, ITEMS)
+    return workspace.arrow_map(own, measure, ITEMS)
 
 
 def packed_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -113,7 +113,7 @@ def base(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFram
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), _text_hash(F.col(text_col)).alias("text_hash"),
     )
-    return own.mapInArrow(base_rows, BASE_SCHEMA)
+    return workspace.arrow_map(own, base_rows, BASE_SCHEMA)
 
 
 def judge(

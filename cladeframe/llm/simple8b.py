@@ -171,11 +171,10 @@ def write_ids(docs: DataFrame, out: str, vocabulary: str, end_id: int) -> None:
 
     Files are written by Spark's committer, so a lost or repeated task leaves nothing behind.
     """
+    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    shards = workspace.arrow_map(ordered, lambda batches: encode_rows(vocabulary, end_id, batches), "image binary")
     (
-        docs.repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id")
-        .mapInArrow(lambda batches: encode_rows(vocabulary, end_id, batches), "image binary")
-        .select(F.col("image").cast("string").alias("value"))
+        shards.select(F.col("image").cast("string").alias("value"))
         .write.option("compression", "none")
         .option("lineSep", "\n")
         .option("maxRecordsPerFile", 32)
@@ -207,7 +206,7 @@ def read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_ids(spark: SparkSession, out: str) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     files = spark.read.format("binaryFile").load(out).select("path", "content")
-    rows = files.mapInArrow(read_rows, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = workspace.arrow_map(files, read_rows, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
     rows = workspace.materialise(rows, "ids")
     # one row for each file, in the order of the ids they hold
     order = Window.orderBy(F.col("first").asc_nulls_first(), "last").rowsBetween(Window.unboundedPreceding, -1)
