@@ -2,10 +2,10 @@
 
 Documents longer than a bin are cut into full bins and a rest. Rests and shorter documents are packed by decreasing
 length: each goes to the fullest bin that has room and holds neither its source nor its duplicate cluster. Bins are
-ordered by residual room; each carries a bitmap of sources and one of clusters, and the search goes from the tightest
-bin upwards until one is compatible
-(of equally tight ones, the first opened). A tree over residuals keeps the bits that all bins below a node share, so the
-search steps over whole ranges of bins that conflict anyway.
+ordered by residual room; each carries a bitmap of sources and one of clusters, with a bit for every source and cluster
+that could conflict in its shard, so the bits are exact. The search goes from the tightest bin upwards until one is
+compatible (of equally tight ones, the first opened). A tree over residuals keeps the bits that all bins below a node
+share, so the search steps over whole ranges of bins that conflict anyway.
 
 Documents are dealt to shards of bounded size by a hash of their id, and each shard is packed on its own: every
 document is packed, and no task holds more than a shard.
@@ -28,7 +28,8 @@ from cladeframe.llm.substring import keyed
 
 CAPACITY = 2048
 SHARD_DOCUMENTS = 20_000
-_ALL = (1 << 64) - 1
+_ALL = -1  # all bits of a bitmap of any width
+_NONE = 1  # a bit that no bin has: what asks for it passes over residuals without bins
 
 
 class Bins:
@@ -42,13 +43,14 @@ class Bins:
         self.at: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.sources: list[int] = []
         self.clusters: list[int] = []
-        self.cluster_names: list[set[int]] = []
 
     def _refresh(self, residual: int) -> None:
         source = cluster = _ALL
         for b in self.at[residual]:
             source &= self.sources[b]
             cluster &= self.clusters[b]
+            if not source | cluster:
+                break
         a, c, i = self.shared_source, self.shared_cluster, self.size + residual
         while i and (a[i] != source or c[i] != cluster):
             a[i], c[i] = source, cluster
@@ -74,35 +76,41 @@ class Bins:
                 i += 1
         return i - self.size
 
-    def place(self, length: int, source_bit: int, cluster_bit: int, cluster: int) -> int:
+    def place(self, length: int, source: int, cluster: int) -> int:
+        """The bin of a piece, given the bits of its source and cluster."""
         residual = length
         while residual <= self.capacity:
-            residual = self._next(residual, source_bit, 0)
+            residual = self._next(residual, source | _NONE, cluster)
             if residual < 0 or residual > self.capacity:
                 break
             for b in self.at[residual]:
-                if self.sources[b] & source_bit or (self.clusters[b] & cluster_bit and cluster in self.cluster_names[b]):
+                if self.sources[b] & source or self.clusters[b] & cluster:
                     continue
                 self.at[residual].remove(b)
-                self._put(b, residual - length, source_bit, cluster_bit, cluster)
+                self._put(b, residual - length, source, cluster)
                 self._refresh(residual)
                 return b
             residual += 1
         self.sources.append(0)
         self.clusters.append(0)
-        self.cluster_names.append(set())
         b = len(self.sources) - 1
-        self._put(b, self.capacity - length, source_bit, cluster_bit, cluster)
+        self._put(b, self.capacity - length, source, cluster)
         return b
 
-    def _put(self, b: int, residual: int, source_bit: int, cluster_bit: int, cluster: int) -> None:
-        self.sources[b] |= source_bit
-        self.clusters[b] |= cluster_bit
-        self.cluster_names[b].add(cluster)
+    def _put(self, b: int, residual: int, source: int, cluster: int) -> None:
+        self.sources[b] |= source
+        self.clusters[b] |= cluster
         insort(self.at[residual], b)
         self._refresh(residual)
 
 
+def bits(names: pd.Series) -> list[int]:
+    """A bit of its own for each name found twice or more, the most frequent lowest; 0 for others, which conflict with none."""
+    counts = names.value_counts(sort=True)
+    own = {name: 2 << i for i, name in enumerate(counts.index[counts > 1].tolist())}
+    return [own.get(name, 0) for name in names.tolist()]
+
+
 def pack_shard(items: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """``key, start, length, bin`` of every piece of the shard's documents; bins are numbered from 0."""
     items = items.sort_values("key", kind="stable")
@@ -117,9 +125,10 @@ def pack_shard(items: pd.DataFrame, capacity: int) -> pd.DataFrame:
     order = np.lexsort((items["key"].to_numpy(), -rest))
     bins = Bins(capacity)
     keys, starts = items["key"].to_numpy(), whole * capacity
-    for i in order[rest[order] > 0].tolist():
-        source, cluster = int(items["source_hash"].iat[i]), int(items["cluster"].iat[i])
-        b = bins.place(int(rest[i]), 1 << (source & 63), 1 << (cluster & 63), cluster)
+    order = order[rest[order] > 0]
+    sources, clusters = (bits(items[name].iloc[order]) for name in ("source_hash", "cluster"))
+    for i, source, cluster in zip(order.tolist(), sources, clusters, strict=True):
+        b = bins.place(int(rest[i]), source, cluster)
         out_key.append(keys[i]), out_start.append(starts[i]), out_length.append(rest[i]), out_bin.append(full + b)
     return pd.DataFrame({"key": out_key, "start": out_start, "length": out_length, "bin": out_bin}, dtype="int64")
 
@@ -138,8 +147,7 @@ ITEMS = "key long, length long, source_hash long, cluster long"
 def pack(items: DataFrame, capacity: int = CAPACITY, shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
     """``key, start, length, bin_id`` of every piece of ``items`` (columns of ITEMS).
 
-    A bin holds at most ``capacity`` and no two pieces of one cluster or of one source (sources meet as 64 hash
-    classes). An item of length 0 takes no room: one piece, in no bin (null).
+    A bin holds at most ``capacity`` and no two pieces of one cluster or of one source. An item of length 0 takes no room: one piece, in no bin (null).
     """
     items = workspace.materialise(items, "items")
     shards = max(1, -(-items.count() // shard_documents))

@@ -322,6 +322,32 @@ def test_packing_equals_brute_force(seed):
     assert got == brute_pack(list(items.itertuples(index=False, name=None)), capacity)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_packing_tells_all_sources_apart(seed):
+    r = np.random.default_rng(1000 + seed)
+    n, capacity = 200, int(r.integers(5, 130))
+    sources = r.integers(-(1 << 63), (1 << 63) - 1, int(r.integers(1, 150)))
+    items = pd.DataFrame({"key": np.arange(n), "length": r.integers(1, capacity, n), "source_hash": r.choice(sources, n), "cluster": r.integers(0, r.integers(1, 199), n)})
+    rank = {s: i for i, s in enumerate(sorted(set(items["source_hash"])))}
+    bins, want = [], {}
+    for k, length, s, c in sorted(items.itertuples(index=False, name=None), key=lambda x: (-x[1], x[0])):
+        fits = [(room, i) for i, (room, ss, cc) in enumerate(bins) if room >= length and rank[s] not in ss and c not in cc]
+        i = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append([capacity, set(), set()])
+        bins[i][0] -= length
+        bins[i][1].add(rank[s])
+        bins[i][2].add(c)
+        want[k] = i
+    assert packing.pack_shard(items, capacity).set_index("key")["bin"].to_dict() == want
+
+
+def test_packing_fills_a_bin_beyond_64_pieces():
+    n = 200
+    items = pd.DataFrame({"key": np.arange(n), "length": np.ones(n, int), "source_hash": np.arange(n) * 64, "cluster": np.arange(n) * 64})
+    assert packing.pack_shard(items, n)["bin"].tolist() == [0] * n
+
+
 def test_op8(spark, tmp_path):
     rng = random.Random(1)
     texts = [prose(rng, rng.choice([3, 50, 900, 2048, 5000])) for _ in range(40)] + ["dup x"] * 5 + ODD
