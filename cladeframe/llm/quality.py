@@ -4,7 +4,7 @@ Base figures come from one pass over the text. Lines are normalised (lower case,
 hashed; for each host the documents with a line are counted, copies of one text counting once. A line found in more of
 a host's documents than the limit is taken out of all of them but the first (by id), and a document left with less
 than a share of its words is rejected as depleted. Keeping the first instance keeps one document of every group of
-near copies, whatever its size.
+near copies, whatever its size. :func:`judge` says which lines of a text go; :func:`accepted` takes them out.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cladeframe.llm import textkernels as tk
 from cladeframe.llm import workspace
@@ -60,8 +62,7 @@ def line_facts(text: str) -> tuple[int, list[int], list[int]]:
         seen.add(line)
         key = " ".join(parts).lower()
         found[key] = found.get(key, 0) + len(parts)
-    hashes = [int.from_bytes(hashlib.md5(k.encode()).digest()[:8], "little", signed=True) for k in found]
-    return dup, hashes, list(found.values())
+    return dup, [_line_hash(k) for k in found], list(found.values())
 
 
 _TO_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
@@ -71,6 +72,16 @@ def _words(line: str) -> list[str]:
     return line.translate(_TO_SPACE).split(" ")
 
 
+def _line_hash(normalised: str) -> int:
+    return int.from_bytes(hashlib.md5(normalised.encode()).digest()[:8], "little", signed=True)
+
+
+def without_lines(text: str, hashes: set[int]) -> str:
+    """The text without the lines whose normalised form has one of the hashes; other lines stay as they are."""
+    stays = lambda parts: not parts or _line_hash(" ".join(parts).lower()) not in hashes
+    return "\n".join(line for line in text.split("\n") if stays([w for w in _words(line) if w]))
+
+
 def base_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tk.chunks(batch, "text"):
@@ -116,20 +127,16 @@ def base(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFram
     return workspace.arrow_map(own, base_rows, BASE_SCHEMA)
 
 
-def judge(
+def _verdicts(
     docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    line_documents: int = LINE_DOCUMENTS,
-    line_share: float = LINE_SHARE,
-    kept_share: float = KEPT_SHARE,
+    id_col: str,
+    text_col: str,
+    host_col: str,
+    line_documents: int,
+    line_share: float,
+    kept_share: float,
 ) -> DataFrame:
-    """Per row: the base figures, base_failed, lines removed, words left and kept.
-
-    A null text counts as empty (no words, so base_failed); a null host is one host. Rows with equal id and text are
-    judged alike; an empty table gives an empty result.
-    """
+    """What :func:`judge` says, with ``host, text_hash`` and the hashes of the lines that go from the text (null: none)."""
     facts = workspace.materialise(base(docs, id_col, text_col, host_col), "quality")
     # distinct documents: rows with one text in one host count once, under the first of them
     lines = facts.select("host", "text_hash", "doc_id", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("l"))
@@ -150,7 +157,7 @@ def judge(
         per_text.join(frequent, ["host", "line"])
         .filter(F.col("text_hash") != F.col("owner"))
         .groupBy("host", "text_hash")
-        .agg(F.sum("words").alias("removed_words"), F.count(F.lit(1)).alias("removed_lines"))
+        .agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("cut_lines"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     removed = F.coalesce(F.col("removed_words"), F.lit(0))
@@ -161,24 +168,61 @@ def judge(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             failed.alias("base_failed"),
             (~failed & (F.col("n_words") - removed >= F.lit(kept_share) * F.col("n_words"))).alias("kept"),
-            F.coalesce(F.col("removed_lines"), F.lit(0)).alias("removed_lines"),
+            F.coalesce(F.array_size("cut_lines"), F.lit(0)).cast("long").alias("removed_lines"),
             removed.alias("removed_words"),
-            "text_hash",
+            "host", "text_hash", "cut_lines",
         )
     )
 
 
+def judge(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    line_documents: int = LINE_DOCUMENTS,
+    line_share: float = LINE_SHARE,
+    kept_share: float = KEPT_SHARE,
+) -> DataFrame:
+    """Per row: the base figures, base_failed, lines removed, words left and kept.
+
+    A null text counts as empty (no words, so base_failed); a null host is one host. Rows with equal id and text are
+    judged alike; an empty table gives an empty result.
+    """
+    return _verdicts(docs, id_col, text_col, host_col, line_documents, line_share, kept_share).drop("host", "cut_lines")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return judge(docs).drop("text_hash")
 
 
-def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows that the rules keep, all columns unchanged."""
-    verdict = judge(docs, id_col, text_col, host_col).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_text"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), _text_hash(F.col(text_col)).alias("text_hash"))
-    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_text"))
-    return rows.join(verdict, same, "left_semi").select("row.*")
+@F.pandas_udf(StringType())
+def _cut(texts: pd.Series, cut_lines: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else without_lines(t, set(c.tolist())) for t, c in zip(texts, cut_lines, strict=True)], dtype=object)
+
+
+def accepted(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars"
+) -> DataFrame:
+    """The rows that the rules keep, without the frequent lines of their texts; ``chars_col`` follows the text."""
+    names = ("kept_id", "kept_host", "kept_text")
+    verdict = _verdicts(docs, id_col, text_col, host_col, LINE_DOCUMENTS, LINE_SHARE, KEPT_SHARE).filter("kept")
+    verdict = verdict.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "host", "text_hash"), names, strict=True)), "cut_lines")
+    verdict = verdict.groupBy(*names).agg(F.first("cut_lines").alias("cut_lines"))  # rows alike in all three are judged alike
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), _text_hash(F.col(text_col)).alias("text_hash"),
+        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
+    )
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_text")) & (F.col("host") == F.col("kept_host"))
+    cut, old = F.col("cut_lines").isNotNull(), F.col("row").getField(text_col)
+    # texts that lose nothing do not travel to Python
+    out = rows.join(verdict, same).withColumn("left_text", _cut(F.when(cut, old.cast("string")), "cut_lines"))
+    row = F.col("row").withField(text_col, F.when(cut, F.col("left_text")).otherwise(old))
+    if chars_col in docs.columns:
+        count = F.char_length("left_text").cast(docs.schema[chars_col].dataType)
+        row = row.withField(chars_col, F.when(cut, count).otherwise(F.col("row").getField(chars_col)))
+    return out.select(row.alias("row")).select("row.*")
 
 
 ORACLE = r"""

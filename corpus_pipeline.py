@@ -12,7 +12,7 @@ from cladeframe.llm import exact_dedup, minhash_dedup, packing, quality, substri
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; texts stay as they are."""
+    """Documents that the rules reject go, and so do frequent lines of the others; text and n_chars follow."""
     return quality.accepted(docs)
 
 

@@ -225,6 +225,32 @@ def test_quality_frequent_lines(spark):
     assert quality.judge(docs.limit(0)).collect() == []
 
 
+def test_quality_takes_frequent_lines_out(spark):
+    rng = random.Random(5)
+    common = ["All rights  reserved \u00c9", "read\tmore here"]
+    rows = []
+    for i in range(60):
+        text = prose(rng, 60) + f"\n{common[0]}\n\n {common[0].upper()}\n" + prose(rng, 9) + (f"\n{common[1]}" if i < 55 else "") + "\n"
+        rows.append((i, text, "h", len(text)))
+    rows += [(59, rows[59][1], "h", rows[59][3]), (59, rows[59][1], "other", rows[59][3]), (None, rows[58][1], "h", rows[58][3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = quality.accepted(docs)
+    assert got.schema == docs.schema
+    norm = lambda line: " ".join(WORD.findall(line)).lower()
+    gone = {norm(c) for c in common}
+
+    def want(i, text, host, n):  # the first text keeps the lines, and so does a host where they are rare
+        out = text if i == 0 or host == "other" else "\n".join(x for x in text.split("\n") if norm(x) not in gone)
+        return i, out, host, len(out)
+
+    order = lambda r: (r[0] is None, r[0] or 0, r[2])
+    assert sorted((tuple(r) for r in got.collect()), key=order) == sorted((want(*r) for r in rows), key=order)
+    told = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    for r in got.filter("doc_id < 59").collect():
+        t = told[r["doc_id"]]
+        assert len(WORD.findall(r["text"])) == t["n_words"] - t["removed_words"]
+
+
 # --- archives -------------------------------------------------------------------------------------------------------
 
 
