@@ -21,7 +21,6 @@ ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op4_substring": substring.ORACLE,
     "op7_warc": warc.ORACLE,
-    "op8_best_fit": packing.op8_best_fit,
     "op9_chat": chat.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }

@@ -397,6 +397,12 @@ def test_op8(spark, tmp_path):
         assert len({s for s, _ in b}) == len(b) == len({t for _, t in b})
 
 
+def test_all_oracles_are_sql():
+    import __spark_entry__ as entry
+
+    assert {name for name, sql in entry.oracle_sql().items() if not isinstance(sql, str)} == set()
+
+
 def test_op8_empty_table(spark, tmp_path):
     assert packing.op8_best_fit(spark, documents(spark, tmp_path, [])).collect() == []
 
