@@ -251,6 +251,29 @@ def test_quality_takes_frequent_lines_out(spark):
         assert len(WORD.findall(r["text"])) == t["n_words"] - t["removed_words"]
 
 
+@pytest.mark.parametrize(("size", "gone"), [(400, {"x51"}), (5150, {"x52"})])
+def test_quality_production_limits_equal_the_sql(spark, tmp_path, size, gone):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(size)
+    lines = {"x50": 50, "x51": 51} if size < 5000 else {"x51": 51, "x52": 52}  # 1 % of 5,150 is 51.5
+    rows, at = [], 0
+    filler = prose(rng, 55)
+    texts = [f"{filler}\nown {i}" for i in range(size)]
+    for line, n in lines.items():
+        for i in range(at, at + n):
+            texts[i] += f"\n{line}"
+        at += n
+    rows = [(i, t, "h") for i, t in enumerate(texts)]
+    d = table(spark, tmp_path, "documents", rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.op10_quality_rules(spark, d).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT doc_id, kept, removed_lines, removed_words FROM ({quality.ORACLE})").fetchall()
+    assert {(i, r["kept"], r["removed_lines"], r["removed_words"]) for i, r in got.items()} == set(want)
+    # the filler is frequent at either size, so a text that has lost more than it has lost a planted line too
+    assert {texts[i].split("\n")[-1] for i, r in got.items() if r["removed_lines"] > 1} == gone
+
+
 # --- archives -------------------------------------------------------------------------------------------------------
 
 
