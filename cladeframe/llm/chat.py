@@ -24,6 +24,15 @@ RECORD = (
     " prompt string, response string, completion string, system string, instruction string, input string, output string"
 )
 
+LISTS = ("messages", "conversations")
+PLAIN = ("prompt", "response", "completion", "system", "instruction", "input", "output")
+#: The same fields as objects, or lists of objects: what is none of these is null.
+OBJECTS = ", ".join(
+    f"{name} {'array<map<string, string>>' if name in LISTS else 'map<string, string>'}"
+    for name in (*LISTS, *PLAIN)
+)
+_WHOLE = {"maxStringLen": "2147483647"}
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -60,25 +69,26 @@ LAYOUTS = (
 )
 
 
-def field_paths(record: Column) -> Column:
-    """Sorted nested field paths of a JSON object, one level of lists of objects deep; null if it is none."""
-    keys = F.json_object_keys(record)
-    nested = {k: F.json_object_keys(F.get_json_object(record, f"$.{k}[0]")) for k in ("messages", "conversations")}
-    spread = F.transform(
-        keys,
-        lambda k: reduce(
-            lambda c, name: F.when((k == name) & nested[name].isNotNull(), F.transform(nested[name], lambda n: F.concat(F.lit(f"{name}[]."), n))).otherwise(c),
-            nested,
-            F.array(k),
-        ),
-    )
+def field_paths(record: Column, inner: Column) -> Column:
+    """Sorted nested field paths of a JSON object, with those of all objects of a list; null if it is none.
+
+    ``inner`` is the record read by OBJECTS. A list with anything but objects has the path of a field without a name, which no layout declares.
+    """
+    names = lambda objects: F.array_distinct(F.flatten(F.transform(objects, lambda o: F.coalesce(F.map_keys(o), F.array(F.lit(""))))))
+
+    def paths(key: Column, name: str) -> tuple[Column, Column]:
+        if name in LISTS:
+            return (key == name) & (F.size(inner[name]) > 0), F.transform(names(inner[name]), lambda n: F.concat(F.lit(f"{name}[]."), n))
+        return (key == name) & inner[name].isNotNull(), F.array_append(F.transform(F.map_keys(inner[name]), lambda n: F.concat(F.lit(f"{name}."), n)), F.lit(f"{name}."))
+
+    spread = F.transform(F.json_object_keys(record), lambda k: reduce(lambda c, name: F.when(*paths(k, name)).otherwise(c), (*LISTS, *PLAIN), F.array(k)))
     return F.array_join(F.array_sort(F.flatten(spread)), ";")
 
 
 def canonical(records: DataFrame, record_col: str = "record") -> DataFrame:
     """Adds layout and turns. A record of no declared layout (or null, or no JSON) has a null layout and no turns."""
-    paths = F.sha2(field_paths(F.col(record_col)), 256)
-    parsed = records.withColumn("__f", paths).withColumn("__r", F.from_json(F.col(record_col), RECORD, {"maxStringLen": "2147483647"}))
+    read = records.withColumn("__o", F.from_json(F.col(record_col), OBJECTS, _WHOLE))
+    parsed = read.withColumn("__f", F.sha2(field_paths(F.col(record_col), F.col("__o")), 256)).drop("__o").withColumn("__r", F.from_json(F.col(record_col), RECORD, _WHOLE))
     layout, turns = F.lit(None).cast("string"), F.expr("cast(array() as array<struct<role string, text string>>)")
     for known in LAYOUTS:
         mine = F.col("__f") == known.fingerprint()

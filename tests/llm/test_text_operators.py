@@ -345,6 +345,25 @@ def test_chat_layouts(spark):
         assert got[k]["layout"] is None and got[k]["turns"] == []
 
 
+def test_chat_mixed_records_have_no_layout(spark):
+    first = {"role": "user", "content": "q"}
+    mixed = [
+        {"messages": [first, {"role": "assistant", "value": "a"}]},
+        {"messages": [first, None]},
+        {"messages": [first, "a"]},
+        {"messages": []},
+        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "content": "a"}]},
+        {"prompt": {"text": "q"}, "response": "a"},
+        {"prompt": "q", "response": {}},
+    ]
+    plain = [{"prompt": '{"text": "q"}', "response": "{}"}, {"messages": [first, {"role": "assistant", "content": '{"a": 1}'}]}]
+    rows = [(i, json.dumps(r)) for i, r in enumerate(mixed + plain)]
+    got = {r["n"]: r for r in chat.canonical(spark.createDataFrame(rows, "n int, record string")).collect()}
+    assert [(got[i]["layout"], got[i]["turns"]) for i in range(len(mixed))] == [(None, [])] * len(mixed)
+    assert [got[len(mixed) + i]["layout"] for i in range(2)] == ["prompt", "messages"]
+    assert [t["text"] for t in got[len(mixed)]["turns"]] == ['{"text": "q"}', "{}"]
+
+
 # --- packing --------------------------------------------------------------------------------------------------------
 
 
