@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import neardup, poisson, workspace
+from cladeframe.llm import blobs, differences, neardup, poisson, workspace
 from cladeframe.llm import textkernels as tk
 from cladeframe.llm.substring import keyed
 
@@ -88,69 +88,79 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both, int(a[1].sum()) + int(b[1].sum()) - both
 
 
+def bags_of(shingles: Callable, as_sets: bool, batch: pa.RecordBatch, held: dict) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Bags of the texts that pairs of a batch name, by key; those in ``held`` are taken from there."""
+    texts = {}
+    for keys, column in (("a", "a_text"), ("b", "b_text")):
+        values = batch.column(column)
+        for i, key in enumerate(batch.column(keys).to_pylist()):
+            if key not in held and key not in texts:
+                texts[key] = values[i]
+    bags = dict(held)
+    if texts:
+        names = list(texts)
+        cut = pa.RecordBatch.from_arrays([pa.array(names), pa.array([texts[k].as_py() for k in names], pa.string())], ["key", "text"])
+        for part in tk.chunks(cut, "text"):
+            elements, weights, bag = distinct(*shingles(*tk.buffer(part.column("text"))), whole=True)
+            edges = np.searchsorted(bag, np.arange(part.num_rows + 1)).tolist()
+            for k, x, y in zip(part.column("key").to_pylist(), edges, edges[1:], strict=False):
+                bags[k] = elements[x:y], (np.ones(y - x, np.int64) if as_sets else weights[x:y])
+    return bags
+
+
 def verify_rows(shingles: Callable, as_sets: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with their texts: similarity, and whether it reaches the threshold (told from whole numbers). A text is cut once as long as it stays in turn."""
     held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        texts = {}
-        for keys, column in ((a, "a_text"), (b, "b_text")):
-            values = batch.column(column)
-            for i, key in enumerate(keys):
-                if key not in held and key not in texts:
-                    texts[key] = values[i]
-        if texts:
-            names = list(texts)
-            cut = pa.RecordBatch.from_arrays([pa.array(names), pa.array([texts[k].as_py() for k in names], pa.string())], ["key", "text"])
-            bags = {}
-            for part in tk.chunks(cut, "text"):
-                elements, weights, bag = distinct(*shingles(*tk.buffer(part.column("text"))), whole=True)
-                edges = np.searchsorted(bag, np.arange(part.num_rows + 1)).tolist()
-                for k, x, y in zip(part.column("key").to_pylist(), edges, edges[1:], strict=False):
-                    bags[k] = elements[x:y], (np.ones(y - x, np.int64) if as_sets else weights[x:y])
-            held |= bags
-        sizes = [overlap(held[x], held[y]) for x, y in zip(a, b, strict=True)]
+        bags = bags_of(shingles, as_sets, batch, held)
+        sizes = [overlap(bags[x], bags[y]) for x, y in zip(a, b, strict=True)]
         linked = [neardup.SIMILAR[1] * o >= neardup.SIMILAR[0] * u for o, u in sizes]
         yield pa.RecordBatch.from_arrays(
             [batch.column("a"), batch.column("b"), pa.array([o / u for o, u in sizes], pa.float64()), pa.array(linked, pa.bool_())],
             ["a", "b", "similarity", "linked"],
         )
-        held = {k: held[k] for k in {a[-1]} if k in held} if a else {}
+        held = {k: bags[k] for k in a[-1:]}
 
 
-def element_rows(shingles: Callable, as_sets: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def difference_rows(shingles: Callable, as_sets: bool, gather: Callable[[], differences.Gather], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a gatherer makes of pairs with their texts."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    to = gather()
     for batch in batches:
-        for part in tk.chunks(batch, "text"):
-            elements, weights, bag = distinct(*shingles(*tk.buffer(part.column("text"))), whole=True)
-            ends = pa.array(np.searchsorted(bag, np.arange(part.num_rows + 1)).astype(np.int32))
-            weights = np.ones_like(weights) if as_sets else weights
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (elements.view(np.int64), weights)]
-            yield pa.RecordBatch.from_arrays([part.column("key"), *lists], ["key", "e", "w"])
+        a, b, comp, flags = (batch.column(c).to_pylist() for c in ("a", "b", "comp", "flags"))
+        bags = bags_of(shingles, as_sets, batch, held)
+        for x, y, c, f in zip(a, b, comp, flags, strict=True):
+            to.add(x, y, c, f, bags[x], bags[y])
+            if to.full():
+                yield from blobs.batches(to.flush())
+        held = {k: bags[k] for k in a[-1:]}
+    yield from blobs.batches(to.flush())
 
 
 class Verifier:
     """For :func:`neardup.classes`: texts ``key, text`` that pairs name are written once and joined to both sides."""
 
     def __init__(self, texts: DataFrame, shingles: Callable, as_sets: bool):
-        self.texts, self.shingles, self.as_sets, self.by_elements = texts, shingles, as_sets, not as_sets
+        self.texts, self.shingles, self.as_sets = texts, shingles, as_sets
 
     def prepare(self, keys: DataFrame) -> None:
         # shuffled at every size: a broadcast would only serve small inputs
         self.texts = workspace.materialise(self.texts.join(keys.hint("merge"), "key", "left_semi"), "texts")
 
-    def check(self, pairs: DataFrame) -> DataFrame:
-        shingles, as_sets = self.shingles, self.as_sets
+    def _with_texts(self, pairs: DataFrame) -> DataFrame:
         right = pairs.join(self.texts.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b")
         both = right.join(self.texts.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a")
-        return workspace.arrow_map(both.select("a", "b", "a_text", "b_text"),
-            lambda s: verify_rows(shingles, as_sets, s), "a long, b long, similarity double, linked boolean"
-        )
+        return both.select(*pairs.columns, "a_text", "b_text")
+
+    def check(self, pairs: DataFrame) -> DataFrame:
+        shingles, as_sets = self.shingles, self.as_sets
+        rows = self._with_texts(pairs)
+        return workspace.arrow_map(rows, lambda s: verify_rows(shingles, as_sets, s), "a long, b long, similarity double, linked boolean")
 
-    def elements(self, keys: DataFrame) -> DataFrame:
+    def differences(self, pairs: DataFrame, gather: Callable[[], differences.Gather]) -> DataFrame:
         shingles, as_sets = self.shingles, self.as_sets
-        rows = self.texts.join(keys, "key", "left_semi").select("key", "text")
-        lists = workspace.arrow_map(rows, lambda s: element_rows(shingles, as_sets, s), "key long, e array<long>, w array<long>")
-        return lists.select("key", F.explode(F.arrays_zip("e", "w")).alias("z")).select("key", F.col("z.e").alias("element"), F.col("z.w").alias("weight"))
+        return workspace.arrow_map(self._with_texts(pairs), lambda s: difference_rows(shingles, as_sets, gather, s), blobs.SCHEMA)
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:

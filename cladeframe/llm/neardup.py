@@ -2,22 +2,11 @@
 
 Signatures' bands travel packed (see ``blobs``): items that share a band inside one task are told there, and of those
 and of equal bags one goes on, so a group of copies costs a row for each task and not for each member. Items with equal
-bags collapse to one representative. Representatives that share a band are a bucket; each is compared with the bucket's least member only (a star, not all pairs) and the links found are closed to components.
-
-What a star can miss is a link between two members of a bucket that do not both link to its lead. Those are found by
-bounds that cost no comparison, in this order:
-
-* Jaccard distance is a metric: a member that links to the lead (similarity t or more) can only link to one whose
-  similarity to the lead is 2t - 1 or more. So members that are linked already only stay where some member lies between.
-* Buckets that are one component are done.
-* Elements that few open items have are rare. Two items that share no rare element overlap in common ones alone, which
-  bounds their similarity and sets aside items with edits of their own; items that do share one are paired by it, a
-  bounded number for each element. Elements that some more items have bound what is left at the end, and pair only that.
-* A second star leads from the item with the least share of such elements, the closest to what the others have in common.
-* What is then left is compared where it shares two bands. Similar items nearly always do (at 24 bands all but one pair
-  in ten thousand at the threshold itself); items that merely share a passage nearly never.
-
-Pairs that are left between components are verified one by one, exactly; no count of partners or candidates is capped.
+bags collapse to one representative. Representatives that share a band are a bucket; each is compared with the bucket's
+lead, the member that meets most others (a star, not all pairs), and the links found are closed to components.
+
+What a star can miss is a link between two members that do not both link to their lead. Those are found through the
+members' differences from the lead (:mod:`differences`), exactly and without pairs of texts.
 """
 
 from __future__ import annotations
@@ -30,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm import blobs, workspace
+from cladeframe.llm import blobs, differences, workspace
 from cladeframe.llm.components import components
+from cladeframe.llm.differences import SIMILAR
 
 class Signed(NamedTuple):
     """Signatures of some items: keys, sizes, two 64-bit digests of each bag, and rows of item and band."""
@@ -137,25 +127,19 @@ def banded(items: DataFrame, sign: Callable[[pa.RecordBatch], Iterator[Signed]],
     return rows.filter(F.col("kind") == ITEM).select("key", "size", "bag1", "bag2"), rows.filter(F.col("kind") == FOUND).select("bucket", "key")
 
 
-#: Similarity from which items are near duplicates, as a fraction.
-SIMILAR = (8, 10)
-
 
 
 class Verifier(Protocol):
     """What knows the items themselves."""
 
-    #: Whether elements bound what is compared: worth it where items of many elements share few by chance.
-    by_elements: bool
-
     def prepare(self, keys: DataFrame) -> None:
         """Keys (column ``key``) that the other calls can name."""
 
     def check(self, pairs: DataFrame) -> DataFrame:
         """``a, b, similarity, linked`` of pairs ``a, b``."""
 
-    def elements(self, keys: DataFrame) -> DataFrame:
-        """``key, element, weight`` of the keys' bags."""
+    def differences(self, pairs: DataFrame, gather: Callable[[], "differences.Gather"]) -> DataFrame:
+        """What a gatherer makes of the bags of pairs ``a, b`` with their other columns."""
 
 
 def comparable(a: str, b: str, share: tuple[int, int] = SIMILAR) -> Column:
@@ -163,38 +147,33 @@ def comparable(a: str, b: str, share: tuple[int, int] = SIMILAR) -> Column:
     return share[1] * F.least(a, b) >= share[0] * F.greatest(a, b)
 
 
-def reachable(a: str, b: str, a_own: str, b_own: str) -> Column:
-    """Whether sizes, less the rare elements of either, leave room for the similarity of items that share none of those."""
-    both = F.least(F.col(a) - F.col(a_own), F.col(b) - F.col(b_own))
-    return SIMILAR[1] * both >= SIMILAR[0] * (F.col(a) + F.col(b) - both)
-
-
-def _mixed(rows: DataFrame, place: str) -> DataFrame:
-    """Rows of places in which members of two components meet; the places are written."""
-    met = rows.groupBy(place).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select(place)
-    return rows.join(workspace.materialise(met, "met"), place)
-
+def _led(members: DataFrame) -> DataFrame:
+    """``a, b, a_size, b_size``: every member of a bucket with the bucket's lead, the member with most company in all its buckets."""
+    count = workspace.materialise(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "count")
+    company = members.join(count, "bucket").groupBy("rep").agg(F.sum("n").alias("company"))
+    met = members.join(workspace.materialise(company, "company"), "rep")
+    leads = met.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("rep")).alias("low"), "size")).alias("lead"), F.count(F.lit(1)).alias("n"))
+    leads = leads.filter("n > 1").select("bucket", (-F.col("lead.low")).alias("a"), F.col("lead.size").alias("a_size"))
+    led = members.join(workspace.materialise(leads, "leads"), "bucket").filter("rep <> a")
+    return led.select("a", F.col("rep").alias("b"), "a_size", F.col("size").alias("b_size")).distinct()
 
-def _spread(held: DataFrame) -> DataFrame:
-    """``place, rep, size, comp, own_most, largest``: members by pairs of their buckets, where members of two components meet."""
-    own = held.groupBy("rep").agg(*(F.max(c).alias(c) for c in ("size", "comp", "own", "most")), F.sort_array(F.collect_set("bucket")).alias("b")).filter("size(b) > 1")
-    two = own.select("*", F.posexplode("b").alias("i", "x"))
-    pairs = F.explode(F.transform(F.expr("slice(b, i + 2, size(b))"), lambda y: F.xxhash64("x", y))).alias("place")
-    rows = two.select("rep", "size", "comp", F.col("most").alias("own_most"), pairs)
-    # with each place's largest component, which needs no comparison inside: its members meet everyone else
-    count = rows.groupBy("place", "comp").agg(F.count(F.lit(1)).alias("n"))
-    met = count.groupBy("place").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("m")).filter("comps > 1")
-    return rows.join(workspace.materialise(met.select("place", F.col("m.comp").alias("largest")), "met"), "place")
 
+def _open(pairs: DataFrame, near: float) -> DataFrame:
+    """``a, b, comp, linked``: of ``a, b, a_comp, comp, similarity, linked``, what can have links that the star missed.
 
-#: Open items that may have a rare element, and one that pairs what is in doubt.
-RARE, SCARCE = 8, 64
-
-
-def _scarce(elements: DataFrame) -> DataFrame:
-    """``element, n, key, weight``: the elements of ``key, element, weight`` that no more than SCARCE items have."""
-    few = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= SCARCE)
-    return elements.join(few, "element")
+    Such a link has an end that is not linked to the lead. The other is not either, or it is, and then (Jaccard
+    distance is a metric) the first's similarity to the lead is 2t - 1 or more and the second's is t short of one at most.
+    """
+    loose = ~F.col("linked")
+    apart = F.max(F.when(loose & (F.col("comp") != F.col("a_comp")), F.col("similarity"))).alias("apart")
+    groups = pairs.groupBy("a").agg(F.min(F.when(loose, F.col("comp"))).alias("low"), F.max(F.when(loose, F.col("comp"))).alias("high"), apart)
+    groups = groups.select("a", (F.col("low") != F.col("high")).alias("several"), F.coalesce("apart", F.lit(-1.0)).alias("apart"), (F.col("apart") >= near).alias("between"))
+    groups = workspace.materialise(groups.filter("several or between"), "open")
+    held = pairs.join(groups, "a").filter(
+        F.when(loose, F.col("several") | ((F.col("comp") != F.col("a_comp")) & (F.col("similarity") >= near)))
+        .otherwise(F.col("between") & (F.col("similarity") <= F.col("apart") + (1 - SIMILAR[0] / SIMILAR[1]) + 1e-9))
+    )
+    return held.select("a", "b", "comp", "linked", F.coalesce("between", F.lit(False)).alias("between"), "a_size", "b_size")
 
 
 def classes(signed: DataFrame, shared: DataFrame, verifier: Verifier) -> DataFrame:
@@ -209,93 +188,25 @@ def classes(signed: DataFrame, shared: DataFrame, verifier: Verifier) -> DataFra
     # keys in buckets give way to the representatives of their bags
     few = signed.join(shared.select("key").distinct(), "key", "left_semi").join(bags, ["bag1", "bag2"]).select("key", "size", "rep")
     members = shared.join(workspace.materialise(few, "few"), "key").groupBy("bucket", "rep").agg(F.max("size").alias("size"))
-    members = workspace.materialise(members, "members")
-    leads = members.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("other")).filter("lead <> other")
-    members = workspace.materialise(members.join(workspace.materialise(leads.select("bucket", "lead"), "leads"), "bucket"), "members")
-    verifier.prepare(members.select(F.col("rep").alias("key")).distinct())
-
-    sizes = members.filter("rep = lead").select(F.col("rep").alias("a"), F.col("size").alias("a_size")).distinct()
-    star = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"), "size").distinct().join(sizes, "a")
-    star = workspace.materialise(star.filter(comparable("size", "a_size", near)).select("a", "b"), "pairs")
-    told = workspace.materialise(verifier.check(star), "star")
-    links = told.filter("linked").select("a", "b")
-    first = workspace.materialise(components(links).withColumnRenamed("node", "rep"), "first")
-
-    lead = F.col("rep") == F.col("a")
-    placed = members.withColumnRenamed("lead", "a").join(told.withColumnRenamed("b", "rep"), ["a", "rep"], "left")
-    placed = placed.select("bucket", "rep", "size", (lead | F.coalesce("linked", F.lit(False))).alias("linked"), F.coalesce("similarity", F.when(lead, 1.0), F.lit(0.0)).alias("similarity"))
-    placed = placed.join(first, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    between = ~F.col("linked") & (F.col("similarity") >= near[0] / near[1] - 1e-9)
-    open_buckets = (
-        placed.groupBy("bucket")
-        .agg(F.count_if(between).alias("between"), F.count_if(~F.col("linked")).alias("loose"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        .filter("low <> high and (between > 0 or loose > 1)")
+    led = workspace.materialise(_led(workspace.materialise(members, "members")), "led")
+    verifier.prepare(led.select(F.col("a").alias("key")).unionByName(led.select(F.col("b").alias("key"))).distinct())
+
+    told = workspace.materialise(verifier.check(led.filter(comparable("a_size", "b_size", near)).select("a", "b")), "star")
+    comps = workspace.materialise(components(told.filter("linked").select("a", "b")), "first")
+    placed = led.join(told, ["a", "b"], "left").join(comps.select(F.col("node").alias("b"), "comp"), "b", "left")
+    placed = placed.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), "a", "left")
+    placed = placed.select(
+        "a", "b", "a_size", "b_size", F.coalesce("comp", "b").alias("comp"), F.coalesce("a_comp", "a").alias("a_comp"),
+        F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("linked", F.lit(False)).alias("linked"),
     )
-    held = placed.join(workspace.materialise(open_buckets.select("bucket", "between"), "open"), "bucket").filter("not linked or between > 0")
-    held = workspace.materialise(held.select("bucket", "rep", "size", "comp"), "held")
-    named = lambda last: workspace.materialise(bags.join(last, "rep", "left").select("bag1", "bag2", F.coalesce("comp", "rep").alias("class")), "classes")
-    if not held.isEmpty():
-        first = _across(held, links, first, verifier)
+    held = workspace.materialise(_open(workspace.materialise(placed, "placed"), near[0] / near[1] - 1e-9), "held")
+    links = differences.links(held, verifier)
+    if links is not None:  # between components of the star
+        joined = workspace.materialise(components(links).select(F.col("node").alias("comp"), F.col("comp").alias("all")), "joined")
+        every = comps.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps, "node", "left_anti").select("node", F.col("node").alias("comp")))
+        comps = workspace.materialise(every.join(joined, "comp", "left").select("node", F.coalesce("all", "comp").alias("comp")), "last")
+    named = bags.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bag1", "bag2", F.coalesce("comp", "rep").alias("class"))
     return (
-        signed.filter("size > 0").join(named(first), ["bag1", "bag2"]).select("key", "class")
+        signed.filter("size > 0").join(workspace.materialise(named, "classes"), ["bag1", "bag2"]).select("key", "class")
         .unionByName(signed.filter("size = 0").select("key", F.col("key").alias("class")))
     )
-
-
-def _across(held: DataFrame, links: DataFrame, first: DataFrame, verifier: Verifier) -> DataFrame:
-    """Components with the links that the first star missed, from ``bucket, rep, size, comp`` of open buckets."""
-    several = held.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("comp").alias("comp")).filter("n > 1")
-    items = workspace.materialise(several.select("rep", "size", "comp"), "items")
-    if not verifier.by_elements:
-        held = held.join(items.select("rep"), "rep", "left_semi").withColumn("own", F.lit(0).cast("long")).withColumn("most", F.lit(0).cast("long"))
-        return _rest(held, None, items, links, first, verifier)
-    scarce = workspace.materialise(_scarce(verifier.elements(items.select(F.col("rep").alias("key")))), "scarce")
-    own = scarce.groupBy(F.col("key").alias("rep")).agg(F.sum(F.when(F.col("n") <= RARE, F.col("weight")).otherwise(0)).alias("own"), F.sum("weight").alias("most"))
-    own = workspace.materialise(own, "own")
-    held = held.join(items.select("rep"), "rep", "left_semi").join(own, "rep", "left").fillna(0, ["own", "most"])
-    # an item that even the best size there is in a bucket cannot reach is done with there
-    least = workspace.materialise(held.groupBy("bucket").agg(F.min("size").alias("least")), "least")
-    held = held.join(least, "bucket").withColumn("zero", F.lit(0))
-    held = held.withColumn("best", F.greatest("least", F.col("size") - F.col("own"))).filter(reachable("size", "best", "own", "zero"))
-    held = workspace.materialise(held.select("bucket", "rep", "size", "comp", "own", "most"), "reachable")
-
-    side = lambda k: items.select(F.col("rep").alias(k), F.col("size").alias(f"{k}_size"), F.col("comp").alias(f"{k}_comp"))
-    owners = scarce.filter("n > 1").select("element", "n", F.col("key").alias("a"))
-    rare = owners.filter(F.col("n") <= RARE).drop("n")
-    paired = rare.join(rare.withColumnRenamed("a", "b"), "element").filter("a < b").select("a", "b").distinct()
-    paired = paired.join(side("a"), "a").join(side("b"), "b").filter("a_comp <> b_comp").filter(comparable("a_size", "b_size")).select("a", "b")
-
-    open_rows = workspace.materialise(_mixed(held, "bucket"), "open")
-    leads = open_rows.groupBy("bucket").agg(F.min(F.struct((F.col("most") / F.col("size")).alias("share"), "rep", "size", "own", "comp")).alias("lead"))
-    leads = leads.select("bucket", F.col("lead.rep").alias("a"), F.col("lead.size").alias("a_size"), F.col("lead.own").alias("a_own"), F.col("lead.comp").alias("a_comp"))
-    star = open_rows.join(workspace.materialise(leads, "leads"), "bucket")
-    star = star.filter("comp <> a_comp").filter(comparable("size", "a_size")).filter(reachable("size", "a_size", "own", "a_own"))
-    star = star.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).unionByName(paired)
-    star = workspace.materialise(star.distinct(), "pairs")
-    told = verifier.check(star).filter("linked").select("a", "b")
-    links = workspace.materialise(links.unionByName(told), "links")
-    second = workspace.materialise(components(links).withColumnRenamed("node", "rep"), "second")
-
-    return _rest(open_rows, owners, items, links, second, verifier)
-
-
-def _rest(rows: DataFrame, owners: DataFrame | None, items: DataFrame, links: DataFrame, second: DataFrame, verifier: Verifier) -> DataFrame:
-    """Components with the links between what is still apart, pair by pair."""
-    now = rows.drop("comp").join(second, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    now = workspace.materialise(_spread(workspace.materialise(_mixed(now, "bucket"), "open")), "spread")
-    part = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("rep", "size", "most", "comp")]
-    each = now.select("place", "rep", "size", F.col("own_most").alias("most"), "comp", "largest")
-    x, y = each.filter("comp <> largest").select("place", *part("x")), each.select("place", *part("y"))
-    pairs = x.join(y, "place").filter("x_comp <> y_comp").filter(comparable("x_size", "y_size")).filter(reachable("x_size", "y_size", "x_most", "y_most"))
-    pairs = pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
-    if owners is not None:  # that bound sets scarce elements aside, so those of the items compared pair them too
-        side = lambda k: items.select(F.col("rep").alias(k), F.col("size").alias(f"{k}_size"))
-        left = workspace.materialise(x.select(F.col("x_rep").alias("a")).distinct(), "left")
-        some = owners.filter(F.col("n") > RARE).drop("n")
-        shared = some.join(left, "a", "left_semi").join(some.withColumnRenamed("a", "b"), "element").filter("a <> b").select("a", "b").distinct()
-        shared = shared.join(side("a"), "a").join(side("b"), "b").filter(comparable("a_size", "b_size"))
-        pairs = pairs.unionByName(shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = pairs.distinct()
-    pairs = workspace.materialise(pairs, "pairs")
-    more = workspace.materialise(verifier.check(pairs).filter("linked").select("a", "b"), "more")
-    return second if more.isEmpty() else workspace.materialise(components(links.unionByName(more)).withColumnRenamed("node", "rep"), "last")

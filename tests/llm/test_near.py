@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from cladeframe.llm import components, line_dedup, minhash_dedup, poisson
+from cladeframe.llm import components, differences, line_dedup, minhash_dedup, poisson
 
 
 def union_find(n, links):
@@ -102,6 +102,66 @@ def test_near_duplicates_equal_brute_force(spark, tmp_path):
     assert all(got[i]["class_size"] == size[want[i]] and got[i]["kept"] == (want[i] == i) for i in range(len(texts)))
 
 
+def test_links_by_common_edits_equal_brute_force(spark, tmp_path):
+    """Every edit is common to many texts, so that links run between texts that are not linked to any lead."""
+    rng = random.Random(3)
+    base, texts = words(rng, 150), []
+    for _ in range(400):
+        w = list(base)
+        for i in rng.sample(range(40), rng.randrange(1, 9)):
+            w[1 + i * 149 // 40] = f"e{i}"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r["class_id"] for r in run_near(spark, tmp_path, texts)}
+    assert [got[i] for i in range(len(texts))] == union_find(len(texts), brute_links([word_bag(t) for t in texts]))
+
+
+def code_words():
+    """The extended binary Golay code: 4,096 words of 24 bits, any two of which differ in eight or more."""
+    out = []
+    for m in range(1 << 12):
+        rest = m << 11
+        for i in range(22, 10, -1):
+            if rest >> i & 1:
+                rest ^= 0b101011100011 << (i - 11)
+        word = m << 11 | rest
+        out.append(word << 1 | word.bit_count() % 2)
+    return out
+
+
+def test_texts_just_below_the_threshold_make_few_pairs(spark, tmp_path, monkeypatch):
+    """Each text is its own class, all are 0.762 similar to many, and no edit is rare; pairs follow the texts, not their square."""
+    rng = random.Random(0)
+    base = words(rng, 300)
+    pairs = []
+    check = minhash_dedup.Verifier.check
+    monkeypatch.setattr(minhash_dedup.Verifier, "check", lambda self, p: pairs.append(p.count()) or check(self, p))
+    for n in (200, 800):
+        texts = []
+        for code in rng.sample(code_words(), n):
+            w = list(base)
+            for i in range(24):
+                if code >> i & 1:
+                    w[6 + 12 * i] = f"e{i}"
+            texts.append(" ".join(w))
+        got = run_near(spark, tmp_path / str(n), texts)
+        assert len({r["class_id"] for r in got}) == n
+    assert pairs[1] < 6 * pairs[0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_differences_are_those_of_bags(seed):
+    rng = np.random.default_rng(seed)
+    bags = []
+    for _ in range(3):
+        e = np.unique(rng.integers(0, 40, 30).astype(np.uint64))
+        bags.append((e, rng.integers(1, 4, len(e))))
+    count = lambda b: collections.Counter(dict(zip(b[0].tolist(), b[1].tolist(), strict=True)))
+    a, b, c = (count(x) for x in bags)
+    d1, d2 = (set(differences.difference(bags[0], x).tolist()) for x in bags[1:])
+    assert len(d1) == sum(((a - b) + (b - a)).values())
+    assert len(d1) + len(d2) - 2 * len(d1 & d2) == sum(((b - c) + (c - b)).values())
+
+
 def test_near_duplicates_null_and_repeated_ids(spark, tmp_path):
     text = " ".join(words(random.Random(1), 30))
     got = run_near(spark, tmp_path, [text, text, text, "other words here in this one"], [None, 7, 7, None])
