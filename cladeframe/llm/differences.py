@@ -50,15 +50,26 @@ FLUSH, BUCKET_ELEMENTS, SHARD, PAIRS = 1 << 19, 1 << 20, 4096, 1 << 17
 U64 = np.uint64
 Bag = tuple[np.ndarray, np.ndarray]
 
+#: What marks an element's first occurrence.
+FIRST = tk.mix(np.zeros(1, U64))
+
 
 def difference(a: Bag, b: Bag) -> np.ndarray:
     """Names of what one of two bags (distinct elements in order, weights) has more of, one for each occurrence."""
-    elements, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-    weights = np.zeros((2, len(elements)), np.int64)
-    weights[0, at[: len(a[0])]] = a[1]
-    weights[1, at[len(a[0]) :]] = b[1]
-    low = weights.min(axis=0)
-    more = weights.max(axis=0) - low
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
+        elements, low, more = b[0], np.zeros(len(b[0]), np.int64), b[1]
+    else:
+        at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+        hit = b[0][at] == a[0]
+        other = np.zeros(len(b[0]), np.int64)
+        other[at[hit]] = a[1][hit]
+        elements = np.concatenate([a[0][~hit], b[0]])
+        low = np.concatenate([np.zeros(len(elements) - len(other), np.int64), np.minimum(other, b[1])])
+        more = np.concatenate([a[1][~hit], np.abs(other - b[1])])
+    if len(more) and more.max() == 1 and not low[more > 0].any():
+        return tk.mix(elements[more > 0] ^ FIRST)
     which = np.repeat(np.arange(len(elements)), more)
     turn = np.arange(len(which)) - np.repeat(np.cumsum(more) - more, more) + low[which]
     return tk.mix(elements[which] ^ tk.mix(turn.astype(U64)))

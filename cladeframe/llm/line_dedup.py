@@ -1,29 +1,29 @@
 """Fuzzy line deduplication: MinHash over character shingles, banding, exact Jaccard, distributed union-find.
 
-Equal lines collapse first. Distinct lines are signed (short ones by the Poisson signature, which with all weights one
-is plain MinHash; long ones by the cheaper MinHash of one permutation), banded, verified and closed to components by :mod:`neardup`; of each component the first line (by document id, then
-line number) stays in place and all others go.
+Lines are signed by MinHash of one permutation (every shingle is hashed once and dealt to a bin), banded, verified and
+closed to components by :mod:`neardup`, where equal lines (by two digests of the text) collapse. Of each component the first line (by
+document id, then line number) stays in place and all others go.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.llm import neardup, poisson, workspace
 from cladeframe.llm import textkernels as tk
-from cladeframe.llm.minhash_dedup import ROWS, Verifier, distinct, poisson_bands, sign
+from cladeframe.llm.minhash_dedup import ROWS, Verifier
 from cladeframe.llm.substring import keyed
 
 SHINGLE = 8
 SLOTS = 64
-#: Shingles from which a line is long: its bins are then nearly all full.
-LONG = 192
 
 
 def char_shingles(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -42,57 +42,89 @@ def char_shingles(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tup
     return tk.mix((total[stop] - total[start[at]]) * tk._powers(base, True, n)[start[at]]), line[at]
 
 
-def binned(elements: np.ndarray, bag: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
+def binned(h: np.ndarray, bag: np.ndarray, n: int) -> np.ndarray:
     """MinHash by one permutation dealt to bins; an empty bin takes the value of the first full one in an order of its own."""
-    h = tk.mix(elements ^ tk.salt(77))
-    at = bag * slots + (h % np.uint64(slots)).astype(np.int64)
-    low = np.full(n * slots, np.uint64(0xFFFFFFFFFFFFFFFF))
+    at = bag * SLOTS + (h & np.uint64(SLOTS - 1)).astype(np.int64)
+    low = np.full(n * SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF))
     np.minimum.at(low, at, h)
-    full = np.zeros(n * slots, bool)
+    full = np.zeros(n * SLOTS, bool)
     full[at] = True
     empty, turn = np.flatnonzero(~full), 0
-    source = np.arange(n * slots)
+    source = np.arange(n * SLOTS)
     while len(empty):
-        draw = tk.mix((empty % slots).astype(np.uint64) + tk.salt(turn)) % np.uint64(slots)
-        source[empty] = empty // slots * slots + draw.astype(np.int64)
+        draw = tk.mix((empty & (SLOTS - 1)).astype(np.uint64) + tk.salt(turn)) & np.uint64(SLOTS - 1)
+        source[empty] = (empty & -SLOTS) | draw.astype(np.int64)
         empty, turn = empty[~full[source[empty]]], turn + 1
-    return low[source].reshape(n, slots)
-
-
-def line_bands(elements: np.ndarray, bag: np.ndarray, edges: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Poisson bands for short lines and bins for long ones; lines near the limit get both, so similar lines share a kind."""
-    size = np.diff(edges)
-    out = []
-    for short in (True, False):
-        own = np.flatnonzero((size > 0) & (size * neardup.SIMILAR[0] <= LONG * neardup.SIMILAR[1] if short else size >= LONG))
-        if not len(own):
-            continue
-        name = np.full(len(size), -1)
-        name[own] = np.arange(len(own))
-        mine = name[bag] >= 0
-        e, b = elements[mine], name[bag[mine]]
-        if short:
-            out.append((own, poisson_bands(e, np.ones(len(e), np.int64), b, np.searchsorted(b, np.arange(len(own) + 1)), SLOTS)))
-        else:
-            out.append((own, poisson.bands(binned(e, b, len(own)), ROWS)))
-    return out or [(np.zeros(0, np.int64), np.zeros((0, SLOTS // ROWS), np.int64))]
-
-
-def sign_batch(batch: pa.RecordBatch) -> Iterator[neardup.Signed]:
-    for part in tk.chunks(batch, "text", tk.CHUNK_BYTES // 2):
-        elements, weights, bag = distinct(*char_shingles(*tk.buffer(part.column("text"))), whole=False)
-        yield sign(part.column("key").to_numpy(), elements, np.ones_like(weights), bag, line_bands)
-
-
-def _lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """``key, pos, line``: lines with a word."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = docs.select(F.col("__key").alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    return lines.filter(F.length(F.translate("line", " \t\x0b\x0c\r", "")) > 0)
-
-
-def _digest(line: str) -> list:
-    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), F.col(line)).alias("h2")]
+    return low[source].reshape(n, SLOTS)
+
+
+def split(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, number, start and end of each line that has a word."""
+    cuts = np.flatnonzero(raw == 10)
+    before = np.searchsorted(cuts, offsets)
+    count = np.diff(before) + 1
+    text = np.repeat(np.arange(len(count)), count)
+    first = np.cumsum(count) - count
+    pos = np.arange(len(text)) - first[text]
+    start, end = np.zeros((2, len(text)), np.int64)
+    later, last = pos > 0, pos == count[text] - 1
+    start[~later], start[later] = offsets[:-1], cuts + 1
+    end[last], end[~last] = offsets[1:], cuts
+    solid = np.concatenate([[0], np.cumsum(~tk.SPACE[raw], dtype=np.int64)])
+    some = solid[end] > solid[start]
+    return text[some], pos[some], start[some], end[some]
+
+
+def sign_lines(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of each line, two digests of its text, and its bands."""
+    n = len(start)
+    digests, values = [], raw.astype(np.uint64) + np.uint64(1)
+    length = (end - start).astype(np.uint64) << np.uint64(40)
+    for base in reversed(tk._BASES):
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(values * tk._powers(base, False, len(raw))[: len(raw)], out=total[1:])
+        back = tk._powers(base, True, len(raw))
+        digests.append(tk.mix(((total[end] - total[start]) * back[start]) ^ length))
+    chars = np.flatnonzero((raw & 0xC0) != 0x80)
+    first, stop = np.searchsorted(chars, start), np.searchsorted(chars, end)
+    count = stop - first
+    long = count >= SHINGLE
+    edge = np.zeros(len(chars) + 1, np.int8)
+    np.add.at(edge, first[long], 1)
+    np.add.at(edge, stop[long] - SHINGLE + 1, -1)
+    at = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8))
+    sums = total[np.append(chars, len(raw))]
+    shingles = np.where(long, count - SHINGLE + 1, 1)
+    grams = (sums[at + SHINGLE] - sums[at]) * back[chars[at]]
+    line = np.repeat(np.flatnonzero(long), shingles[long])
+    short = np.flatnonzero(~long)
+    grams = np.concatenate([grams, digests[1][short]])
+    return shingles, *(d.view(np.int64) for d in digests), poisson.bands(binned(tk.mix(grams), np.concatenate([line, short]), n), ROWS)
+
+
+def sign_batch(batch: pa.RecordBatch, ids: Iterator[int]) -> Iterator[neardup.Signed]:
+    for part in tk.chunks(batch, "text", 1 << 17):
+        raw, offsets = tk.buffer(part.column("text"))
+        text, pos, start, end = split(raw, offsets)
+        n = len(text)
+        if n:
+            keys = np.fromiter(itertools.islice(ids, n), np.int64, n)
+            sizes, bag1, bag2, bands = sign_lines(raw, start, end)
+            docs = part.column("key").to_numpy()[text]
+            yield neardup.Signed(keys, sizes, bag1, bag2, np.repeat(np.arange(n), bands.shape[1]), bands.ravel(), (docs, pos))
+
+
+def signer() -> Callable[[pa.RecordBatch], Iterator[neardup.Signed]]:
+    """Signs a task's lines and numbers them, each task in a range of its own."""
+    ids: list[Iterator[int]] = []
+
+    def sign(batch: pa.RecordBatch) -> Iterator[neardup.Signed]:
+        if not ids:
+            context = TaskContext.get()
+            ids.append(itertools.count((context.partitionId() if context else 0) << 40))
+        return sign_batch(batch, ids[0])
+
+    return sign
 
 
 RESULT = pa.schema(
@@ -111,25 +143,40 @@ def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RESULT.types, strict=True)] if rows else [pa.array([], t) for t in RESULT.types], schema=RESULT)
 
 
+def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, text`` of the lines that rows of ``text, want`` (number and key of lines) name."""
+    for batch in batches:
+        rows = []
+        for text, want in zip(batch.column("text"), batch.column("want").to_pylist(), strict=True):
+            lines = text.as_py().split("\n")
+            rows += [(w["id"], lines[w["pos"]]) for w in want]
+        keys, lines = zip(*rows, strict=True) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.string())], ["key", "text"])
+
+
+class LineVerifier(Verifier):
+    """A verifier whose texts are lines of ``docs`` (``key, text``), at the places that ``signed`` names."""
+
+    def __init__(self, docs: DataFrame, signed: DataFrame):
+        super().__init__(docs, char_shingles, as_sets=True)
+        self.signed = signed
+
+    def prepare(self, keys: DataFrame) -> None:
+        want = self.signed.join(keys, "key", "left_semi").groupBy(F.col("doc").alias("key")).agg(F.collect_list(F.struct("pos", F.col("key").alias("id"))).alias("want"))
+        rows = self.texts.join(workspace.materialise(want, "want").hint("merge"), "key").select("text", "want")
+        self.texts = workspace.materialise(workspace.arrow_map(rows, line_rows, "key long, text string"), "texts")
+
+
 def removed_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``key, pos, kept_key, kept_pos`` of every line that goes, with the line that stays for it."""
     workspace.bounded_batches(docs.sparkSession)
-    lines = _lines(docs, text_col)
-    unique = lines.groupBy("line").agg(F.min(F.struct("key", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-    unique = workspace.materialise(
-        unique.select(F.monotonically_increasing_id().alias("key"), F.col("line").alias("text"), "first", "n"), "lines"
-    )
-    texts = unique.select("key", "text")
-    signed = neardup.banded(texts, sign_batch, SLOTS // ROWS)
-    found = workspace.materialise(neardup.classes(*signed, Verifier(texts, char_shingles, as_sets=True)), "near")
-    # lines that have copies, near or exact, and what stays for them
-    stay = unique.select("key", "first", "n").join(found, "key").groupBy("class").agg(F.min("first").alias("stay"), F.sum("n").alias("all"))
-    stay = workspace.materialise(stay.filter("all > 1"), "stay")
-    known = found.join(stay.select("class", "stay"), "class").join(unique.select("key", *_digest("text")), "key").select("h1", "h2", "stay")
-    known = workspace.materialise(known, "known")
-    each = lines.select("key", "pos", *_digest("line"))
+    own = docs.select(F.col("__key").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    signed, shared = neardup.banded(own, lambda batch, sign=signer(): sign(batch), SLOTS // ROWS, each=10)
+    found = workspace.materialise(neardup.classes(signed, shared, LineVerifier(own, signed), alone=False), "near")
+    # classes of several lines, their places and what stays for them
+    several = found.groupBy("class").agg(F.min(F.struct(F.col("doc").alias("key"), "pos")).alias("stay"))
     return (
-        each.join(known, ["h1", "h2"])
+        found.join(workspace.materialise(several, "several"), "class").select(F.col("doc").alias("key"), "pos", "stay")
         .filter((F.col("key") != F.col("stay.key")) | (F.col("pos") != F.col("stay.pos")))
         .select("key", "pos", F.col("stay.key").alias("kept_key"), F.col("stay.pos").alias("kept_pos"))
     )

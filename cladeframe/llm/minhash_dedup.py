@@ -31,35 +31,27 @@ def word_shingles(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tup
     return grams, bag
 
 
-def distinct(grams: np.ndarray, bag: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct elements of each bag in order, their counts and bags. 44 bits of each hash stay unless ``whole``."""
-    if whole:
-        order = np.lexsort((grams, bag))
-        grams, bag = grams[order], bag[order]
-        new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (bag[1:] != bag[:-1])]) if len(grams) else np.zeros(0, bool)
-    else:
-        key = np.sort((bag.astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20)))
-        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        grams, bag = key & np.uint64((1 << 44) - 1), (key >> np.uint64(44)).astype(np.int64)
+def distinct(grams: np.ndarray, bag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """44 bits of the distinct elements of each bag in order, their counts and bags."""
+    key = np.sort((bag.astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20)))
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
     at = np.flatnonzero(new)
-    return grams[at], np.diff(np.concatenate([at, [len(new)]])), bag[at]
+    count = np.diff(np.concatenate([at, [len(new)]]))
+    return key[at] & np.uint64((1 << 44) - 1), count, (key[at] >> np.uint64(44)).astype(np.int64)
 
 
-def poisson_bands(elements: np.ndarray, weights: np.ndarray, bag: np.ndarray, edges: np.ndarray, slots: int) -> np.ndarray:
+def poisson_bands(elements: np.ndarray, weights: np.ndarray, bag: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Bands of every bag; a few bags at a time, as each makes some hundreds of points, however small it is."""
-    n, out = len(edges) - 1, [np.zeros((0, slots // ROWS), np.int64)]
+    n, out = len(edges) - 1, [np.zeros((0, SLOTS // ROWS), np.int64)]
     for low in range(0, n, SIGN_BAGS):
         high = min(low + SIGN_BAGS, n)
         own = slice(edges[low], edges[high])
-        out.append(poisson.bands(poisson.signatures(elements[own], weights[own], bag[own] - low, high - low, slots), ROWS))
+        out.append(poisson.bands(poisson.signatures(elements[own], weights[own], bag[own] - low, high - low, SLOTS), ROWS))
     return np.concatenate(out)
 
 
-def sign(keys: np.ndarray, elements: np.ndarray, weights: np.ndarray, bag: np.ndarray, bands=None) -> neardup.Signed:
-    """Size, digest (two sums of mixed elements and weights) and bands of each bag.
-
-    ``bands`` gives rows of bags and of bands (by default, the Poisson signature's for all).
-    """
+def sign(keys: np.ndarray, elements: np.ndarray, weights: np.ndarray, bag: np.ndarray, bands: Callable) -> neardup.Signed:
+    """Size, digest (two sums of mixed elements and weights) and bands of each bag; ``bands`` gives a row of them for each bag."""
     n = len(keys)
     edges = np.searchsorted(bag, np.arange(n + 1))
     sums = []
@@ -68,14 +60,14 @@ def sign(keys: np.ndarray, elements: np.ndarray, weights: np.ndarray, bag: np.nd
         sums.append((total[edges[1:]] - total[edges[:-1]]).view(np.int64))
     size = np.bincount(bag, weights, n).astype(np.int64)
     some = np.flatnonzero(size > 0)
-    parts = bands(elements, bag, edges) if bands else [(some, poisson_bands(elements, weights, bag, edges, SLOTS)[some])]
-    who = np.concatenate([np.repeat(w, b.shape[1]) for w, b in parts])
-    return neardup.Signed(keys, size, *sums, who, np.concatenate([b.ravel() for _, b in parts]))
+    own = np.searchsorted(some, bag)
+    rows = bands(elements, weights, own, np.searchsorted(own, np.arange(len(some) + 1)))
+    return neardup.Signed(keys, size, *sums, np.repeat(some, rows.shape[1]), rows.ravel())
 
 
 def sign_batch(batch: pa.RecordBatch) -> Iterator[neardup.Signed]:
     for part in tk.chunks(batch, "text"):
-        yield sign(part.column("key").to_numpy(), *distinct(*word_shingles(*tk.buffer(part.column("text"))), whole=False))
+        yield sign(part.column("key").to_numpy(), *distinct(*word_shingles(*tk.buffer(part.column("text")))), poisson_bands)
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
@@ -88,6 +80,15 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both, int(a[1].sum()) + int(b[1].sum()) - both
 
 
+def _bag(elements: np.ndarray, as_set: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct elements in order, and their counts (or ones)."""
+    elements = np.sort(elements)
+    new = np.ones(len(elements), bool)
+    new[1:] = elements[1:] != elements[:-1]
+    at = np.flatnonzero(new)
+    return elements[at], (np.ones(len(at), np.int64) if as_set else np.diff(np.append(at, len(new))))
+
+
 def bags_of(shingles: Callable, as_sets: bool, batch: pa.RecordBatch, held: dict) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Bags of the texts that pairs of a batch name, by key; those in ``held`` are taken from there."""
     texts = {}
@@ -101,10 +102,13 @@ def bags_of(shingles: Callable, as_sets: bool, batch: pa.RecordBatch, held: dict
         names = list(texts)
         cut = pa.RecordBatch.from_arrays([pa.array(names), pa.array([texts[k].as_py() for k in names], pa.string())], ["key", "text"])
         for part in tk.chunks(cut, "text"):
-            elements, weights, bag = distinct(*shingles(*tk.buffer(part.column("text"))), whole=True)
+            elements, bag = shingles(*tk.buffer(part.column("text")))
+            if (bag[1:] < bag[:-1]).any():
+                order = np.argsort(bag, kind="stable")
+                elements, bag = elements[order], bag[order]
             edges = np.searchsorted(bag, np.arange(part.num_rows + 1)).tolist()
             for k, x, y in zip(part.column("key").to_pylist(), edges, edges[1:], strict=False):
-                bags[k] = elements[x:y], (np.ones(y - x, np.int64) if as_sets else weights[x:y])
+                bags[k] = _bag(elements[x:y], as_sets)
     return bags
 
 
@@ -142,7 +146,7 @@ class Verifier:
     """For :func:`neardup.classes`: texts ``key, text`` that pairs name are written once and joined to both sides."""
 
     def __init__(self, texts: DataFrame, shingles: Callable, as_sets: bool):
-        self.texts, self.shingles, self.as_sets = texts, shingles, as_sets
+        self.texts, self.shingles, self.as_sets, self.sized = texts, shingles, as_sets, not as_sets
 
     def prepare(self, keys: DataFrame) -> None:
         # shuffled at every size: a broadcast would only serve small inputs
@@ -167,7 +171,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``key, class`` for each row of ``docs`` (told apart by ``__key``)."""
     workspace.bounded_batches(docs.sparkSession)
     own = docs.select(F.col("__key").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return neardup.classes(*neardup.banded(own, sign_batch, SLOTS // ROWS), Verifier(own, word_shingles, as_sets=False))
+    return neardup.classes(*neardup.banded(own, sign_batch, SLOTS // ROWS), Verifier(own, word_shingles, as_sets=False)).select("key", "class")
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ and of equal bags one goes on, so a group of copies costs a row for each task an
 bags collapse to one representative. Representatives that share a band are a bucket; each is compared with the bucket's
 lead, the member that meets most others (a star, not all pairs), and the links found are closed to components.
 
-What a star can miss is a link between two members that do not both link to their lead. Those are found through the
-members' differences from the lead (:mod:`differences`), exactly and without pairs of texts.
+What a star can miss is a link between two members that do not both link to their lead. Two or three such members are
+compared as they are; links of more are found through the members' differences from the lead (:mod:`differences`),
+exactly and without pairs of texts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from cladeframe.llm.components import components
 from cladeframe.llm.differences import SIMILAR
 
 class Signed(NamedTuple):
-    """Signatures of some items: keys, sizes, two 64-bit digests of each bag, and rows of item and band."""
+    """Signatures of some items: keys, sizes, two 64-bit digests of each bag, rows of item and band, and where items stand."""
 
     keys: np.ndarray
     sizes: np.ndarray
@@ -32,6 +33,7 @@ class Signed(NamedTuple):
     bag2: np.ndarray
     who: np.ndarray
     bands: np.ndarray
+    places: tuple[np.ndarray, ...] = ()
 
 
 FOUND, ENTRY, ITEM = range(3)
@@ -39,8 +41,8 @@ FOUND, ENTRY, ITEM = range(3)
 FLUSH = 1 << 19
 BUCKET_BANDS = 1 << 20
 
-ROWS = "kind int, key long, size long, bag1 long, bag2 long, bucket long"
-ARROW = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("key", "size", "bag1", "bag2", "bucket"))])
+ROWS = "kind int, key long, size long, bag1 long, bag2 long, bucket long, doc long, pos long"
+ARROW = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("key", "size", "bag1", "bag2", "bucket", "doc", "pos"))])
 
 
 def _send(sign: Callable[[pa.RecordBatch], Iterator[Signed]], buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,32 +53,30 @@ def _send(sign: Callable[[pa.RecordBatch], Iterator[Signed]], buckets: int, batc
     def flush() -> list[tuple[int, int, int, bytes]]:
         first = np.cumsum([0, *(len(s.keys) for s in held)])
         keys, sizes, bag1, bag2 = (np.concatenate([s[i] for s in held]) for i in range(4))
+        places = [np.concatenate(c) for c in zip(*(s.places for s in held), strict=True)]
         who = np.concatenate([s.who + n for s, n in zip(held, first, strict=False)])
         bands = np.concatenate([s.bands for s in held]).view(np.uint64)
         by = np.argsort(keys, kind="stable")
         home = (keys % buckets).astype(np.int64)
-        rows = sender.deal(ITEM, home[by], keys[by], sizes[by], bag1[by].view(np.uint64), bag2[by].view(np.uint64))
-        # of equal bags the least key goes on
-        order = np.lexsort((keys, bag2, bag1))
-        new = np.ones(len(order), bool)
-        new[1:] = (bag1[order][1:] != bag1[order][:-1]) | (bag2[order][1:] != bag2[order][:-1])
+        rows = sender.deal(ITEM, home[by], keys[by], sizes[by], bag1[by].view(np.uint64), bag2[by].view(np.uint64), *(c[by] for c in places))
+        # of equal bags one goes on
         on = np.zeros(len(keys), bool)
-        on[order[new]] = True
+        on[np.unique(bag1, return_index=True)[1]] = True
         mine = on[who]
-        who, bands = who[mine], bands[mine]
+        ids, bands = bag1[who[mine]], bands[mine]
         bucket = ((bands >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         name = (bucket << 32) | (bands & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        order = np.lexsort((keys[who], name))
-        who, bucket, name = who[order], bucket[order], name[order]
+        order = np.argsort(name)
+        ids, bucket, name = ids[order], bucket[order], name[order]
         head = np.ones(len(name), bool)
         head[1:] = name[1:] != name[:-1]
         at = np.flatnonzero(head)
         count = np.diff(np.append(at, len(name)))
         many = np.repeat(count > 1, count)
-        rows += sender.deal(FOUND, home[who[many]], keys[who[many]], name[many].view(np.uint64))
-        one, settled = who[at], (count > 1).astype(np.uint8)
-        by = np.argsort(keys[one], kind="stable")
-        rows += sender.deal(ENTRY, bucket[at][by], name[at][by].astype(np.uint32), keys[one][by], settled[by])
+        rows += sender.deal(FOUND, bucket[many], ids[many].view(np.uint64), name[many])
+        one, settled = ids[at], (count > 1).astype(np.uint8)
+        by = np.argsort(one)
+        rows += sender.deal(ENTRY, bucket[at][by], name[at][by].astype(np.uint32), one[by], settled[by])
         return rows
 
     for batch in batches:
@@ -91,10 +91,10 @@ def _send(sign: Callable[[pa.RecordBatch], Iterator[Signed]], buckets: int, batc
 
 
 def _meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(kind: int, keys: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(keys), pa.int64())
-        cells = [pa.array(columns[c].view(np.int64)) if c in columns else none for c in ARROW.names[2:]]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), *cells], schema=ARROW)
+    def rows(kind: int, n: int, **columns: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(n, pa.int64())
+        cells = [pa.array(columns[c].view(np.int64)) if c in columns else none for c in ARROW.names[1:]]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *cells], schema=ARROW)
 
     for bucket, parts in blobs.by_bucket(stream):
         held = []
@@ -103,35 +103,45 @@ def _meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == ENTRY:
                 held.append(columns)
             elif kind == FOUND:
-                yield rows(FOUND, columns[0], bucket=columns[1])
+                yield rows(FOUND, len(columns[0]), bag1=columns[0], bucket=columns[1])
             else:
-                yield rows(ITEM, columns[0], size=columns[1].astype(np.int64), bag1=columns[2], bag2=columns[3])
+                yield rows(ITEM, len(columns[0]), **dict(zip(("key", "size", "bag1", "bag2", "doc", "pos"), columns, strict=False)))
         if held:
-            prints, keys, settled = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.argsort(prints, kind="stable")
-            edges = np.flatnonzero(np.concatenate([[True], np.diff(prints[order]) != 0, [True]]))
-            count = np.diff(edges)
-            found = np.zeros(len(order), bool)
-            found[order] = np.repeat(count > 1, count)
-            found = np.flatnonzero(found & (settled == 0))
+            prints, ids, settled = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort((prints.astype(np.uint64) << np.uint64(32)) | (ids.view(np.uint64) >> np.uint64(32)))
+            prints, ids, settled = prints[order], ids[order], settled[order]
+            new = np.concatenate([[True], prints[1:] != prints[:-1]])
+            other = new | np.concatenate([[True], ids[1:] != ids[:-1]])
+            at = np.flatnonzero(new)
+            several = np.add.reduceat(other, at, dtype=np.int64) > 1
+            found = np.flatnonzero(other & (settled == 0) & np.repeat(several, np.diff(np.append(at, len(order)))))
             if len(found):
-                yield rows(FOUND, keys[found], bucket=(np.int64(bucket) << 32) | prints[found].astype(np.int64))
+                yield rows(FOUND, len(found), bag1=ids[found], bucket=(np.int64(bucket) << 32) | prints[found].astype(np.int64))
 
 
-def banded(items: DataFrame, sign: Callable[[pa.RecordBatch], Iterator[Signed]], bands: int) -> tuple[DataFrame, DataFrame]:
-    """``key, size, bag1, bag2`` of all items; ``bucket, key`` of those that share a band with another."""
-    n = max(16, items.count() * bands // BUCKET_BANDS)
+def banded(items: DataFrame, sign: Callable[[pa.RecordBatch], Iterator[Signed]], bands: int, each: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``key, size, bag1, bag2, doc, pos`` of all items; ``bucket, bag1`` of bags that share a band with another.
+
+    ``each`` says how many items a row of ``items`` has, about; it only sets the number of buckets.
+    """
+    n = max(16, items.count() * each * bands // BUCKET_BANDS)
     rows = workspace.arrow_map(items, lambda b: _send(sign, n, b), blobs.SCHEMA)
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "src")
     rows = workspace.materialise(workspace.arrow_map(rows, _meet, ROWS), "banded", "kind")
-    return rows.filter(F.col("kind") == ITEM).select("key", "size", "bag1", "bag2"), rows.filter(F.col("kind") == FOUND).select("bucket", "key")
+    signed = rows.filter(F.col("kind") == ITEM).select("key", "size", "bag1", "bag2", "doc", "pos")
+    return signed, rows.filter(F.col("kind") == FOUND).select("bucket", "bag1")
 
 
+#: Members of a group that are compared one by one.
+FEW = 3
 
 
 class Verifier(Protocol):
     """What knows the items themselves."""
 
+    #: Whether sizes are those of the bags, so that they bound what can be similar.
+    sized: bool
+
     def prepare(self, keys: DataFrame) -> None:
         """Keys (column ``key``) that the other calls can name."""
 
@@ -176,22 +186,22 @@ def _open(pairs: DataFrame, near: float) -> DataFrame:
     return held.select("a", "b", "comp", "linked", F.coalesce("between", F.lit(False)).alias("between"), "a_size", "b_size")
 
 
-def classes(signed: DataFrame, shared: DataFrame, verifier: Verifier) -> DataFrame:
-    """``key, class`` for every item, given what :func:`banded` returns; class is the least key of the class.
+def classes(signed: DataFrame, shared: DataFrame, verifier: Verifier, alone: bool = True) -> DataFrame:
+    """``key, class, doc, pos`` for every item, given what :func:`banded` returns; class is the least key of the class.
+
+    Without ``alone``, only items of classes of several.
 
     Items of size 0 have nothing to compare and are classes of their own.
     """
     near = (2 * SIMILAR[0] - SIMILAR[1], SIMILAR[1])
-    bags = workspace.materialise(
-        signed.filter("size > 0").groupBy("bag1", "bag2").agg(F.min("key").alias("rep")), "bags"
-    )
-    # keys in buckets give way to the representatives of their bags
-    few = signed.join(shared.select("key").distinct(), "key", "left_semi").join(bags, ["bag1", "bag2"]).select("key", "size", "rep")
-    members = shared.join(workspace.materialise(few, "few"), "key").groupBy("bucket", "rep").agg(F.max("size").alias("size"))
+    bags = signed.filter("size > 0").groupBy("bag1", "bag2").agg(F.min("key").alias("rep"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    bags = workspace.materialise(bags, "bags")
+    members = shared.distinct().join(bags.select("bag1", "rep", "size"), "bag1").select("bucket", "rep", "size")
     led = workspace.materialise(_led(workspace.materialise(members, "members")), "led")
     verifier.prepare(led.select(F.col("a").alias("key")).unionByName(led.select(F.col("b").alias("key"))).distinct())
 
-    told = workspace.materialise(verifier.check(led.filter(comparable("a_size", "b_size", near)).select("a", "b")), "star")
+    pairs = led.filter(comparable("a_size", "b_size", near)) if verifier.sized else led
+    told = workspace.materialise(verifier.check(pairs.select("a", "b")), "star")
     comps = workspace.materialise(components(told.filter("linked").select("a", "b")), "first")
     placed = led.join(told, ["a", "b"], "left").join(comps.select(F.col("node").alias("b"), "comp"), "b", "left")
     placed = placed.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), "a", "left")
@@ -200,13 +210,23 @@ def classes(signed: DataFrame, shared: DataFrame, verifier: Verifier) -> DataFra
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("linked", F.lit(False)).alias("linked"),
     )
     held = workspace.materialise(_open(workspace.materialise(placed, "placed"), near[0] / near[1] - 1e-9), "held")
-    links = differences.links(held, verifier)
-    if links is not None:  # between components of the star
+    # where two or three members are left, they are compared as they are
+    count = workspace.materialise(held.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "count")
+    held = held.join(count, "a")
+    few = held.filter(F.col("n") <= FEW).select("a", "b", "comp", "linked")
+    two = few.join(few.select("a", *(F.col(c).alias(f"{c}2") for c in ("b", "comp", "linked"))), "a")
+    two = two.filter("b < b2 and comp <> comp2 and not (linked and linked2)").select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct()
+    links = verifier.check(workspace.materialise(two, "two")).filter("linked").select("a", "b")
+    for end in ("a", "b"):
+        links = links.join(comps.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp")), end, "left")
+    links = links.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    more = differences.links(workspace.materialise(held.filter(F.col("n") > FEW), "many"), verifier)
+    links = workspace.materialise(links if more is None else links.unionByName(more), "links")
+    if not links.isEmpty():  # between components of the star
         joined = workspace.materialise(components(links).select(F.col("node").alias("comp"), F.col("comp").alias("all")), "joined")
         every = comps.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps, "node", "left_anti").select("node", F.col("node").alias("comp")))
         comps = workspace.materialise(every.join(joined, "comp", "left").select("node", F.coalesce("all", "comp").alias("comp")), "last")
-    named = bags.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bag1", "bag2", F.coalesce("comp", "rep").alias("class"))
-    return (
-        signed.filter("size > 0").join(workspace.materialise(named, "classes"), ["bag1", "bag2"]).select("key", "class")
-        .unionByName(signed.filter("size = 0").select("key", F.col("key").alias("class")))
-    )
+    # bags of several items and those that have a class; any other item is its own
+    named = bags.join(comps.withColumnRenamed("node", "rep"), "rep", "left").filter("comp is not null or n > 1")
+    named = workspace.materialise(named.select("bag1", "bag2", F.coalesce("comp", "rep").alias("class")), "classes")
+    return signed.join(named, ["bag1", "bag2"], "left" if alone else "inner").select("key", F.coalesce("class", "key").alias("class"), "doc", "pos")
