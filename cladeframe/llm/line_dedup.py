@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,21 +71,20 @@ def split(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     later, last = pos > 0, pos == count[text] - 1
     start[~later], start[later] = offsets[:-1], cuts + 1
     end[last], end[~last] = offsets[1:], cuts
-    solid = np.concatenate([[0], np.cumsum(~tk.SPACE[raw], dtype=np.int64)])
-    some = solid[end] > solid[start]
+    some = end > start
+    some[some] = np.logical_or.reduceat(~tk.SPACE[raw], start[some]) if some.any() else False
     return text[some], pos[some], start[some], end[some]
 
 
 def sign_lines(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Shingles of each line, two digests of its text, and its bands."""
-    n = len(start)
-    digests, values = [], raw.astype(np.uint64) + np.uint64(1)
-    length = (end - start).astype(np.uint64) << np.uint64(40)
-    for base in reversed(tk._BASES):
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(values * tk._powers(base, False, len(raw))[: len(raw)], out=total[1:])
-        back = tk._powers(base, True, len(raw))
-        digests.append(tk.mix(((total[end] - total[start]) * back[start]) ^ length))
+    n, size = len(start), len(raw)
+    view = memoryview(raw)
+    whole = b"".join(xxhash.xxh3_128_digest(view[x:y]) for x, y in zip(start.tolist(), end.tolist(), strict=True))
+    digests = np.frombuffer(whole, np.int64).reshape(n, 2)
+    total = np.zeros(size + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * tk._powers(tk._BASES[0], False, size)[:size], out=total[1:])
+    back = tk._powers(tk._BASES[0], True, size)
     chars = np.flatnonzero((raw & 0xC0) != 0x80)
     first, stop = np.searchsorted(chars, start), np.searchsorted(chars, end)
     count = stop - first
@@ -92,14 +92,15 @@ def sign_lines(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     edge = np.zeros(len(chars) + 1, np.int8)
     np.add.at(edge, first[long], 1)
     np.add.at(edge, stop[long] - SHINGLE + 1, -1)
-    at = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8))
-    sums = total[np.append(chars, len(raw))]
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)[: max(len(chars) - SHINGLE + 1, 0)]
+    sums = total[np.append(chars, size)]
     shingles = np.where(long, count - SHINGLE + 1, 1)
-    grams = (sums[at + SHINGLE] - sums[at]) * back[chars[at]]
+    grams = ((sums[SHINGLE:] - sums[:-SHINGLE]) * back[chars[: len(inside)]])[inside] if len(inside) else np.zeros(0, np.uint64)
     line = np.repeat(np.flatnonzero(long), shingles[long])
     short = np.flatnonzero(~long)
-    grams = np.concatenate([grams, digests[1][short]])
-    return shingles, *(d.view(np.int64) for d in digests), poisson.bands(binned(tk.mix(grams), np.concatenate([line, short]), n), ROWS)
+    grams = np.concatenate([grams, digests[short, 0].view(np.uint64)])
+    bands = poisson.bands(binned(tk.mix(grams), np.concatenate([line, short]), n), ROWS)
+    return shingles, digests[:, 0].copy(), digests[:, 1].copy(), bands
 
 
 def sign_batch(batch: pa.RecordBatch, ids: Iterator[int]) -> Iterator[neardup.Signed]:
@@ -127,20 +128,26 @@ def signer() -> Callable[[pa.RecordBatch], Iterator[neardup.Signed]]:
     return sign
 
 
-RESULT = pa.schema(
-    [("key", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
-)
+REMOVED = "array<struct<line_no:int,kept_key:long,kept_line_no:int>>"
+_OWN = pa.schema([("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
 def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for key, text, gone in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("gone").to_pylist(), strict=True):
-            lines = (text.as_py() or "").split("\n")
-            drop = set(gone or ())
+        column = batch.column("removed")
+        numbers = pa.array(column.flatten().field("line_no")) if len(column) else []
+        ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        for text, low, high in zip(batch.column("text"), [0, *ends.tolist()], ends.tolist(), strict=False):
+            if low == high:
+                whole = text.as_buffer().to_pybytes()
+                rows.append((whole.count(b"\n") + 1, 0, hashlib.sha256(whole).hexdigest(), None))
+                continue
+            lines, drop = text.as_py().split("\n"), set(numbers[low:high].to_pylist())
             kept = "\n".join(x for i, x in enumerate(lines) if i not in drop)
-            rows.append((key, len(lines), len(drop), hashlib.sha256(kept.encode()).hexdigest(), kept if drop else None))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RESULT.types, strict=True)] if rows else [pa.array([], t) for t in RESULT.types], schema=RESULT)
+            rows.append((len(lines), len(drop), hashlib.sha256(kept.encode()).hexdigest(), kept))
+        own = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OWN.types, strict=True)] if rows else [pa.array([], t) for t in _OWN.types]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), *own, column], ["key", *_OWN.names, "removed"])
 
 
 def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,13 +189,15 @@ def removed_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Per row of ``docs`` key, n_lines, n_removed, kept_sha256, kept_text (null: unchanged); and the removed lines."""
-    gone = workspace.materialise(removed_lines(docs, text_col), "gone")
+def dedup_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Per row of ``docs`` key, n_lines, n_removed, kept_sha256, kept_text (null: unchanged), and for each line removed its
+    number and the key and number of the one that stays for it."""
+    gone = removed_lines(docs, text_col)
     own = docs.select(F.col("__key").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    per_doc = gone.groupBy("key").agg(F.collect_list("pos").alias("gone"))
-    rows = own.join(per_doc, "key", "left").select("key", "text", "gone")
-    return workspace.arrow_map(rows, cut_rows, "key long, n_lines long, n_removed long, kept_sha256 string, kept_text string"), gone
+    place = F.struct(F.col("pos").cast("int").alias("line_no"), "kept_key", F.col("kept_pos").cast("int").alias("kept_line_no"))
+    per_doc = gone.groupBy("key").agg(F.sort_array(F.collect_list(place)).alias("removed"))
+    rows = own.join(workspace.materialise(per_doc, "gone").hint("merge"), "key", "left").select("key", "text", F.coalesce("removed", F.array().cast(REMOVED)).alias("removed"))
+    return workspace.arrow_map(rows, cut_rows, f"key long, n_lines long, n_removed long, kept_sha256 string, kept_text string, removed {REMOVED}")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,15 +208,16 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null counts as empty: one line, nothing removed. Rows with null or repeated ids are told apart; of two such rows
     with one text the lines of the second go. An empty table gives an empty result.
     """
-    docs, _ = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
-    rows, gone = dedup_lines(docs)
-    ids = docs.select(F.col("__key").alias("key"), "doc_id")
-    said = (
-        gone.join(ids.select(F.col("key").alias("kept_key"), F.col("doc_id").alias("kept_doc_id")), "kept_key")
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("pos").alias("line_no"), "kept_doc_id", F.col("kept_pos").alias("kept_line_no")))).alias("removed"))
-    )
-    return (
-        rows.drop("kept_text").join(ids, "key").join(said, "key", "left")
-        .select("doc_id", "n_lines", "n_removed", "kept_sha256", F.coalesce("removed", F.array()).alias("removed"))
-    )
+    docs, own = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
+    rows = dedup_lines(docs).drop("kept_text")
+    if own is docs:  # rows have keys of their own: ids take their place
+        rows = workspace.materialise(rows, "cut")
+        ids = docs.select(F.col("__key").alias("key"), "doc_id")
+        each = rows.select("key", F.explode("removed").alias("r")).join(ids.select(F.col("key").alias("kept_key"), F.col("doc_id").alias("kept_id")), F.col("r.kept_key") == F.col("kept_key"))
+        place = F.struct(F.col("r.line_no").alias("line_no"), F.col("kept_id").alias("kept_key"), F.col("r.kept_line_no").alias("kept_line_no"))
+        said = each.groupBy("key").agg(F.sort_array(F.collect_list(place)).alias("said"))
+        rows = rows.join(ids, "key").join(said, "key", "left").withColumn("removed", F.coalesce("said", "removed"))
+    else:
+        rows = rows.withColumn("doc_id", F.col("key"))
+    removed = F.col("removed").cast("array<struct<line_no:int,kept_doc_id:long,kept_line_no:int>>")
+    return rows.select("doc_id", "n_lines", "n_removed", "kept_sha256", removed.alias("removed"))

@@ -120,10 +120,9 @@ def verify_rows(shingles: Callable, as_sets: bool, batches: Iterator[pa.RecordBa
         bags = bags_of(shingles, as_sets, batch, held)
         sizes = [overlap(bags[x], bags[y]) for x, y in zip(a, b, strict=True)]
         linked = [neardup.SIMILAR[1] * o >= neardup.SIMILAR[0] * u for o, u in sizes]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array([o / u for o, u in sizes], pa.float64()), pa.array(linked, pa.bool_())],
-            ["a", "b", "similarity", "linked"],
-        )
+        other = [c for c in batch.schema.names if c not in ("a_text", "b_text")]
+        told = [pa.array([o / u for o, u in sizes], pa.float64()), pa.array(linked, pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in other), *told], [*other, "similarity", "linked"])
         held = {k: bags[k] for k in a[-1:]}
 
 
@@ -160,7 +159,8 @@ class Verifier:
     def check(self, pairs: DataFrame) -> DataFrame:
         shingles, as_sets = self.shingles, self.as_sets
         rows = self._with_texts(pairs)
-        return workspace.arrow_map(rows, lambda s: verify_rows(shingles, as_sets, s), "a long, b long, similarity double, linked boolean")
+        kinds = ", ".join(f"{c} long" for c in pairs.columns)
+        return workspace.arrow_map(rows, lambda s: verify_rows(shingles, as_sets, s), f"{kinds}, similarity double, linked boolean")
 
     def differences(self, pairs: DataFrame, gather: Callable[[], differences.Gather]) -> DataFrame:
         shingles, as_sets = self.shingles, self.as_sets

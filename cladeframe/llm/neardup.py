@@ -146,7 +146,7 @@ class Verifier(Protocol):
         """Keys (column ``key``) that the other calls can name."""
 
     def check(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, similarity, linked`` of pairs ``a, b``."""
+        """Pairs ``a, b`` with their other columns (long), ``similarity`` and ``linked``."""
 
     def differences(self, pairs: DataFrame, gather: Callable[[], "differences.Gather"]) -> DataFrame:
         """What a gatherer makes of the bags of pairs ``a, b`` with their other columns."""
@@ -158,12 +158,16 @@ def comparable(a: str, b: str, share: tuple[int, int] = SIMILAR) -> Column:
 
 
 def _led(members: DataFrame) -> DataFrame:
-    """``a, b, a_size, b_size``: every member of a bucket with the bucket's lead, the member with most company in all its buckets."""
+    """``a, b, a_size, b_size``: every member of a bucket with the bucket's lead, the member with most company in all its buckets.
+
+    A member may stand in a bucket more than once, which only adds to its company.
+    """
     count = workspace.materialise(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "count")
     company = members.join(count, "bucket").groupBy("rep").agg(F.sum("n").alias("company"))
     met = members.join(workspace.materialise(company, "company"), "rep")
-    leads = met.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("rep")).alias("low"), "size")).alias("lead"), F.count(F.lit(1)).alias("n"))
-    leads = leads.filter("n > 1").select("bucket", (-F.col("lead.low")).alias("a"), F.col("lead.size").alias("a_size"))
+    # company decides, then a hash of the member: numbers, so that they are aggregated in hash maps
+    met = met.withColumn("rank", F.col("company") * (1 << 20) + F.xxhash64("rep").bitwiseAND((1 << 20) - 1))
+    leads = met.groupBy("bucket").agg(F.max_by("rep", "rank").alias("a"), F.max_by("size", "rank").alias("a_size"))
     led = members.join(workspace.materialise(leads, "leads"), "bucket").filter("rep <> a")
     return led.select("a", F.col("rep").alias("b"), "a_size", F.col("size").alias("b_size")).distinct()
 
@@ -196,19 +200,17 @@ def classes(signed: DataFrame, shared: DataFrame, verifier: Verifier, alone: boo
     near = (2 * SIMILAR[0] - SIMILAR[1], SIMILAR[1])
     bags = signed.filter("size > 0").groupBy("bag1", "bag2").agg(F.min("key").alias("rep"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
     bags = workspace.materialise(bags, "bags")
-    members = shared.distinct().join(bags.select("bag1", "rep", "size"), "bag1").select("bucket", "rep", "size")
+    members = shared.join(bags.select("bag1", "rep", "size"), "bag1").select("bucket", "rep", "size")
     led = workspace.materialise(_led(workspace.materialise(members, "members")), "led")
     verifier.prepare(led.select(F.col("a").alias("key")).unionByName(led.select(F.col("b").alias("key"))).distinct())
 
-    pairs = led.filter(comparable("a_size", "b_size", near)) if verifier.sized else led
-    told = workspace.materialise(verifier.check(pairs.select("a", "b")), "star")
+    fit = comparable("a_size", "b_size", near) if verifier.sized else F.lit(True)
+    told = workspace.materialise(verifier.check(led.filter(fit)), "star")
     comps = workspace.materialise(components(told.filter("linked").select("a", "b")), "first")
-    placed = led.join(told, ["a", "b"], "left").join(comps.select(F.col("node").alias("b"), "comp"), "b", "left")
+    placed = told.unionByName(led.filter(~fit).select("*", F.lit(0.0).alias("similarity"), F.lit(False).alias("linked")))
+    placed = placed.join(comps.select(F.col("node").alias("b"), "comp"), "b", "left")
     placed = placed.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), "a", "left")
-    placed = placed.select(
-        "a", "b", "a_size", "b_size", F.coalesce("comp", "b").alias("comp"), F.coalesce("a_comp", "a").alias("a_comp"),
-        F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("linked", F.lit(False)).alias("linked"),
-    )
+    placed = placed.withColumns({"comp": F.coalesce("comp", "b"), "a_comp": F.coalesce("a_comp", "a")})
     held = workspace.materialise(_open(workspace.materialise(placed, "placed"), near[0] / near[1] - 1e-9), "held")
     # where two or three members are left, they are compared as they are
     count = workspace.materialise(held.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "count")

@@ -227,3 +227,20 @@ def test_line_dedup_equals_brute_force(spark, tmp_path):
 def test_line_dedup_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert line_dedup.op2_line_dedup(spark, str(tmp_path)).collect() == []
+
+
+def test_line_dedup_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "one line of text here\nsame"), (4, "one line of text here"), (4, "one line of text here"), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = line_dedup.op2_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_lines"], r["n_removed"]) for r in got) == [(0, 2, 0), (2, 1, 0), (4, 1, 1), (4, 1, 1)]
+    assert {tuple(x) for r in got for x in r["removed"]} == {(0, None, 0)}
+
+
+def test_line_dedup_very_long_line(spark, tmp_path):
+    rng = random.Random(4)
+    long = " ".join(words(rng, 60000))
+    rows = [(1, long + "\nend"), (2, "x\n" + long + " more"), (3, "other")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in line_dedup.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: [], 2: [(1, 1, 0)], 3: []}
