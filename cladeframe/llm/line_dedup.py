@@ -45,16 +45,15 @@ def char_shingles(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tup
 
 def binned(h: np.ndarray, bag: np.ndarray, n: int) -> np.ndarray:
     """MinHash by one permutation dealt to bins; an empty bin takes the value of the first full one in an order of its own."""
-    at = bag * SLOTS + (h & np.uint64(SLOTS - 1)).astype(np.int64)
-    low = np.full(n * SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(low, at, h)
-    full = np.zeros(n * SLOTS, bool)
-    full[at] = True
+    none, last = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(SLOTS - 1)
+    low = np.full(n * SLOTS, none)
+    np.minimum.at(low, bag * SLOTS + (h & last).view(np.int64), h)
+    full = low != none
     empty, turn = np.flatnonzero(~full), 0
     source = np.arange(n * SLOTS)
     while len(empty):
-        draw = tk.mix((empty & (SLOTS - 1)).astype(np.uint64) + tk.salt(turn)) & np.uint64(SLOTS - 1)
-        source[empty] = (empty & -SLOTS) | draw.astype(np.int64)
+        draw = (tk.mix(np.arange(SLOTS, dtype=np.uint64) + tk.salt(turn)) & last).view(np.int64)
+        source[empty] = (empty & -SLOTS) | draw[empty & (SLOTS - 1)]
         empty, turn = empty[~full[source[empty]]], turn + 1
     return low[source].reshape(n, SLOTS)
 
