@@ -36,7 +36,52 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return ((h >> U(11)) + U(1)).astype(float) * 2.0**-53
 
 
-def dart(edges: np.ndarray, weights: np.ndarray, k: int, seed: int, domain: int = 0) -> np.ndarray:
+#: Darts drawn in one array operation, at most (or one for each cell).
+DRAWN = 1 << 14
+
+
+def _darts(start: np.ndarray, width: np.ndarray, first: np.ndarray, bound: float):
+    """Cell, time and id of every dart up to the bound, given each cell's seed, rate and first time.
+
+    Cells are taken by their expected number of darts, which are then drawn side by side; the few cells that have not
+    passed the bound go on from their last dart.
+    """
+    level = np.ceil(np.log2(np.maximum((bound - first) * width, 1.0))).astype(np.int64)
+    for lam in np.unique(level).tolist():
+        group = np.flatnonzero(level == lam)
+        draws = 1 if lam == 0 else (1 << lam) + (1 << (lam // 2 + 1))
+        step = max(DRAWN // draws, 1)
+        for low in range(0, len(group), step):
+            own = group[low : low + step]
+            time, turn = first[own], 0
+            while len(own):
+                # the dart of each turn, and the gap to the one after it
+                h = mix(start[own][:, None] + mix(np.arange(turn, turn + draws + 1).astype(U))[None, :])
+                gaps = -np.log(_unit(h[:, 1:])) / width[own][:, None]
+                times = time[:, None] + np.concatenate([np.zeros((len(own), 1)), np.cumsum(gaps, axis=1)], axis=1)
+                row, column = np.nonzero(times[:, :-1] <= bound)
+                yield own[row], times[row, column], mix(h[row, column])
+                on = times[:, -1] <= bound
+                own, time, turn = own[on], times[on, -1], turn + draws
+
+
+def _earliest(cells: tuple[np.ndarray, ...], weight: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per slot the time and id of the earliest dart below its branch's weight; a cell spans its width above its width."""
+    start, width, first = cells
+    best, ident = np.full(k, np.inf), np.zeros(k, U)
+    found = list(_darts(start, width, first, bound))
+    if found:
+        own, time, dart_id = (np.concatenate(c) for c in zip(*found, strict=True))
+        hit = width[own] * (1.0 + _unit(mix(dart_id))) <= weight[own]
+        slot = ((dart_id[hit] >> U(20)) % U(k)).astype(np.int64)
+        time, dart_id = time[hit], dart_id[hit]
+        np.minimum.at(best, slot, time)
+        won = time == best[slot]
+        ident[slot[won]] = dart_id[won]
+    return best, ident
+
+
+def dart(edges: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Darts thrown at the region under the weights: per slot, the earliest dart below its branch's weight.
 
     The weight axis is cut at powers of two. Each cell (branch, power) has a Poisson process of darts of its own, with
@@ -50,38 +95,57 @@ def dart(edges: np.ndarray, weights: np.ndarray, k: int, seed: int, domain: int
     power = (top[:, None] - np.arange(LEVELS)[None, :]).ravel()
     edge, weight = np.repeat(edges.astype(U), LEVELS), np.repeat(weights, LEVELS)
     width = np.exp2(power - 1.0)
-    start = mix(mix(edge ^ mix(np.full(1, (seed << 8) + domain, U))) + (power + 4096).astype(U))
+    start = mix(mix(edge ^ mix(np.full(1, seed << 8, U))) + (power + 4096).astype(U))
+    first = -np.log(_unit(mix(start + mix(np.zeros(1, U))))) / width
     scale = math.log(k) + 3
     while True:
         bound = scale * k / total
-        time, own, turn = np.zeros(len(start)), np.arange(len(start)), 0
-        best, ident = np.full(k, np.inf), np.zeros(k, U)
-        while len(own):
-            h = mix(start[own] + mix(np.full(1, turn, U)))
-            time = time - np.log(_unit(h)) / width[own]
-            live = time <= bound
-            own, time, h = own[live], time[live], h[live]
-            dart_id = mix(h)
-            place = width[own] * (1.0 + _unit(mix(dart_id)))
-            hit = place <= weight[own]
-            slot = ((dart_id[hit] >> U(20)) % U(k)).astype(np.int64)
-            t, d = time[hit], dart_id[hit]
-            np.minimum.at(best, slot, t)
-            won = t == best[slot]
-            ident[slot[won]] = d[won]
-            turn += 1
+        some = first <= bound  # most cells are narrow and have no dart so early
+        best, ident = _earliest((start[some], width[some], first[some]), weight[some], bound, k)
         if not np.isinf(best).any():
             return ident.view(np.int64)
         scale *= 2
 
 
+#: Weights of the tree method lie below two to this power.
+TREE_TOP = 48
+
+
 def tree(edges: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """The tree method's interface: the same estimate from a stream of draws of its own.
+    """The tree method: each branch has one process over the whole weight axis, split by halving the axis.
 
-    The cells are the nodes of a tree of halved weights, and times scale with the total, so extreme totals cost no
-    more than others in either method.
+    The earliest dart of an interval belongs to one of its halves by a coin; the other half's earliest comes an
+    exponential time later. The upper half is a cell with darts of its own, the lower one is halved again, as long as
+    its earliest dart comes before the bound. So a branch costs as many steps as its axis has powers worth looking at,
+    and no part of a weight is neglected however small or large it is. Slots and bounds are those of :func:`dart`.
     """
-    return dart(edges, weights, k, seed, domain=1)
+    total = weights.sum()
+    if not total > 0:
+        return np.zeros(k, np.int64)
+    if not weights.max() < 2.0**TREE_TOP:
+        raise ValueError(f"weights of the tree method lie below 2**{TREE_TOP}")
+    root = mix(edges.astype(U) ^ mix(np.full(1, (seed << 8) + 1, U)))
+    scale = math.log(k) + 3
+    while True:
+        bound = scale * k / total
+        own, width, cells = np.arange(len(root)), 2.0**TREE_TOP, []
+        first = -np.log(_unit(mix(root + U(1)))) / width
+        depth = 0
+        while len(own):
+            own, first = own[first <= bound], first[first <= bound]
+            width, depth = width / 2, depth + 1
+            node = mix(root[own] + mix(np.full(1, depth, U)))
+            later = first - np.log(_unit(mix(node + U(2)))) / width
+            upper = (mix(node + U(3)) >> U(63)).astype(bool)
+            high = np.where(upper, first, later)
+            seen = (weights[own] > width) & (high <= bound)
+            cells.append((own[seen], node[seen], np.full(seen.sum(), width), high[seen]))
+            first = np.where(upper, later, first)
+        branch, start, widths, high = (np.concatenate(c) for c in zip(*cells, strict=True))
+        best, ident = _earliest((start, widths, high), weights[branch], bound, k)
+        if not np.isinf(best).any():
+            return ident.view(np.int64)
+        scale *= 2
 
 
 def consistent(edges: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -195,9 +259,12 @@ def mismatch_distances(sketched: DataFrame, weighted: bool, block: int = BLOCK)
         o, names, b = table["o"].to_numpy(), table["sample_id"].to_pylist(), table["b"].to_numpy()
         flat = table["signature"].combine_chunks()
         sig = flat.flatten().to_numpy().reshape(len(o), -1)
+        if sig.size and 0 <= sig.min() and sig.max() < 1 << 16:  # ids of 16 bits compare faster as such
+            sig = sig.astype(np.uint16)
         left, right = (np.flatnonzero(b == table[x][0].as_py()) for x in ("bi", "bj"))
         left, right = left[np.argsort(o[left])], right[np.argsort(o[right])]
-        d = np.stack([(sig[right] != sig[i]).mean(axis=1) for i in left])
+        others = np.ascontiguousarray(sig[right])
+        d = np.stack([np.count_nonzero(others != sig[i], axis=1) for i in left]) / max(sig.shape[1], 1)
         if weighted:
             d = np.where(d < 2, d / (2 - d), 1.0)
         i, j = np.nonzero(o[left][:, None] < o[right][None, :])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.operators.ordination import both_halves
+from cladeframe.session import materialise
 
 
 def aligned(first: DataFrame, second: DataFrame, least: int = 3) -> DataFrame:
@@ -21,10 +22,16 @@ def aligned(first: DataFrame, second: DataFrame, least: int = 3) -> DataFrame:
 
 
 def rank_by_counts(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Average ranks by distinct values: ties collapse before the one ordered pass, so it sees values, not rows."""
-    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(F.col(value).alias("__v"), (before + (F.col("n") + 1) / 2.0).alias(out))
+    """Average ranks by distinct values: ties collapse, ranges of values are ranked side by side.
+
+    Each range adds the count of those before it, a number for each partition.
+    """
+    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(value)
+    counts = materialise(counts.withColumn("part", F.spark_partition_id()), "counts")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    parts = counts.groupBy("part").agg(F.sum("n").alias("in_part")).select("part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("offset"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.join(F.broadcast(parts), "part").select(F.col(value).alias("__v"), (F.col("offset") + inside + (F.col("n") + 1) / 2.0).alias(out))
     return rows.join(ranks, rows[value] == ranks["__v"]).drop("__v")
 
 
@@ -39,8 +46,17 @@ def compare(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Samples of a matrix that every worker holds, at most.
+MATRIX_SAMPLES = 8192
+
+
 def mantel(rows: DataFrame, permutations: int = 999, seed: int = 42) -> tuple[float, float]:
-    """Pearson's r over pairs and its two-sided p-value; ids of ``y`` are permuted, permutations run on the executors."""
+    """Pearson's r over pairs and its two-sided p-value; ids of ``y`` are permuted, permutations run on the executors.
+
+    Each permutation looks up any pair, so the workers hold the matrices: an error above ``MATRIX_SAMPLES`` samples.
+    """
+    if rows.count() > MATRIX_SAMPLES * (MATRIX_SAMPLES - 1) // 2:
+        raise ValueError(f"permutations of more than {MATRIX_SAMPLES} samples")
     table = rows.toArrow()
     ids = sorted({*table["sample_i"].to_pylist(), *table["sample_j"].to_pylist()})
     at = {s: k for k, s in enumerate(ids)}
@@ -89,32 +105,35 @@ def permanova(distances: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def permanova_p(distances: DataFrame, metadata: DataFrame, permutations: int = 999, seed: int = 42) -> tuple[float, float]:
-    """Pseudo-F and its permutation p-value."""
-    with_groups(distances, metadata)
-    table = distances.toArrow()
-    ids = sorted({*table["sample_i"].to_pylist(), *table["sample_j"].to_pylist()})
-    at = {s: k for k, s in enumerate(ids)}
-    i, j = (np.array([at[s] for s in table[c].to_pylist()]) for c in ("sample_i", "sample_j"))
-    d2 = table["distance"].to_numpy().astype(float) ** 2
-    groups = {r["sample_id"]: r["group"] for r in metadata.collect()}
-    _, code = np.unique([groups[s] for s in ids], return_inverse=True)
-    size, n = np.bincount(code), len(ids)
-    total = d2.sum() / n
-
-    def pseudo_f(c: np.ndarray) -> float:
-        same = c[i] == c[j]
-        inner = (np.bincount(c[i][same], d2[same], len(size)) / size).sum()
-        return ((total - inner) / (len(size) - 1)) / (inner / (n - len(size)))
-
-    f = pseudo_f(code)
+    """Pseudo-F and its permutation p-value.
+
+    Pairs stay where they are: every task draws each permutation of the groups anew and returns one sum for it.
+    """
+    names = with_groups(distances, metadata).select(F.explode(F.array(F.struct(F.col("sample_i").alias("s"), F.col("group_i").alias("g")), F.struct(F.col("sample_j").alias("s"), F.col("group_j").alias("g")))).alias("z"))
+    samples = names.select("z.s", "z.g").distinct().orderBy("s").collect()  # one row for each sample
+    _, code = np.unique([str(r["g"]) for r in samples], return_inverse=True)
+    size, n = np.bincount(code), len(code)
+    at = distances.sparkSession.createDataFrame([(r["s"], k) for k, r in enumerate(samples)], "s string, k long")
+    pairs = distances.join(at.select(F.col("s").alias("sample_i"), F.col("k").alias("i")), "sample_i").join(at.select(F.col("s").alias("sample_j"), F.col("k").alias("j")), "sample_j")
+    pairs = materialise(pairs.select("i", "j", (F.col("distance") * F.col("distance")).cast("double").alias("d2")), "pairs")
 
     def run(batches):
-        for batch in batches:
-            hit = [pseudo_f(np.random.default_rng([seed, k]).permutation(code)) >= f - 1e-12 for k in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(hit)], ["hit"])
-
-    hits = distances.sparkSession.range(permutations).mapInArrow(run, "hit boolean").filter("hit").count()
-    return float(f), (hits + 1) / (permutations + 1)
+        held = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        if held:
+            i, j, d2 = (np.concatenate(c) for c in zip(*held, strict=True))
+            sums = []
+            for k in range(permutations + 1):
+                c = code if k == 0 else np.random.default_rng([seed, k - 1]).permutation(code)
+                same = c[i] == c[j]
+                sums.append(float((np.bincount(c[i[same]], d2[same], len(size)) / size).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(range(permutations + 1), pa.int64()), pa.array(sums, pa.float64())], ["k", "inner"])
+
+    parts = pairs.mapInArrow(run, "k long, inner double").groupBy("k").agg(F.sum("inner").alias("inner")).orderBy("k").collect()  # one row for each permutation
+    total = pairs.agg(F.sum("d2")).first()[0] / n
+    inner = np.array([r["inner"] for r in parts])
+    f = ((total - inner) / (len(size) - 1)) / (inner / (n - len(size)))
+    hits = int((f[1:] >= f[0] * (1 - 1e-9)).sum())
+    return float(f[0]), (hits + 1) / (permutations + 1)
 
 
 def query_split(samples: DataFrame, share: float = 0.05, seed: int = 1337) -> DataFrame:

@@ -16,7 +16,7 @@ def read_dense(spark: SparkSession, path: str, presence: bool = False) -> tuple[
     The first header cell is ignored. Rows of another width than the header, and tables without samples or taxa, are
     errors. Files may have either kind of line end.
     """
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"))
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.monotonically_increasing_id().alias("at"))
     header = lines.first()
     if header is None:
         raise ValueError("the table is empty")
@@ -25,7 +25,9 @@ def read_dense(spark: SparkSession, path: str, presence: bool = False) -> tuple[
         raise ValueError("the table names no samples")
     if len(set(names)) != len(names):
         raise ValueError("sample names repeat")
-    cells = lines.filter(F.col("value") != F.lit(header[0])).select(F.split("value", "\t", -1).alias("c"))
+    cells = lines.filter(F.col("at") != header[1]).select(F.split("value", "\t", -1).alias("c"))
+    if cells.isEmpty():
+        raise ValueError("the table has no taxa")
     wrong = cells.filter(F.size("c") != len(names) + 1).limit(1).collect()
     if wrong:
         raise ValueError(f"a row has {len(wrong[0][0]) - 1} values for {len(names)} samples: {wrong[0][0][0]!r}")

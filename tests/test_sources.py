@@ -1,5 +1,8 @@
 """Readers, writers and the Newick parser."""
 
+import sys
+
+import numpy as np
 import pytest
 
 from cladeframe.sources import matrices, newick, tables
@@ -48,7 +51,50 @@ def test_dense_table(spark, tmp_path):
     assert {r[2] for r in tables.read_dense(spark, str(tmp_path / "t.tsv"), presence=True)[0].collect()} == {1.0}
 
 
-@pytest.mark.parametrize("text", ["#\ta\tb\nT\t1\n", "#\n", "#\ta\ta\nT\t1\t2\n"])
+def test_dense_table_rows_like_the_header(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("T\t1\t2\nT\t1\t2\nU\t0\t3\n")
+    long, _ = tables.read_dense(spark, str(tmp_path / "t.tsv"))
+    assert {tuple(r) for r in long.collect()} == {("1", "T", 1.0), ("2", "T", 2.0), ("2", "U", 3.0)}
+
+
+class Stored(dict):
+    """What the BIOM reader asks of an HDF5 file, from arrays by path."""
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+    def __getitem__(self, path):
+        held = dict.__getitem__(self, path)
+        return type("Data", (), {"__getitem__": lambda _, key: held})()
+
+
+@pytest.mark.parametrize("group", ["observation/matrix", "observation"])
+@pytest.mark.parametrize("width", [np.int32, np.int64])
+def test_biom_table(spark, monkeypatch, group, width):
+    file = Stored({
+        "observation/ids": np.array([b"A", b"B"], object), "sample/ids": np.array(["x", "y", "z"], object),
+        f"{group}/indptr": np.array([0, 2, 3], width), f"{group}/indices": np.array([0, 2, 1], width), f"{group}/data": np.array([1, 0, 4], np.float32),
+    })
+    monkeypatch.setitem(sys.modules, "h5py", type("H5", (), {"File": staticmethod(lambda path, mode: file)}))
+    long, samples = tables.read_feature_table(spark, "table.biom")
+    assert {tuple(r) for r in long.collect()} == {("x", "A", 1.0), ("y", "B", 4.0)}
+    assert [r["sample_id"] for r in samples.orderBy("sample_ordinal").collect()] == ["x", "y", "z"]
+    present = tables.read_feature_table(spark, "table", kind="biom", presence=True)[0]
+    assert {tuple(r) for r in present.collect()} == {("x", "A", 1.0), ("z", "A", 1.0), ("y", "B", 1.0)}
+    file[f"{group}/indices"] = np.array([0, 2, 7], width)
+    with pytest.raises(ValueError):
+        tables.read_feature_table(spark, "table.biom")
+
+
+def test_unknown_format(spark):
+    with pytest.raises(ValueError):
+        tables.read_feature_table(spark, "x.tsv", kind="csv")
+
+
+@pytest.mark.parametrize("text", ["#\ta\tb\nT\t1\n", "#\n", "#\ta\ta\nT\t1\t2\n", "#\ta\tb\n", ""])
 def test_dense_table_errors(spark, tmp_path, text):
     (tmp_path / "t.tsv").write_text(text)
     with pytest.raises(ValueError):
