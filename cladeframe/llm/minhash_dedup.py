@@ -197,6 +197,21 @@ def named(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFram
     return found.join(ids, "key").join(sizes, "class").select("doc_id", "class_id", "class_size", (F.col("key") == F.col("class")).alias("kept"))
 
 
+#: All links by counting shared shingles, closed by the least id that reaches a document. Ids must be unique.
+ORACLE = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+parts AS (SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS e
+  FROM words WHERE len(w) > 0),
+bags AS (SELECT doc_id, e, count(*) AS n FROM parts GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(n) AS size FROM bags GROUP BY ALL),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS common FROM bags a JOIN bags b ON a.e = b.e AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 10 * common >= 8 * (x.size + y.size - common)),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, root FROM reach JOIN links ON a = reach.doc_id WHERE root < b),
+least AS (SELECT doc_id, min(root) AS class_id FROM reach GROUP BY ALL)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM least
+"""
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The least row of every class, all columns unchanged."""
     rows, _ = keyed(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id")), "doc_id")

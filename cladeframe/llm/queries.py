@@ -20,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op4_substring": substring.ORACLE,
+    "op5_minhash_dedup": minhash_dedup.ORACLE,
     "op7_warc": warc.ORACLE,
     "op9_chat": chat.ORACLE,
     "op10_quality_rules": quality.ORACLE,
