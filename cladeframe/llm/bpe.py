@@ -26,6 +26,8 @@ from cladeframe.llm import workspace
 
 
 TABLE_BITS = 20
+#: Bytes of remembered fragments from which the memo starts anew: texts without forced cuts make long ones.
+MEMO_BYTES = 32 << 20
 #: Fragments given to the library at a time.
 LEARN = 2048
 #: Masks of the first n of eight bytes.
@@ -89,6 +91,7 @@ class Codec:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.held = 0
         self.flat = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 16, np.int64)  # fragment i has flat[at[i] : at[i + 1]]
         # a direct-mapped table before the memo: fragments of up to 15 bytes, whole, with their length on top
@@ -124,13 +127,14 @@ class Codec:
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), high), np.int32)])
         self.flat[low:high] = np.fromiter(chain.from_iterable(ids), np.int32, high - low)
         self.known.update(zip(missing, range(have, have + n), strict=True))
+        self.held += sum(map(len, missing))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and their n+1 offsets."""
         edges = self.cuts(raw, offsets)
         if len(edges) < 2:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.held > MEMO_BYTES:
             self._forget()
         start, size = edges[:-1], np.diff(edges)
         padded = np.concatenate([raw, np.zeros(16, np.uint8)])
@@ -184,7 +188,11 @@ def op6_rows(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    """Every text encoded and decoded again. Null counts as empty: no ids, an empty text. One scan, no shuffle."""
+    """Every text encoded and decoded again. Null counts as empty: no ids, an empty text. One scan, no shuffle.
+
+    Rows stand for themselves, so null and repeated ids, ties and repeated texts need no rule; a very long text is worked
+    on alone and whole. An empty table gives an empty result.
+    """
     workspace.bounded_batches(spark)
     path = vocabulary or default_vocabulary()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")

@@ -125,6 +125,11 @@ def decide(
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with the row that stays for its text, the size of its group and the text's SHA-256.
+
+    Null and empty texts are one group. Rows with null or repeated ids stand for themselves, as :func:`decide` says; a
+    text of any length is compared whole. An empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return decide(docs).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256"

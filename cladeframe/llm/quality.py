@@ -193,6 +193,11 @@ def judge(
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the base rules' counts, the lines and words that are too frequent on its host, and the verdict.
+
+    A null or empty text has no words and fails the base rules. Null sources are one host. Rows with null or repeated
+    ids stand for themselves. Texts of any length are read whole. An empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return judge(docs).drop("text_hash")
 

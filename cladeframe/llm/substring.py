@@ -309,6 +309,12 @@ def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> Da
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its words, those that repeated windows cover, and a digest of what is left.
+
+    A null or empty text has no words; a text shorter than a window loses none; equal texts lose all windows alike.
+    Rows with null or repeated ids are told apart and named by their ids. A very long text is worked on alone and whole.
+    An empty table gives an empty result.
+    """
     docs, own = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
     found = repeats(docs).drop("kept_text")
     if docs is not own:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -102,20 +103,24 @@ def write_archives(
     )
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Named fields and block of each record of an archive."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Named fields and block of each record of an archive, which is unpacked as it is read."""
+    whole = io.BytesIO(data)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=whole) if data[:2] == b"\x1f\x8b" else whole, 1 << 18)
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"a record begins with {line[:40]!r}")
+        fields = {}
+        while (line := stream.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("the archive ends inside a header")
+            name, _, value = line.decode("utf-8").partition(":")
+            fields[name.lower()] = value.strip()
         size = int(fields["content-length"])
-        yield fields, view[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        block = stream.read(size)
+        if len(block) != size or stream.read(4) != b"\r\n\r\n":
+            raise ValueError("the archive ends inside a record")
+        yield fields, block
 
 
 def archive_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +131,7 @@ def archive_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 page = fields.get("x-page-id")
                 row = {"page_id": int(page) if page else None, "record_type": fields["warc-type"], "record_id": fields["warc-record-id"], "refers": fields.get("warc-refers-to"), "named_digest": fields["warc-payload-digest"].partition(":")[2]}
                 if row["record_type"] == "response":
-                    whole = bytes(block)
-                    payload = whole[whole.index(b"\r\n\r\n") + 4 :]
+                    payload = block[block.index(b"\r\n\r\n") + 4 :]
                     row |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest()}
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, ARCHIVE_SCHEMA)
@@ -159,7 +163,12 @@ def read_archives(spark: SparkSession, out: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives of all pages, written and read back."""
+    """Archives of all pages, written and read back.
+
+    A null payload is empty. Rows equal in page_id and payload are one capture (the response, twice); a null page_id is
+    less than any. Payloads of any length are whole; a worker holds one record and a packed file. Other columns are not
+    read. An empty table gives an empty result.
+    """
     workspace.bounded_batches(spark)
     out = workspace.new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), out)
