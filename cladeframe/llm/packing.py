@@ -192,7 +192,7 @@ def packed_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document's words lie: pieces of at most a bin's words, and their bins.
 
-    A null or empty text makes one piece of no words. Rows with null or repeated ids are told apart and named by their
+    A null or empty text makes one row of length 0 without a bin. Rows with null or repeated ids are told apart and named by their
     ids; ties in length are taken in order of those. A very long text is cut into pieces. An empty table gives an empty
     result.
     """

@@ -29,6 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cladeframe-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
