@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.session import BROADCAST_ROWS
 
 
 def totals(long: DataFrame) -> DataFrame:
@@ -35,11 +34,6 @@ def equal_shares(long: DataFrame) -> DataFrame:
     return relative(presence(long))
 
 
-def checked_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it has few rows (counted, no further than the bound); else left to a shuffle."""
-    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
-
-
 def observed_paths(paths: DataFrame, long: DataFrame) -> DataFrame:
     """Paths of the leaves that the table names."""
     return paths.join(long.select("feature_id").distinct(), "feature_id", "left_semi")

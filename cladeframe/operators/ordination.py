@@ -86,10 +86,15 @@ def exact(d: np.ndarray, ids: list[str], axes: int = 10) -> Ordination:
     return Ordination(ids, _signs(vectors[:, :k]) * np.sqrt(values_k), values[:k], values_k / total if total else values_k, int((values < -1e-12 * max(abs(values[0]), 1e-300)).sum()))
 
 
-def pcoa(distances: DataFrame, samples: DataFrame, axes: int = 10, seed: int = 42, oversample: int = 8, rounds: int = 2, driver_samples: int = DRIVER_SAMPLES) -> Ordination:
-    """Exact for few samples; beyond that by subspace iteration with the matrix left on the executors."""
-    n = samples.count()
-    return exact(square_array(distances, ids := _order(samples)), ids, axes) if n <= driver_samples else randomized(distances, samples, axes, seed, oversample, rounds)
+def pcoa(distances: DataFrame, samples: DataFrame, axes: int = 10, seed: int = 42, oversample: int = 8, rounds: int = 2, method: str = "exact") -> Ordination:
+    """``exact`` on the driver, an error above ``DRIVER_SAMPLES`` samples; ``randomized`` leaves the matrix on the executors."""
+    if method == "randomized":
+        return randomized(distances, samples, axes, seed, oversample, rounds)
+    if method != "exact":
+        raise ValueError(f"unknown method {method!r}")
+    if (n := samples.count()) > DRIVER_SAMPLES:
+        raise ValueError(f"{n} samples are too many for exact coordinates; the randomized method takes any number")
+    return exact(square_array(distances, ids := _order(samples)), ids, axes)
 
 
 def randomized(distances: DataFrame, samples: DataFrame, axes: int = 10, seed: int = 42, oversample: int = 8, rounds: int = 2) -> Ordination:

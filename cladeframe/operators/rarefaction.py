@@ -63,8 +63,8 @@ def jackknife(
 ) -> tuple[DataFrame, str, DataFrame]:
     """Mean distances, the consensus tree with support (Newick), and the splits' support.
 
-    ``distance(table, samples)`` gives the distances of a table whose sample ids are ``replicate|sample``: all
-    replicates go through in one job, and only pairs inside a replicate are asked for.
+    ``distance(table, samples)`` gives the distances of one replicate's table. Replicates are drawn in one job; each then
+    has a chain of jobs of its own for its distances, so that no pairs across replicates are compared.
     """
     depth = depth or minimum_depth(long)
     drawn_rows = materialise(rarefied(long, depth, seed, iterations), "rarefied")

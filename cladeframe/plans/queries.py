@@ -422,6 +422,17 @@ def o10_recall(spark, d):
     return S.recall(S.neighbours(nine(u), c.samples, split, 5), S.neighbours(nine(w), c.samples, split, 5), 5)
 
 
+@query(f"{NATIONS}, {PRESENCE}, {X}, {UNWEIGHTED} {OUT}")
+def o2_pcoa_rebuilt_distances(spark, d):
+    """Roots of the unweighted distances lie in a Euclidean space: all axes together give the distances back."""
+    c = A.nations(spark, d)
+    root = materialise(E.exact(c), "u").withColumn("distance", F.sqrt("distance"))
+    at = materialise(O.coordinates_frame(spark, O.pcoa(root, c.samples, c.samples.count())), "at")
+    i, j = at.select(F.col("sample_id").alias("sample_i"), "axis", F.col("value").alias("x")), at.select(F.col("sample_id").alias("sample_j"), "axis", F.col("value").alias("y"))
+    apart = F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))).alias("distance")
+    return _six(D.sample_pairs(c.samples).join(i, "sample_i").join(j, ["sample_j", "axis"]).groupBy("sample_i", "sample_j").agg(apart))
+
+
 @query(f"""{NATIONS}, {MASS}, {X}, {WEIGHTED}, {HALVES.format('d')}, m AS (SELECT sample_i AS s, sum(distance ** 2) / 25 AS m FROM h GROUP BY sample_i), g AS (SELECT sum(m) / 25 AS g FROM m),
 r AS (SELECT sample_i, sample_j, distance ** 2 AS q FROM d UNION ALL SELECT s, s, 0 FROM m)
 SELECT sample_i, sample_j, round(-0.5 * (q - i.m - j.m + g), 6) + 0.0 AS value FROM r JOIN m i ON i.s = sample_i JOIN m j ON j.s = sample_j, g""")
@@ -436,7 +447,7 @@ def o1_pcoa(spark, d):
 
 def o1_pcoa_randomized(spark, d):
     c, _, w = _both(spark, d)
-    return O.eigen_frame(spark, O.pcoa(w, c.samples, 5, driver_samples=1))
+    return O.eigen_frame(spark, O.pcoa(w, c.samples, 5, method="randomized"))
 
 
 def o4_procrustes(spark, d):

@@ -34,7 +34,7 @@ def test_pcoa_recovers_distances(spark, points):
     o = O.pcoa(d, samples, 3)
     assert np.allclose(euclid(o.coordinates), euclid(points)) and o.proportion.sum() == pytest.approx(1)
     assert O.explained_total(d, len(ids)) == pytest.approx(o.eigenvalues.sum())
-    r = O.pcoa(d, samples, 3, driver_samples=1)
+    r = O.pcoa(d, samples, 3, method="randomized")
     assert np.allclose(r.eigenvalues, o.eigenvalues) and np.allclose(np.abs(r.coordinates), np.abs(o.coordinates), atol=1e-6)
 
 
