@@ -370,12 +370,12 @@ def test_chat_mixed_records_have_no_layout(spark):
 def brute_pack(items, capacity):
     bins, where = [], {}
     for k, length, s, c in sorted(items, key=lambda x: (-x[1], x[0])):
-        fits = [(r, i) for i, (r, ss, cc) in enumerate(bins) if r >= length and s & 63 not in ss and c not in cc]
+        fits = [(r, i) for i, (r, ss, cc) in enumerate(bins) if r >= length and s not in ss and c not in cc]
         i = min(fits)[1] if fits else len(bins)
         if not fits:
             bins.append([capacity, set(), set()])
         bins[i][0] -= length
-        bins[i][1].add(s & 63)
+        bins[i][1].add(s)
         bins[i][2].add(c)
         where[k] = i
     return where
