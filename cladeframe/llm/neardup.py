@@ -73,7 +73,7 @@ def _send(sign: Callable[[pa.RecordBatch], Iterator[Signed]], buckets: int, batc
         at = np.flatnonzero(head)
         count = np.diff(np.append(at, len(name)))
         many = np.repeat(count > 1, count)
-        rows += sender.deal(FOUND, bucket[many], ids[many].view(np.uint64), name[many])
+        rows += sender.deal(FOUND, bucket[many], ids[many].view(np.uint64), name[many], np.repeat(count, count)[many])
         one, settled = ids[at], (count > 1).astype(np.uint8)
         by = np.argsort(one)
         rows += sender.deal(ENTRY, bucket[at][by], name[at][by].astype(np.uint32), one[by], settled[by])
@@ -103,7 +103,7 @@ def _meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == ENTRY:
                 held.append(columns)
             elif kind == FOUND:
-                yield rows(FOUND, len(columns[0]), bag1=columns[0], bucket=columns[1])
+                yield rows(FOUND, len(columns[0]), bag1=columns[0], bucket=columns[1], size=columns[2])
             else:
                 yield rows(ITEM, len(columns[0]), **dict(zip(("key", "size", "bag1", "bag2", "doc", "pos"), columns, strict=False)))
         if held:
@@ -113,14 +113,16 @@ def _meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.concatenate([[True], prints[1:] != prints[:-1]])
             other = new | np.concatenate([[True], ids[1:] != ids[:-1]])
             at = np.flatnonzero(new)
-            several = np.add.reduceat(other, at, dtype=np.int64) > 1
-            found = np.flatnonzero(other & (settled == 0) & np.repeat(several, np.diff(np.append(at, len(order)))))
+            company = np.repeat(np.add.reduceat(other, at, dtype=np.int64), np.diff(np.append(at, len(order))))
+            found = np.flatnonzero(other & (settled == 0) & (company > 1))
             if len(found):
-                yield rows(FOUND, len(found), bag1=ids[found], bucket=(np.int64(bucket) << 32) | prints[found].astype(np.int64))
+                yield rows(FOUND, len(found), bag1=ids[found], bucket=(np.int64(bucket) << 32) | prints[found].astype(np.int64), size=company[found])
 
 
 def banded(items: DataFrame, sign: Callable[[pa.RecordBatch], Iterator[Signed]], bands: int, each: int = 1) -> tuple[DataFrame, DataFrame]:
-    """``key, size, bag1, bag2, doc, pos`` of all items; ``bucket, bag1`` of bags that share a band with another.
+    """``key, size, bag1, bag2, doc, pos`` of all items; ``bucket, bag1, company`` of bags that share a band with others.
+
+    A bag may stand in a bucket more than once; ``company`` says how many it was met with there.
 
     ``each`` says how many items a row of ``items`` has, about; it only sets the number of buckets.
     """
@@ -129,7 +131,7 @@ def banded(items: DataFrame, sign: Callable[[pa.RecordBatch], Iterator[Signed]],
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "src")
     rows = workspace.materialise(workspace.arrow_map(rows, _meet, ROWS), "banded")
     signed = rows.filter(F.col("kind") == ITEM).select("key", "size", "bag1", "bag2", "doc", "pos")
-    return signed, rows.filter(F.col("kind") == FOUND).select("bucket", "bag1")
+    return signed, rows.filter(F.col("kind") == FOUND).select("bucket", "bag1", F.col("size").alias("company"))
 
 
 #: Members of a group that are compared one by one.
@@ -158,13 +160,9 @@ def comparable(a: str, b: str, share: tuple[int, int] = SIMILAR) -> Column:
 
 
 def _led(members: DataFrame) -> DataFrame:
-    """``a, b, a_size, b_size``: every member of a bucket with the bucket's lead, the member with most company in all its buckets.
-
-    A member may stand in a bucket more than once, which only adds to its company.
-    """
-    count = workspace.materialise(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "count")
-    company = members.join(count, "bucket").groupBy("rep").agg(F.sum("n").alias("company"))
-    met = members.join(workspace.materialise(company, "company"), "rep")
+    """``a, b, a_size, b_size``: every member of a bucket with the bucket's lead, the member with most company in all its buckets."""
+    company = members.groupBy("rep").agg(F.sum("company").alias("company"))
+    met = members.drop("company").join(workspace.materialise(company, "company"), "rep")
     # company decides, then a hash of the member: numbers, so that they are aggregated in hash maps
     met = met.withColumn("rank", F.col("company") * (1 << 20) + F.xxhash64("rep").bitwiseAND((1 << 20) - 1))
     leads = met.groupBy("bucket").agg(F.max_by("rep", "rank").alias("a"), F.max_by("size", "rank").alias("a_size"))
@@ -200,7 +198,7 @@ def classes(signed: DataFrame, shared: DataFrame, verifier: Verifier, alone: boo
     near = (2 * SIMILAR[0] - SIMILAR[1], SIMILAR[1])
     bags = signed.filter("size > 0").groupBy("bag1", "bag2").agg(F.min("key").alias("rep"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
     bags = workspace.materialise(bags, "bags")
-    members = shared.join(bags.select("bag1", "rep", "size"), "bag1").select("bucket", "rep", "size")
+    members = shared.join(bags.select("bag1", "rep", "size"), "bag1").select("bucket", "rep", "size", "company")
     led = workspace.materialise(_led(workspace.materialise(members, "members")), "led")
     verifier.prepare(led.select(F.col("a").alias("key")).unionByName(led.select(F.col("b").alias("key"))).distinct())
 
