@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cladeframe.llm import bpe, chat, exact_dedup, line_dedup, minhash_dedup, packing, quality, simple8b, substring, warc
+from cladeframe.llm import bpe, chat, exact_dedup, line_dedup, minhash_dedup, packing, quality, repair, simple8b, substring, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit": packing.op8_best_fit,
     "op9_chat": chat.op9_chat,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_repair": repair.op11_repair,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_warc": warc.ORACLE,
     "op9_chat": chat.ORACLE,
     "op10_quality_rules": quality.ORACLE,
+    "op11_repair": repair.ORACLE,
 }
