@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cladeframe.llm import bpe, chat, collocations, exact_dedup, line_dedup, minhash_dedup, packing, quality, repair, simple8b, substring, warc
+from cladeframe.llm import bpe, chat, collocations, exact_dedup, line_dedup, minhash_dedup, mixing, packing, quality, repair, simple8b, substring, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat": chat.op9_chat,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_repair": repair.op11_repair,
+    "op12_mixing": mixing.op12_mixing,
     "op13_collocations": collocations.op13_collocations,
 }
 
