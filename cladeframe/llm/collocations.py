@@ -5,10 +5,10 @@ read the text first. Left and right parts' counts are joined to each candidate b
 anti-join with the candidates one word longer drops what they hold.
 
 Most phrases of a corpus occur once or twice, and rows of all of them are many times the text. A phrase is no more
-frequent than any pair of neighbouring words in it, so a first pass counts hashes of words and pairs alone, and a bitmap
-of fixed size remembers those that reach the least count. Phrases with a pair or word outside the bitmap cannot be
-candidates, nor parts of one, and are left out of the rows. The bitmap has no false negatives, whatever collides in it:
-it only saves rows, and the counts of what is left are of the phrases themselves.
+frequent than any three neighbouring words in it, so a first pass counts hashes of phrases of up to three words alone, and
+a bitmap of fixed size remembers those that reach the least count. Phrases with three words (or if shorter, all words)
+outside the bitmap cannot be candidates, nor parts of one, and are left out of the rows. The bitmap has no false negatives,
+whatever collides in it: it only saves rows, and the counts of what is left are of the phrases themselves.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ MAX_WORDS = 5
 LEAST_COUNT = 100
 TOP = 2000
 NO_LANGUAGE = "und"
+#: Words of the phrases whose hashes are counted first, at most.
+FILTER_WORDS = 3
 #: Bits of the map of frequent hashes (8 MB), which travels to every task. More hashes than bits only make it less sharp.
 FILTER_BITS = 1 << 26
 #: Hashes that a task adds up before it hands them on.
@@ -90,9 +92,9 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple[Pieces, np.ndarray, pa.Record
 
 
 def _grams(words: Pieces, lang: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words, then neighbouring pairs: where they start and their hashes, apart for each language."""
+    """Phrases of 1 to FILTER_WORDS words: where they start and their hashes, apart for each language."""
     h = words.hashes()
-    for k in (1, 2):
+    for k in range(1, FILTER_WORDS + 1):
         at = np.flatnonzero(words.fits(k))
         yield at, tk.mix(tk.windows(h, at, k) ^ lang[at])
 
@@ -115,8 +117,9 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_bits(docs: DataFrame, least: int, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bitmap, as bytes, of the hashes of words and pairs that reach ``least``; its size does not grow with the corpus."""
-    counted = workspace.arrow_map(docs, gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    """Bitmap, as bytes, of the hashes of short phrases that reach ``least``; its size does not grow with the corpus."""
+    grams = workspace.arrow_map(docs, gram_counts, "gram long, n long")  # added up as far as a task can
+    counted = grams.repartition(workspace.shuffle_width(docs.sparkSession), "gram").groupBy("gram").agg(F.sum("n").alias("n"))
     place = F.pmod("gram", F.lit(bits))
     byte = F.expr("bit_or(shiftleft(1, cast(place % 8 as int)))")
     set_bytes = counted.filter(F.col("n") >= least).select(place.alias("place")).groupBy(F.expr("place div 8").alias("byte")).agg(byte.alias("bits"))
@@ -147,14 +150,15 @@ def phrase_rows(docs: DataFrame, kept: np.ndarray, max_words: int) -> DataFrame:
 
         for batch in batches:
             for words, lang, part in _read(batch):
-                tables, (one, pair) = [], _grams(words, lang)
-                tables.append(table(words, part, one[0][passes(one[1])], 1))
-                joined = np.zeros(len(words.start), bool)  # the word and the next one pass together
-                joined[pair[0][passes(pair[1])]] = True
-                run_on = joined
-                for k in range(2, max_words + 1):
+                tables, run_on = [], np.zeros(0, bool)
+                for k, (at, grams) in zip(range(1, max_words + 1), _grams(words, lang), strict=False):
+                    run_on = np.zeros(len(words.start), bool)
+                    run_on[at[passes(grams)]] = True
+                    tables.append(table(words, part, np.flatnonzero(run_on), k))
+                last = run_on  # of longer ones all parts of this length must pass
+                for k in range(FILTER_WORDS + 1, max_words + 1):
+                    run_on = run_on[:-1] & last[k - FILTER_WORDS :]
                     tables.append(table(words, part, np.flatnonzero(run_on), k))
-                    run_on = run_on[:-1] & joined[k - 1 :] if k < len(joined) else run_on[:0]
                 all_words = np.bincount(words.text, minlength=part.num_rows)
                 tables.append(pa.table({"lang": part.column("lang").cast(pa.large_string()), "words": pa.array(np.zeros(part.num_rows, np.int32)), "phrase": pa.array([""] * part.num_rows, pa.large_string()), "n": pa.array(all_words)}))
                 held.append(added(tables))
