@@ -5,10 +5,11 @@ read the text first. Left and right parts' counts are joined to each candidate b
 anti-join with the candidates one word longer drops what they hold.
 
 Most phrases of a corpus occur once or twice, and rows of all of them are many times the text. A phrase is no more
-frequent than any three neighbouring words in it, so a first pass counts hashes of phrases of up to three words alone, and
-a bitmap of fixed size remembers those that reach the least count. Phrases with three words (or if shorter, all words)
-outside the bitmap cannot be candidates, nor parts of one, and are left out of the rows. The bitmap has no false negatives,
-whatever collides in it: it only saves rows, and the counts of what is left are of the phrases themselves.
+frequent than any three neighbouring words in it, so a first pass counts hashes of two and three words alone, and a bitmap
+of fixed size remembers those that reach the least count. Phrases with two or three words outside the bitmap cannot be
+candidates, nor parts of one, and are left out of the rows; single words, of which there are few in a task, all stay. The
+bitmap has no false negatives, whatever collides in it: it only saves rows, and the counts of what is left are of the
+phrases themselves.
 """
 
 from __future__ import annotations
@@ -92,9 +93,9 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple[Pieces, np.ndarray, pa.Record
 
 
 def _grams(words: Pieces, lang: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Phrases of 1 to FILTER_WORDS words: where they start and their hashes, apart for each language."""
+    """Phrases of 2 to FILTER_WORDS words: where they start and their hashes, apart for each language."""
     h = words.hashes()
-    for k in range(1, FILTER_WORDS + 1):
+    for k in range(2, FILTER_WORDS + 1):
         at = np.flatnonzero(words.fits(k))
         yield at, tk.mix(tk.windows(h, at, k) ^ lang[at])
 
@@ -130,7 +131,7 @@ def frequent_bits(docs: DataFrame, least: int, bits: int = FILTER_BITS) -> np.nd
 
 
 def phrase_rows(docs: DataFrame, kept: np.ndarray, max_words: int) -> DataFrame:
-    """``lang, words, phrase, n`` of all phrases that the bitmap lets through, added up by task; ``words`` 0: all words."""
+    """``lang, words, phrase, n`` of words and of phrases that the bitmap lets through, added up by task; ``words`` 0: all words."""
     shared = docs.sparkSession.sparkContext.broadcast(kept)
     bits = len(kept) * 8
 
@@ -150,8 +151,9 @@ def phrase_rows(docs: DataFrame, kept: np.ndarray, max_words: int) -> DataFrame:
 
         for batch in batches:
             for words, lang, part in _read(batch):
-                tables, run_on = [], np.zeros(0, bool)
-                for k, (at, grams) in zip(range(1, max_words + 1), _grams(words, lang), strict=False):
+                run_on = np.ones(len(words.start), bool)
+                tables = [table(words, part, np.flatnonzero(run_on), 1)]
+                for k, (at, grams) in zip(range(2, max_words + 1), _grams(words, lang), strict=False):
                     run_on = np.zeros(len(words.start), bool)
                     run_on[at[passes(grams)]] = True
                     tables.append(table(words, part, np.flatnonzero(run_on), k))
