@@ -11,6 +11,8 @@ so only branches that both samples have need to meet.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,14 +61,19 @@ def joined(weights: DataFrame, samples: DataFrame, metric: str) -> DataFrame:
     return rows.select("sample_i", "sample_j", F.greatest(value, F.lit(0.0)).alias("distance"))
 
 
-def sample_vectors(masses: DataFrame, samples: DataFrame, totals: DataFrame | None = None) -> DataFrame:
-    """``o, sample_id, total, edges, lengths, masses``: one row for each sample, its branches in order. A sample without any has empty vectors."""
-    entries = masses.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct(F.col("edge_id").cast("long").alias("e"), F.col("length").cast("double").alias("l"), F.col("mass").cast("double").alias("m")))).alias("v"))
-    rows = samples.join(entries, "sample_id", "left")
-    rows = rows.join(totals, "sample_id", "left") if totals is not None else rows.withColumn("total", F.lit(0.0))
+def sample_vectors(masses: DataFrame, samples: DataFrame, totals: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``*by, o, sample_id, total, edges, lengths, masses``: one row for each sample, its branches in order. A sample without any has empty vectors.
+
+    ``by`` names columns of ``masses`` (and ``totals``) that tell replicates apart; each has a row for every sample.
+    """
+    entries = masses.groupBy(*by, "sample_id").agg(F.sort_array(F.collect_list(F.struct(F.col("edge_id").cast("long").alias("e"), F.col("length").cast("double").alias("l"), F.col("mass").cast("double").alias("m")))).alias("v"))
+    if by:
+        samples = masses.select(*by).distinct().crossJoin(samples)  # a row for each vector
+    rows = samples.join(entries, [*by, "sample_id"], "left")
+    rows = rows.join(totals, [*by, "sample_id"], "left") if totals is not None else rows.withColumn("total", F.lit(0.0))
     none = lambda c, t: F.coalesce(F.col(c), F.expr(f"cast(array() as array<{t}>)"))
     return rows.select(
-        F.col("sample_ordinal").cast("long").alias("o"), "sample_id", F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total"),
+        *by, F.col("sample_ordinal").cast("long").alias("o"), "sample_id", F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total"),
         none("v.e", "bigint").alias("edges"), none("v.l", "double").alias("lengths"), none("v.m", "double").alias("masses"),
     )
 
@@ -148,9 +155,12 @@ def block_pairs(vectors: DataFrame, blocks: int, block: int) -> DataFrame:
 
 
 def blocked(
-    masses: DataFrame, samples: DataFrame, metric: str, alpha: float = 0.5, totals: DataFrame | None = None, tree_length: float = 0.0, block: int = BLOCK
+    masses: DataFrame, samples: DataFrame, metric: str, alpha: float = 0.5, totals: DataFrame | None = None, tree_length: float = 0.0, block: int = BLOCK,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """``sample_i, sample_j, distance`` by the block kernel; all of METRICS.
+    """``*by, sample_i, sample_j, distance`` by the block kernel; all of METRICS.
+
+    With ``by``, blocks of one replicate meet blocks of that replicate alone, and all replicates are one job.
 
     ``masses`` is ``sample_id, edge_id, length, mass``. Variance adjustment needs ``totals(sample_id, total)``; a
     generalized distance at alpha 0 divides by ``tree_length``, and at alpha 1 is the weighted one.
@@ -161,7 +171,7 @@ def blocked(
         raise ValueError("variance adjustment needs totals")
     if metric == "generalized" and abs(alpha - 1) <= 1e-12:
         metric = "weighted"
-    vectors = materialise(sample_vectors(masses, samples, totals), "vectors")
+    vectors = materialise(sample_vectors(masses, samples, totals, by), "vectors")
     n = vectors.agg(F.max("o")).first()[0]
     blocks = 1 if n is None else int(n) // block + 1
 
@@ -173,10 +183,14 @@ def blocked(
         left, right = left[np.argsort(o[left])], right[np.argsort(o[right])]
         d = _compare(metric, alpha, tree_length, _strips(table, left, right), total[left], total[right])
         i, j = np.nonzero(o[left][:, None] < o[right][None, :])
-        return pa.table({"sample_i": [names[k] for k in left[i]], "sample_j": [names[k] for k in right[j]], "distance": d[i, j]}, schema=PAIRS)
+        pairs = pa.table({"sample_i": [names[k] for k in left[i]], "sample_j": [names[k] for k in right[j]], "distance": d[i, j]}, schema=PAIRS)
+        for k, name in enumerate(by):
+            pairs = pairs.add_column(k, name, pa.repeat(table[name][0], len(pairs)))
+        return pairs
 
     dealt = block_pairs(vectors, blocks, block)
-    return dealt.groupBy("bi", "bj").applyInArrow(kernel, "sample_i string, sample_j string, distance double")
+    keys = "".join(f"{name} {masses.schema[name].dataType.simpleString()}, " for name in by)
+    return dealt.groupBy(*by, "bi", "bj").applyInArrow(kernel, f"{keys}sample_i string, sample_j string, distance double")
 
 
 PAIRS = pa.schema([("sample_i", pa.string()), ("sample_j", pa.string()), ("distance", pa.float64())])

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.operators import clustering
+from cladeframe.operators import clustering, trees
 from cladeframe.operators.ordination import square_array
 from cladeframe.operators.statistics import mean_distances
 from cladeframe.session import materialise
@@ -57,29 +57,44 @@ def drawn(long: DataFrame, depth: int, seed: int = 42, replicates: int = 1) -> D
     return whole.groupBy("replicate", "sample_id").applyInPandas(one, "replicate int, sample_id string, feature_id string, value double")
 
 
+#: The mean of all replicates, among them.
+MEAN = -1
+
+
 def jackknife(
     long: DataFrame, samples: DataFrame, distance: Callable[[DataFrame, DataFrame], DataFrame], depth: int | None = None,
     iterations: int = 50, seed: int = 42, tree: str = "upgma",
 ) -> tuple[DataFrame, str, DataFrame]:
-    """Mean distances, the consensus tree with support (Newick), and the splits' support.
+    """Mean distances, the consensus tree with support (Newick), and the support of all splits.
 
-    ``distance(table, samples)`` gives the distances of one replicate's table. Replicates are drawn in one job; each then
-    has a chain of jobs of its own for its distances, so that no pairs across replicates are compared.
+    ``distance(table, samples)`` gets the tables of all replicates at once, told apart by a column ``replicate``, and gives
+    ``replicate, sample_i, sample_j, distance`` (as :func:`engines.exact` does). Replicates are drawn, compared and
+    clustered side by side, and the mean is clustered with them; a split is ``split, size, support`` by its name. Only the
+    consensus tree, a row for each sample, comes to the driver. Neighbour joining (``tree="nj"``) is sequential and runs in
+    one kernel for each replicate; its splits are arrays of leaves.
     """
     depth = depth or minimum_depth(long)
-    drawn_rows = materialise(rarefied(long, depth, seed, iterations), "rarefied")
-    parts = []
-    for r in range(iterations):
-        table = drawn_rows.filter(F.col("replicate") == r).drop("replicate")
-        parts.append(distance(table, samples).withColumn("replicate", F.lit(r)))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = materialise(every, "replicates")
-    mean = mean_distances(every)
+    tables = materialise(rarefied(long, depth, seed, iterations), "rarefied")
+    every = materialise(distance(tables, samples), "replicates")
+    mean = materialise(mean_distances(every), "mean")
     ids = [r[0] for r in samples.orderBy("sample_ordinal").select("sample_id").collect()]
-    d = square_array(mean, ids)
-    consensus = clustering.neighbour_joining(d, ids) if tree == "nj" else clustering.upgma(d, ids)
-    supports = clustering.support(clustering.replicate_splits(every, "replicate", ids, tree=tree), "replicate")
-    known = {tuple(r["split"]): r["support"] for r in supports.collect()}  # at most n splits for each replicate
-    return mean, newick.write(consensus, clustering.annotate(consensus, known)), supports
+    if tree == "nj":
+        consensus = clustering.neighbour_joining(square_array(mean, ids), ids)
+        supports = clustering.support(clustering.replicate_splits(every, "replicate", ids, tree=tree), "replicate")
+        known = {tuple(r["split"]): r["support"] for r in supports.collect()}  # at most n splits for each replicate
+        return mean, newick.write(consensus, clustering.annotate(consensus, known)), supports
+    both = every.select("replicate", "sample_i", "sample_j", "distance").unionByName(mean.withColumn("replicate", F.lit(MEAN)))
+    merges = trees.linkage(both, samples, ["replicate"])
+    splits = trees.unrooted_splits(merges, len(ids), ["replicate"])
+    supports = materialise(trees.support(splits.filter(F.col("replicate") != MEAN), iterations), "support")
+    mine = merges.filter(F.col("replicate") == MEAN)
+    return mean, annotated(mine, splits.filter(F.col("replicate") == MEAN), supports, ids), supports
+
+
+def annotated(merges: DataFrame, splits: DataFrame, supports: DataFrame, ids: list[str]) -> str:
+    """Newick text of one tree with its inner nodes' support: that of the split each makes, which has one of two names."""
+    tree, names = trees.as_tree(merges.collect(), ids)  # a row for each sample
+    known = {tuple(r["split"]): r["support"] for r in splits.join(supports, "split", "left").select("split", F.coalesce("support", F.lit(0.0)).alias("support")).collect()}
+    a, b = names.get(0, (0, 0))
+    found = {node: known.get(name, known.get((name[0] ^ a, name[1] ^ b))) for node, name in names.items()}
+    return newick.write(tree, {node: f"{s:.3f}" for node, s in found.items() if s is not None})

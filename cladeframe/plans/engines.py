@@ -13,6 +13,10 @@ from cladeframe.operators import sketches as H
 from cladeframe.session import materialise
 
 
+#: The column that tells the tables of replicates apart.
+REPLICATE = "replicate"
+
+
 @dataclass(frozen=True)
 class Community:
     """A feature table, its sample order and the tree's paths.
@@ -34,16 +38,25 @@ def masses(c: Community, weighted: bool, raw_counts: bool = False) -> DataFrame:
 
 
 def exact(c: Community, metric: str = "unweighted", alpha: float = 0.5, raw_counts: bool = False, method: str = "blocked", tree_length: float | None = None) -> DataFrame:
-    """``sample_i, sample_j, distance``. Samples without any branch stay, at distance 0 from each other and 1 from others (emd: the other's total)."""
-    m = masses(c, metric != "unweighted", raw_counts)
+    """``sample_i, sample_j, distance``. Samples without any branch stay, at distance 0 from each other and 1 from others (emd: the other's total).
+
+    A table with a column ``replicate`` is compared replicate by replicate, in one job; the result has that column first.
+    """
+    by = [REPLICATE] if REPLICATE in c.table.columns else []
+    if by:  # a replicate's sample is a sample of its own until the pairs are formed
+        c = Community(c.table.withColumn("sample_id", F.struct(REPLICATE, "sample_id")).drop(REPLICATE), c.samples, c.paths)
+    apart = lambda rows: rows.select("sample_id.*", *(x for x in rows.columns if x != "sample_id")) if by else rows
+    m = apart(masses(c, metric != "unweighted", raw_counts))
     if method == "joined":
+        if by:
+            raise ValueError("the join form knows no replicates")
         if metric not in ("unweighted", "weighted"):
             raise ValueError("the join form knows unweighted and weighted")
         return D.joined(materialise(B.branch_weights(m), "weights"), c.samples, metric)
-    totals = B.totals(c.table) if metric == "variance_adjusted" else None
+    totals = apart(B.totals(c.table)) if metric == "variance_adjusted" else None
     if metric == "generalized" and abs(alpha) < 1e-12 and tree_length is None:
         tree_length = B.total_length(c.paths.select("edge_id", "length").distinct())
-    return D.blocked(m, c.samples, metric, alpha, totals, tree_length or 0.0)
+    return D.blocked(m, c.samples, metric, alpha, totals, tree_length or 0.0, by=by)
 
 
 def emd(c: Community, weighted: bool = False, method: str = "blocked") -> DataFrame:

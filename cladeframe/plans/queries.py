@@ -17,6 +17,7 @@ from cladeframe.operators import ordination as O
 from cladeframe.operators import rarefaction as R
 from cladeframe.operators import sketches as H
 from cladeframe.operators import statistics as S
+from cladeframe.operators import trees as T
 from cladeframe.plans import adapters as A
 from cladeframe.plans import engines as E
 from cladeframe.session import materialise
@@ -457,35 +458,68 @@ def o4_procrustes(spark, d):
     return spark.createDataFrame([(float(fit.disparity), float(fit.r_squared), float(fit.scale), float(fit.p_value))], "disparity double, r_squared double, scale double, p_value double")
 
 
-def _linkage(distances: DataFrame, samples: DataFrame):
-    ids = [r[0] for r in samples.orderBy("sample_ordinal").select("sample_id").collect()]
-    return ids, C.linkage(O.square_array(distances, ids))
-
-
+#: Clustering by the rule, one merge after the other: the nearest clusters (of equal distances those of the least leaves) of
+#: every tree ``g`` in ``dist(g, sample_i, sample_j, distance)``. ``merges`` has the clade's leaves and its name.
+CLUSTERED = """
+lab AS (SELECT sample_id, {'id': o, 'n': 1::BIGINT, 'a': ('0x' || substr(md5(sample_id), 1, 15))::BIGINT, 'b': ('0x' || substr(md5(sample_id), 16, 15))::BIGINT, 'l': [o]} AS c FROM samples),
+p AS (SELECT g, 0 AS step, least(i.c, j.c) AS x, greatest(i.c, j.c) AS y, round(distance * 10000000000)::HUGEINT AS s FROM dist JOIN lab i ON i.sample_id = sample_i JOIN lab j ON j.sample_id = sample_j
+  UNION ALL
+  SELECT g, step + 1, least(x2, y2), greatest(x2, y2), sum(s)::HUGEINT FROM (
+    SELECT g, step, s, CASE WHEN x.id IN (m.i, m.j) THEN m.c ELSE x END AS x2, CASE WHEN y.id IN (m.i, m.j) THEN m.c ELSE y END AS y2 FROM (
+      SELECT *, first_value({'i': x.id, 'j': y.id, 'c': {'id': x.id, 'n': x.n + y.n, 'a': xor(x.a, y.a), 'b': xor(x.b, y.b), 'l': list_concat(x.l, y.l)}})
+        OVER (PARTITION BY g ORDER BY s::DOUBLE / (x.n * y.n), x.id, y.id) AS m FROM p))
+  WHERE x2.id <> y2.id GROUP BY g, step, least(x2, y2), greatest(x2, y2)),
+merges AS (SELECT g, step, m.x.id AS i, m.y.id AS j, m.x.n + m.y.n AS n, m.h / 1e10 AS height, xor(m.x.a, m.y.a) AS a, xor(m.x.b, m.y.b) AS b, m.x.l AS li, m.y.l AS lj FROM (
+  SELECT g, step, arg_min({'x': x, 'y': y, 'h': s::DOUBLE / (x.n * y.n)}, {'h': s::DOUBLE / (x.n * y.n), 'i': x.id, 'j': y.id}) AS m FROM p GROUP BY g, step)),
+every AS (SELECT count(*) AS total, bit_xor(c.a) AS ta, bit_xor(c.b) AS tb FROM lab),
+unrooted AS (SELECT DISTINCT g, CASE WHEN n * 2 < total THEN {'a': a, 'b': b} WHEN n * 2 > total THEN {'a': xor(a, ta), 'b': xor(b, tb)}
+    ELSE least({'a': a, 'b': b}, {'a': xor(a, ta), 'b': xor(b, tb)}) END AS split, least(n, total - n) AS size FROM merges, every WHERE least(n, total - n) > 1)"""
+BOTH_TREES = f"{BOTH.replace('WITH paths', 'WITH RECURSIVE paths')}, dist AS (SELECT 'u' AS g, * FROM u UNION ALL SELECT 'w', * FROM d), {CLUSTERED}"
+
+
+@query(f"""{BOTH_TREES}, m AS (SELECT * FROM merges WHERE g = 'w')
+SELECT step, least(l, r) AS left, greatest(l, r) AS right, round(height, 6) AS height, n AS size FROM (SELECT step, height, n,
+  coalesce((SELECT max(p.step) FROM m p WHERE p.i = m.i AND p.step < m.step) + (SELECT total FROM every), m.i) AS l,
+  coalesce((SELECT max(p.step) FROM m p WHERE p.i = m.j AND p.step < m.step) + (SELECT total FROM every), m.j) AS r FROM m)""")
 def o11_linkage(spark, d):
     c, _, w = _both(spark, d)
-    _, z = _linkage(w, c.samples)
-    return spark.createDataFrame([(i, int(a), int(b), float(h), int(n)) for i, (a, b, h, n) in enumerate(z)], "step int, left int, right int, height double, size int")
+    return _six(T.linkage(w, c.samples).select("step", "left", "right", "height", "size"), "height")
 
 
-def o12_cophenetic_comparison(spark, d):
+def _cophenetic(spark, d) -> DataFrame:
+    """``sample_i, sample_j, x, y``: cophenetic distances of the unweighted and of the weighted tree."""
     c, u, w = _both(spark, d)
-    frames = []
-    for table in (u, w):
-        ids, z = _linkage(table, c.samples)
-        m = C.cophenetic(z)
-        frames.append(spark.createDataFrame([(ids[i], ids[j], float(m[i, j])) for i in range(len(ids)) for j in range(i + 1, len(ids))], "sample_i string, sample_j string, distance double"))
-    return S.compare(S.aligned(*frames))
+    return S.aligned(*(T.cophenetic(T.linkage(table, c.samples), c.samples) for table in (u, w)))
+
+
+COPHENETIC = f"""{BOTH_TREES}, h AS (SELECT g, p, unnest(lj) AS q, height FROM (SELECT g, unnest(li) AS p, lj, height FROM merges)),
+r AS (SELECT i.sample_id AS sample_i, j.sample_id AS sample_j, u.height AS x, w.height AS y FROM h u JOIN h w ON least(u.p, u.q) = least(w.p, w.q) AND greatest(u.p, u.q) = greatest(w.p, w.q)
+  JOIN samples i ON i.o = least(u.p, u.q) JOIN samples j ON j.o = greatest(u.p, u.q) WHERE u.g = 'u' AND w.g = 'w')"""
 
 
+@query(f"{COPHENETIC} SELECT least(sample_i, sample_j) AS sample_i, greatest(sample_i, sample_j) AS sample_j, round(x, 6) AS x, round(y, 6) AS y FROM r")
+def o12_cophenetic(spark, d):
+    return _six(_cophenetic(spark, d), "x", "y")
+
+
+@query(f"""{COPHENETIC},
+k AS (SELECT x, y, rank() OVER (ORDER BY round(x, 9)) + (count(*) OVER (PARTITION BY round(x, 9)) - 1) / 2 AS rx, rank() OVER (ORDER BY round(y, 9)) + (count(*) OVER (PARTITION BY round(y, 9)) - 1) / 2 AS ry FROM r)
+SELECT round(sqrt(avg((y - x) ** 2)), 6) AS rmse, round(avg(abs(y - x)), 6) AS mae, round(max(abs(y - x)), 6) AS max_abs_error, round(avg(y - x), 6) AS bias, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 4) AS spearman, count(*) AS pairs FROM k""")
+def o12_cophenetic_comparison(spark, d):
+    rows = _cophenetic(spark, d).select(F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+    return _six(S.compare(rows), "rmse", "mae", "max_abs_error", "bias", "pearson").withColumn("spearman", F.round("spearman", 4))
+
+
+@query(f"""{BOTH_TREES}, s AS (SELECT 'rooted' AS kind, g, {{'a': a, 'b': b}} AS split FROM merges, every WHERE n > 1 AND n < total UNION ALL SELECT 'unrooted', g, split FROM unrooted),
+c AS (SELECT kind, split, count(DISTINCT g) AS trees FROM s GROUP BY ALL)
+SELECT kind, count(*) FILTER (trees = 1) AS rf, round(count(*) FILTER (trees = 1) / sum(trees), 6) AS normalized_rf, count(*) FILTER (trees = 2) AS shared FROM c GROUP BY kind""")
 def o14_robinson_foulds(spark, d):
     c, u, w = _both(spark, d)
-    (ids, a), (_, b) = _linkage(u, c.samples), _linkage(w, c.samples)
-    rows = []
-    for kind, f in (("rooted", C.rooted), ("unrooted", C.unrooted)):
-        x = C.robinson_foulds(f(a, ids), f(b, ids))
-        rows.append((kind, int(x["rf"]), float(x["normalized_rf"]), int(x["shared"])))
-    return spark.createDataFrame(rows, "kind string, rf int, normalized_rf double, shared int")
+    n = c.samples.count()
+    a, b = (T.linkage(table, c.samples) for table in (u, w))
+    kinds = {"rooted": T.rooted_clades, "unrooted": T.unrooted_splits}
+    both = [[f(z, n).select(F.lit(kind).alias("kind"), "split") for kind, f in kinds.items()] for z in (a, b)]
+    return _six(T.robinson_foulds(*(x.unionByName(y) for x, y in both), by=["kind"]), "normalized_rf")
 
 
 def o16_neighbour_joining(spark, d):
@@ -501,7 +535,7 @@ def o19_sketch_sweep(spark, d):
     return sweeps.summarise(sweeps.sweep(c, E.exact(c, "weighted"), True, sizes=(64, 256), seeds=(1, 2), portable=True))
 
 
-for _f in (o19_sketch_sweep, o1_pcoa, o1_pcoa_randomized, o4_procrustes, o11_linkage, o12_cophenetic_comparison, o14_robinson_foulds, o16_neighbour_joining):
+for _f in (o19_sketch_sweep, o1_pcoa, o1_pcoa_randomized, o4_procrustes, o16_neighbour_joining):
     QUERIES[_f.__name__] = _f
 
 RAREFIED = """e AS (SELECT sample_id, feature_id, unnest(range(1, v::BIGINT + 1)) AS k FROM tab WHERE sample_id IN (SELECT sample_id FROM tab GROUP BY sample_id HAVING sum(v) >= {0})),
@@ -518,28 +552,45 @@ def o15_rarefaction_drawn(spark, d):
     return R.drawn(A.users(spark, d).table, 20)
 
 
-def o18_jackknife_support(spark, d):
+QUERIES["o15_rarefaction_drawn"] = o15_rarefaction_drawn
+
+REPLICATES = 50
+#: Unweighted distances of every replicate's rarefied table, by a join on branches.
+REPLICATED = f"""{MARKETS.replace('WITH tab', 'WITH RECURSIVE tab')},
+e AS (SELECT g, sample_id, feature_id, unnest(range(1, v::BIGINT + 1)) AS k FROM tab, range({REPLICATES}) t(g) WHERE sample_id IN (SELECT sample_id FROM tab GROUP BY sample_id HAVING sum(v) >= 30)),
+rr AS (SELECT g, sample_id, feature_id FROM e QUALIFY row_number() OVER (PARTITION BY g, sample_id ORDER BY md5('42:' || g::VARCHAR || ':' || sample_id || ':' || feature_id || ':' || k::VARCHAR), feature_id, k) <= 30),
+mass AS (SELECT DISTINCT g, sample_id, edge_id, length FROM (SELECT DISTINCT * FROM rr) JOIN paths USING (feature_id)),
+whole AS (SELECT g, sample_id, sum(length) AS w FROM mass GROUP BY ALL), {PAIRS},
+shared AS (SELECT a.g, a.sample_id AS sample_i, b.sample_id AS sample_j, sum(a.length) AS s FROM mass a JOIN mass b ON a.g = b.g AND a.edge_id = b.edge_id AND a.sample_id <> b.sample_id GROUP BY ALL),
+dist AS (SELECT g, sample_i, sample_j, coalesce(1 - coalesce(s, 0) / nullif(coalesce(i.w, 0) + coalesce(j.w, 0) - coalesce(s, 0), 0), 0) AS distance FROM pairs CROSS JOIN range({REPLICATES}) t(g)
+  LEFT JOIN shared USING (g, sample_i, sample_j) LEFT JOIN whole i ON i.g = t.g AND i.sample_id = sample_i LEFT JOIN whole j ON j.g = t.g AND j.sample_id = sample_j)"""
+
+
+def _replicates(spark, d):
     c = A.markets(spark, d)
-    few = lambda table, samples: E.exact(E.Community(table, samples, c.paths))
-    _, _, supports = R.jackknife(c.table, c.samples, few, depth=30, iterations=3)
-    return supports
+    return c, lambda table, samples: E.exact(E.Community(table, samples, c.paths))
 
 
-QUERIES |= {"o15_rarefaction_drawn": o15_rarefaction_drawn, "o18_jackknife_support": o18_jackknife_support}
+@query(f"{REPLICATED}, {CLUSTERED} SELECT split.a AS a, split.b AS b, size, round(count(*) / {REPLICATES}, 6) AS support FROM unrooted GROUP BY ALL")
+def o18_jackknife_support(spark, d):
+    """Support of every split that any replicate's tree has."""
+    c, distance = _replicates(spark, d)
+    _, _, supports = R.jackknife(c.table, c.samples, distance, depth=30, iterations=REPLICATES)
+    return _six(supports.select("split.a", "split.b", "size", "support"), "support")
+
 
+@query(f"{REPLICATED}, m AS (SELECT sample_i, sample_j, avg(distance) AS distance FROM dist GROUP BY ALL), {CLUSTERED.replace('FROM dist', 'FROM (SELECT 0 AS g, * FROM m)')}, {'one AS (SELECT split, size FROM unrooted)'} SELECT split.a AS a, split.b AS b, size FROM one")
+def o18_consensus_splits(spark, d):
+    """The splits of the tree of mean distances."""
+    c, distance = _replicates(spark, d)
+    mean = S.mean_distances(distance(R.rarefied(c.table, 30, replicates=REPLICATES), c.samples))
+    return T.unrooted_splits(T.linkage(materialise(mean, "mean"), c.samples), c.samples.count()).select("split.a", "split.b", "size")
 
-@query(f"{MARKETS.replace('tab AS', 'tab0 AS').replace('FROM tab)', 'FROM tab0)')}, " + ", ".join(
-    f"r{r} AS (WITH tab AS (SELECT * FROM tab0), {RAREFIED.format(30, r)} SELECT {r} AS replicate, sample_id, feature_id, value AS v FROM rare)" for r in range(2)
-) + f""", tab AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1), {EDGES}, {PAIRS},
-mass AS (SELECT DISTINCT replicate, sample_id, edge_id, length FROM tab JOIN paths USING (feature_id)),
-x AS (SELECT p.sample_i, p.sample_j, r.replicate, e.length AS l, (a.edge_id IS NOT NULL)::INT AS a, (b.edge_id IS NOT NULL)::INT AS b FROM pairs p CROSS JOIN edges e CROSS JOIN range(2) r(replicate)
-  LEFT JOIN mass a ON a.sample_id = sample_i AND a.edge_id = e.edge_id AND a.replicate = r.replicate LEFT JOIN mass b ON b.sample_id = sample_j AND b.edge_id = e.edge_id AND b.replicate = r.replicate),
-d AS (SELECT sample_i, sample_j, avg(u) AS distance FROM (SELECT sample_i, sample_j, replicate, coalesce(1 - sum(l * least(a, b)) / nullif(sum(l * greatest(a, b)), 0), 0) AS u FROM x GROUP BY ALL) GROUP BY ALL) {OUT}""")
+
+@query(f"{REPLICATED} SELECT sample_i, sample_j, round(avg(distance), 6) AS distance FROM dist GROUP BY ALL")
 def a14_jackknife_mean(spark, d):
-    c = A.markets(spark, d)
-    few = lambda table, samples: E.exact(E.Community(table, samples, c.paths))
-    mean, _, _ = R.jackknife(c.table, c.samples, few, depth=30, iterations=2)
-    return _six(mean)
+    c, distance = _replicates(spark, d)
+    return _six(S.mean_distances(distance(R.rarefied(c.table, 30, replicates=REPLICATES), c.samples)))
 
 
 @query("WITH e AS (SELECT value, min(value) OVER () AS lo, (max(value) OVER () - min(value) OVER ()) / 20 AS w FROM events) SELECT least(floor((value - lo) / w), 19)::INT AS bin, count(*) AS n FROM e GROUP BY bin")
