@@ -4,6 +4,7 @@ Clusters are merged in rounds: all pairs of reciprocal nearest neighbours merge
 are added up by a join. For average, single and complete linkage a merge never comes nearer to a third cluster than both
 of its parts were, so the rounds give the tree of the one-by-one rule. Distances are added as whole numbers (of 1 /
 ``SCALE``), so that ties stay ties; of equal distances the pair of the least leaves, by sample order, is the nearer one.
+When few clusters are left, each tree is finished by the same rule in a task of its own.
 
 A clade is named by the exclusive or of its leaves' labels, two 60-bit numbers of the sample's id, whichever tree it is
 in. So splits are compared, and support is counted, by joins of names; no set of leaves is ever built for it.
@@ -15,6 +16,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ SCALE = 10**10
 _EXACT = "decimal(38,0)"
 #: How two distances to one cluster become one.
 LINKAGES = {"average": F.sum, "single": F.min, "complete": F.max}
+#: Clusters that are left of a tree when one task takes it over: it holds a matrix of their distances, 2 MB.
+ONE_TASK = 512
 #: Positions on a side of the blocks in which cophenetic distances are written.
 BLOCK = 256
 
@@ -83,24 +87,58 @@ def _written(by: Sequence[str], pairs: DataFrame, clusters: DataFrame, merges: D
     return materialise(reduce(DataFrame.unionByName, parts), "round")
 
 
-def linkage(distances: DataFrame, samples: DataFrame, by: Sequence[str] = (), how: str = "average") -> DataFrame:
+def _finish(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The merges of one tree's last clusters: the nearest pair, one after the other."""
+    known = rows[rows["kind"] == _CLUSTER].sort_values("xi")
+    ids, n, a, b = (known[c].to_numpy().astype(np.int64) for c in ("xi", "xn", "a", "b"))
+    pairs = rows[rows["kind"] == _PAIR]
+    sums = [int(s) for s in pairs["s"]]
+    s = np.zeros((len(ids),) * 2, np.int64 if sum(sums) < 1 << 62 else object)
+    i, j = np.searchsorted(ids, pairs["xi"].to_numpy()), np.searchsorted(ids, pairs["yi"].to_numpy())
+    s[i, j] = s[j, i] = sums
+    how = str(rows["how"].iloc[0])
+
+    def apart(k: int) -> np.ndarray:
+        return (s[k] / (n[k] * n) if how == "average" else s[k]).astype(float)
+
+    d = np.full(s.shape, np.inf)
+    for k in range(len(ids)):
+        d[k, k + 1 :] = apart(k)[k + 1 :]
+    alive, out = np.ones(len(ids), bool), []
+    for _ in range(len(ids) - 1):
+        i, j = np.unravel_index(np.argmin(d), d.shape)  # of equal ones the first by row and column: by least leaves
+        height, alive[j] = d[i, j], False
+        s[i] = {"average": np.add, "single": np.minimum, "complete": np.maximum}[how](s[i], s[j])
+        s[:, i] = s[i]
+        n[i], a[i], b[i] = n[i] + n[j], a[i] ^ a[j], b[i] ^ b[j]
+        out.append((ids[i], ids[j], n[i], height, a[i], b[i]))
+        d[j], d[:, j] = np.inf, np.inf
+        now = np.where(alive, apart(i), np.inf)
+        d[i, i + 1 :], d[:i, i] = now[i + 1 :], np.where(alive[:i], now[:i], np.inf)
+    frame = pd.DataFrame(out, columns=["i", "j", "n", "d", "a", "b"])
+    for at, value in enumerate(key):
+        frame.insert(at, f"k{at}", value)
+    return frame
+
+
+def linkage(distances: DataFrame, samples: DataFrame, by: Sequence[str] = (), how: str = "average", one_task: int = ONE_TASK) -> DataFrame:
     """``*by, step, left, right, height, size, i, j, a, b``: the merges of each tree in order of height.
 
     ``distances(*by, sample_i, sample_j, distance)`` has all pairs of ``samples(sample_id, sample_ordinal)``. Leaves are
     nodes 0 to n - 1 by sample order, step k makes node n + k; ``i < j`` are the least leaves of both parts, ``a, b`` name
-    the merge's clade. Rounds are as many as the longest chain of merges that wait for each other, about the logarithm of
-    the samples unless clusters swallow one sample after the other. Among equal distances single linkage may take merges in
-    another order than one by one, with the same heights.
+    the merge's clade. Rounds go on until no tree has more than ``one_task`` clusters; they are as many as the longest chain
+    of merges that wait for each other, about the logarithm of the samples unless one cluster swallows sample after sample.
+    Among equal distances single linkage may take merges in another order than one by one, with the same heights.
     """
     if how not in LINKAGES:
         raise ValueError(f"unknown linkage {how!r}")
     n = samples.count()
-    pairs = _pairs(distances, samples, by)
     leaves = labels(samples).select(F.struct(F.col("leaf").alias("id"), F.lit(1).cast("long").alias("n")).alias("x"), "a", "b")
     if by:
         leaves = distances.select(*by).distinct().crossJoin(leaves)  # a row for each leaf of each tree
-    rounds = [_written(by, pairs, leaves, None)]
-    while not (pairs := rounds[-1].filter(F.col("kind") == _PAIR)).isEmpty():
+    rounds = [_written(by, _pairs(distances, samples, by), leaves, None)]
+    while n > one_task and not rounds[-1].filter(F.col("kind") == _CLUSTER).groupBy(*by).count().filter(F.col("count") > max(one_task, 1)).isEmpty():
+        pairs = rounds[-1].filter(F.col("kind") == _PAIR)
         clusters = rounds[-1].filter(F.col("kind") == _CLUSTER).select(*by, "x", "a", "b")
         near = _nearest(pairs, by, how)
         part = lambda c: clusters.select(*by, F.col("x.id").alias(c), F.struct("a", "b").alias(f"of_{c}"))  # noqa: B023,E731
@@ -111,8 +149,15 @@ def linkage(distances: DataFrame, samples: DataFrame, by: Sequence[str] = (), ho
         gone = near.select(*by, F.explode(F.array("i", "j")).alias("__id"))
         stay = clusters.withColumn("__id", F.col("x.id")).join(gone, [*by, "__id"], "left_anti").select(*by, "x", "a", "b")
         rounds.append(_written(by, _merged(pairs, near, by, how), stay.unionByName(merges.select(*by, "x", "a", "b")), merges))
-    every = reduce(DataFrame.unionByName, [r.filter(F.col("kind") == _MERGE) for r in rounds])
-    every = every.select(*by, F.col("x.id").alias("i"), F.col("y.id").alias("j"), F.col("x.n").alias("n"), "d", "a", "b")
+    keys = {f"k{at}": F.col(k) for at, k in enumerate(by)} or {"k0": F.lit(0)}
+    left = rounds[-1].filter(F.col("kind") != _MERGE).select(
+        *(c.alias(k) for k, c in keys.items()), "kind", F.col("x.id").alias("xi"), F.col("x.n").alias("xn"), F.col("y.id").alias("yi"), F.col("s").cast("string").alias("s"), "a", "b", F.lit(how).alias("how")
+    )
+    schema = "".join(f"{k} {left.schema[k].dataType.simpleString()}, " for k in keys) + "i long, j long, n long, d double, a long, b long"
+    last = left.groupBy(*keys).applyInPandas(_finish, schema)
+    last = last.select(*(F.col(f"k{at}").alias(k) for at, k in enumerate(by)), "i", "j", "n", "d", "a", "b")
+    each = [r.filter(F.col("kind") == _MERGE).select(*by, F.col("x.id").alias("i"), F.col("y.id").alias("j"), F.col("x.n").alias("n"), "d", "a", "b") for r in rounds[1:]]
+    every = reduce(DataFrame.unionByName, [*each, last])
     step = F.row_number().over(Window.partitionBy(*by, *([] if by else [F.lit(0)])).orderBy("d", "i", "j")) - 1  # a row for each sample
     steps = materialise(every.withColumn("step", step.cast("long")), "steps")
     before = F.lag("step").over(Window.partitionBy(*by, "i").orderBy("step"))

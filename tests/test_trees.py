@@ -38,19 +38,19 @@ def one_by_one(d, how="average"):
     return out
 
 
-@pytest.mark.parametrize("how", ["average", "complete"])
-def test_linkage_is_that_of_one_matrix(spark, how):
+@pytest.mark.parametrize("how,one_task", [("average", 512), ("average", 7), ("average", 1), ("complete", 512), ("complete", 4), ("single", 512)])
+def test_linkage_is_that_of_one_matrix(spark, how, one_task):
     d = euclid(np.random.default_rng(1).normal(size=(20, 3)))
     ids = [f"s{i:02d}" for i in range(20)]
-    got = T.linkage(table(spark, d, ids), order(spark, ids), how=how).orderBy("step").collect()
+    got = T.linkage(table(spark, d, ids), order(spark, ids), how=how, one_task=one_task).orderBy("step").collect()
     want = C.linkage(d, how)
     assert [(r["left"], r["right"], r["size"]) for r in got] == [(int(a), int(b), int(s)) for a, b, _, s in want]
     assert np.allclose([r["height"] for r in got], want[:, 2], atol=1e-9)
     assert [(r["i"], r["j"]) for r in got] == [x[:2] for x in one_by_one(d, how)]
 
 
-@pytest.mark.parametrize("how", ["average", "single"])
-def test_ties_and_chains(spark, how):
+@pytest.mark.parametrize("how,one_task", [("average", 512), ("average", 1), ("complete", 512), ("single", 3)])
+def test_ties_and_chains(spark, how, one_task):
     """Distances of few values, whose ties go to the least leaves; and points of growing gaps, where one cluster takes all."""
     rng = np.random.default_rng(2)
     tied = rng.integers(1, 4, size=(9, 9)).astype(float)
@@ -60,7 +60,7 @@ def test_ties_and_chains(spark, how):
     equal = np.ones((9, 9)) - np.eye(9)
     ids = [f"s{i:02d}" for i in range(9)]
     rows = [table(spark, d, ids, replicate=k) for k, d in enumerate((tied, chain, equal))]
-    got = T.linkage(rows[0].unionByName(rows[1]).unionByName(rows[2]), order(spark, ids), ["replicate"], how).collect()
+    got = T.linkage(rows[0].unionByName(rows[1]).unionByName(rows[2]), order(spark, ids), ["replicate"], how, one_task).collect()
     for k, d in enumerate((tied, chain, equal)):
         mine = sorted((r["step"], r["i"], r["j"], round(r["height"], 8), r["size"]) for r in got if r["replicate"] == k)
         want = [(n, i, j, round(h, 8), len(s)) for n, (i, j, h, s) in enumerate(one_by_one(d, how))]
