@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,36 +47,68 @@ def compare(rows: DataFrame) -> DataFrame:
     )
 
 
-#: Samples of a matrix that every worker holds, at most.
-MATRIX_SAMPLES = 8192
+#: Bytes of one strip of a matrix: a task of Mantel's test holds two, and as much again while it permutes.
+STRIP_BYTES = 64 << 20
 
 
-def mantel(rows: DataFrame, permutations: int = 999, seed: int = 42) -> tuple[float, float]:
-    """Pearson's r over pairs and its two-sided p-value; ids of ``y`` are permuted, permutations run on the executors.
+def _strips(rows: DataFrame, n: int, strip: int) -> DataFrame:
+    """``s, i, j, x, y``: rows of both matrices as lists over the other samples, by number, and the strip each is in."""
+    from cladeframe.sources.matrices import ordinals
 
-    Each permutation looks up any pair, so the workers hold the matrices: an error above ``MATRIX_SAMPLES`` samples.
-    """
-    if rows.count() > MATRIX_SAMPLES * (MATRIX_SAMPLES - 1) // 2:
-        raise ValueError(f"permutations of more than {MATRIX_SAMPLES} samples")
-    table = rows.toArrow()
-    ids = sorted({*table["sample_i"].to_pylist(), *table["sample_j"].to_pylist()})
-    at = {s: k for k, s in enumerate(ids)}
-    i, j = (np.array([at[s] for s in table[c].to_pylist()]) for c in ("sample_i", "sample_j"))
-    x, y = np.zeros((len(ids),) * 2), np.zeros((len(ids),) * 2)
-    x[i, j] = x[j, i] = table["x"].to_numpy()
-    y[i, j] = y[j, i] = table["y"].to_numpy()
-    up = np.triu_indices(len(ids), 1)
-    r = float(np.corrcoef(x[up], y[up])[0, 1])
+    names = rows.select(F.explode(F.array("sample_i", "sample_j")).alias("sample_id")).distinct()
+    number = materialise(ordinals(names), "numbers")
+    side = lambda c, k: number.select(F.col("sample_id").alias(c), F.col("sample_ordinal").cast("int").alias(k))
+    numbered = rows.join(side("sample_i", "i"), "sample_i").join(side("sample_j", "j"), "sample_j").select("i", "j", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    halves = numbered.unionByName(numbered.select(F.col("j").alias("i"), F.col("i").alias("j"), "x", "y"))
+    lists = halves.groupBy("i").agg(F.collect_list(F.struct("j", "x", "y")).alias("v"))  # one list of n for each sample
+    return materialise(lists.select((F.col("i") / strip).cast("int").alias("s"), "i", "v.j", "v.x", "v.y"), "strips")
 
-    def run(batches):
-        for batch in batches:
-            hit = []
-            for k in batch.column(0).to_pylist():
-                p = np.random.default_rng([seed, k]).permutation(len(ids))
-                hit.append(abs(np.corrcoef(x[up], y[np.ix_(p, p)][up])[0, 1]) >= abs(r) - 1e-12)
-            yield pa.RecordBatch.from_arrays([pa.array(hit)], ["hit"])
-
-    hits = rows.sparkSession.range(permutations).mapInArrow(run, "hit boolean").filter("hit").count()
+
+def mantel(rows: DataFrame, permutations: int = 999, seed: int = 42, strip: int | None = None) -> tuple[float, float]:
+    """Pearson's r over pairs and its two-sided p-value; ids of ``y`` are permuted.
+
+    Of a permutation only the sum of products changes. Both matrices are cut into strips of rows; a task gets a strip of
+    ``x`` and one of ``y``, and adds up, for every permutation, the products of those rows of ``x`` whose row of ``y`` is in
+    its strip. So strips meet once, however many permutations there are, and only a sum for each comes back. A pair that
+    ``rows`` lacks counts as 0. Without variance r and p are NaN.
+    """
+    n = rows.select(F.explode(F.array("sample_i", "sample_j")).alias("s")).distinct().count()
+    strip = strip or max(1, STRIP_BYTES // (8 * max(n, 1)))
+    parts = -(-n // strip)
+    whole = rows.agg(*(F.sum(F.col(a).cast("double") * F.col(b).cast("double")) for a, b in ("xx", "yy", "xy")), F.sum("x"), F.sum("y")).first()
+    xx, yy, xy, x1, y1 = (float(v or 0.0) for v in whole)
+    pairs = n * (n - 1) / 2
+    spread = float(np.sqrt(max(xx - x1 * x1 / pairs, 0.0) * max(yy - y1 * y1 / pairs, 0.0))) if pairs else 0.0
+    if not spread:
+        return float("nan"), float("nan")
+    lists = _strips(rows, n, strip)
+    others = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    as_x = lists.select(F.col("s").alias("sx"), others.alias("sy"), F.lit(True).alias("of_x"), "i", "j", F.col("x").alias("v"))
+    as_y = lists.select(others.alias("sx"), F.col("s").alias("sy"), F.lit(False).alias("of_x"), "i", "j", F.col("y").alias("v"))
+
+    def dense(table: pa.Table, first: int) -> np.ndarray:
+        out = np.zeros((min(strip, n - first), n))
+        for i, j, v in zip(table["i"].to_pylist(), table["j"], table["v"], strict=True):
+            out[i - first, j.values.to_numpy()] = v.values.to_numpy()
+        return out
+
+    def kernel(table: pa.Table) -> pa.Table:
+        sx, sy = table["sx"][0].as_py(), table["sy"][0].as_py()
+        x = dense(table.filter(table["of_x"]), sx * strip)
+        y = dense(table.filter(pc.invert(table["of_x"])), sy * strip)
+        sums = np.zeros(permutations)
+        for k in range(permutations):
+            p = np.random.default_rng([seed, k]).permutation(n)
+            to = p[sx * strip : sx * strip + len(x)] - sy * strip
+            mine = np.flatnonzero((to >= 0) & (to < len(y)))
+            if len(mine):
+                sums[k] = np.einsum("ij,ij->", x[mine], y[to[mine]][:, p])
+        return pa.table({"k": pa.array(np.arange(permutations), pa.int64()), "products": pa.array(sums)})
+
+    products = as_x.unionByName(as_y).groupBy("sx", "sy").applyInArrow(kernel, "k long, products double")
+    found = products.groupBy("k").agg((F.sum("products") / 2).alias("products")).select("products").toArrow()["products"].to_numpy()  # one for each permutation
+    r = (xy - x1 * y1 / pairs) / spread
+    hits = int((np.abs((found - x1 * y1 / pairs) / spread) >= abs(r) - 1e-10).sum())
     return r, (hits + 1) / (permutations + 1)
 
 

@@ -90,7 +90,7 @@ def _written(by: Sequence[str], pairs: DataFrame, clusters: DataFrame, merges: D
 def _finish(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """The merges of one tree's last clusters: the nearest pair, one after the other."""
     known = rows[rows["kind"] == _CLUSTER].sort_values("xi")
-    ids, n, a, b = (known[c].to_numpy().astype(np.int64) for c in ("xi", "xn", "a", "b"))
+    ids, n, a, b = (np.array([int(v) for v in known[c]], np.int64) for c in ("xi", "xn", "a", "b"))
     pairs = rows[rows["kind"] == _PAIR]
     sums = [int(s) for s in pairs["s"]]
     s = np.zeros((len(ids),) * 2, np.int64 if sum(sums) < 1 << 62 else object)
@@ -151,7 +151,8 @@ def linkage(distances: DataFrame, samples: DataFrame, by: Sequence[str] = (), ho
         rounds.append(_written(by, _merged(pairs, near, by, how), stay.unionByName(merges.select(*by, "x", "a", "b")), merges))
     keys = {f"k{at}": F.col(k) for at, k in enumerate(by)} or {"k0": F.lit(0)}
     left = rounds[-1].filter(F.col("kind") != _MERGE).select(
-        *(c.alias(k) for k, c in keys.items()), "kind", F.col("x.id").alias("xi"), F.col("x.n").alias("xn"), F.col("y.id").alias("yi"), F.col("s").cast("string").alias("s"), "a", "b", F.lit(how).alias("how")
+        *(c.alias(k) for k, c in keys.items()), "kind", F.col("x.id").alias("xi"), F.col("x.n").alias("xn"), F.col("y.id").alias("yi"),
+        *(F.col(c).cast("string").alias(c) for c in ("s", "a", "b")), F.lit(how).alias("how"),  # whole numbers that pandas would make floats beside nulls
     )
     schema = "".join(f"{k} {left.schema[k].dataType.simpleString()}, " for k in keys) + "i long, j long, n long, d double, a long, b long"
     last = left.groupBy(*keys).applyInPandas(_finish, schema)

@@ -67,6 +67,31 @@ def test_mantel_and_permanova(spark, points):
         S.permanova(apart, meta.limit(5))
 
 
+@pytest.mark.parametrize("strip", [None, 1, 7, 24])
+def test_mantel_by_strips(spark, points, strip):
+    """The p-value of permuting whole matrices, whatever the strips; a missing pair counts as 0."""
+    near = points + np.random.default_rng(8).standard_normal(points.shape) * 4
+    a, samples, ids = frame(spark, euclid(points))
+    b, _, _ = frame(spark, euclid(near))
+    rows = S.aligned(a, b).filter("sample_i <> 's03' or sample_j <> 's09'")
+    x, y = euclid(points), euclid(near)
+    for m in (x, y):
+        m[3, 9] = m[9, 3] = 0
+    up = np.triu_indices(24, 1)
+    r = np.corrcoef(x[up], y[up])[0, 1]
+    hits = 0
+    for k in range(30):
+        p = np.random.default_rng([7, k]).permutation(24)
+        hits += abs(np.corrcoef(x[up], y[np.ix_(p, p)][up])[0, 1]) >= abs(r) - 1e-10
+    got = S.mantel(rows, 30, seed=7, strip=strip)
+    assert got[0] == pytest.approx(r) and got[1] == pytest.approx((hits + 1) / 31)
+
+
+def test_mantel_without_variance(spark):
+    same, _, _ = frame(spark, np.ones((4, 4)))
+    assert all(np.isnan(v) for v in S.mantel(S.aligned(same, same), 5))
+
+
 def test_linkage_against_brute_force(points):
     d = euclid(points)
     z = C.linkage(d)

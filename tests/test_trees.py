@@ -47,6 +47,8 @@ def test_linkage_is_that_of_one_matrix(spark, how, one_task):
     assert [(r["left"], r["right"], r["size"]) for r in got] == [(int(a), int(b), int(s)) for a, b, _, s in want]
     assert np.allclose([r["height"] for r in got], want[:, 2], atol=1e-9)
     assert [(r["i"], r["j"]) for r in got] == [x[:2] for x in one_by_one(d, how)]
+    label = {r["leaf"]: (r["a"], r["b"]) for r in T.labels(order(spark, ids)).collect()}
+    assert [(r["a"], r["b"]) for r in got] == [tuple(np.bitwise_xor.reduce([label[k] for k in x[3]])) for x in one_by_one(d, how)]
 
 
 @pytest.mark.parametrize("how,one_task", [("average", 512), ("average", 1), ("complete", 512), ("single", 3)])
