@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.session import materialise
@@ -154,6 +154,27 @@ def block_pairs(vectors: DataFrame, blocks: int, block: int) -> DataFrame:
     return vectors.withColumn("b", b).withColumn("x", F.explode(others)).withColumn("bi", F.least("b", "x")).withColumn("bj", F.greatest("b", "x")).drop("x")
 
 
+def _checked(metric: str, alpha: float, totals: DataFrame | None) -> str:
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    if metric == "variance_adjusted" and totals is None:
+        raise ValueError("variance adjustment needs totals")
+    return "weighted" if metric == "generalized" and abs(alpha - 1) <= 1e-12 else metric
+
+
+def _dealt(vectors: DataFrame, block: int) -> DataFrame:
+    n = vectors.agg(F.max("o")).first()[0]
+    return block_pairs(vectors, 1 if n is None else int(n) // block + 1, block)
+
+
+def _block(table: pa.Table, metric: str, alpha: float, tree_length: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the table in the left block and in the right one, in sample order, and their distances."""
+    o, b, total = (table[c].to_numpy() for c in ("o", "b", "total"))
+    left, right = (np.flatnonzero(b == table[side][0].as_py()) for side in ("bi", "bj"))
+    left, right = left[np.argsort(o[left])], right[np.argsort(o[right])]
+    return left, right, _compare(metric, alpha, tree_length, _strips(table, left, right), total[left], total[right])
+
+
 def blocked(
     masses: DataFrame, samples: DataFrame, metric: str, alpha: float = 0.5, totals: DataFrame | None = None, tree_length: float = 0.0, block: int = BLOCK,
     by: Sequence[str] = (),
@@ -165,34 +186,53 @@ def blocked(
     ``masses`` is ``sample_id, edge_id, length, mass``. Variance adjustment needs ``totals(sample_id, total)``; a
     generalized distance at alpha 0 divides by ``tree_length``, and at alpha 1 is the weighted one.
     """
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}")
-    if metric == "variance_adjusted" and totals is None:
-        raise ValueError("variance adjustment needs totals")
-    if metric == "generalized" and abs(alpha - 1) <= 1e-12:
-        metric = "weighted"
+    metric = _checked(metric, alpha, totals)
     vectors = materialise(sample_vectors(masses, samples, totals, by), "vectors")
-    n = vectors.agg(F.max("o")).first()[0]
-    blocks = 1 if n is None else int(n) // block + 1
 
     def kernel(table: pa.Table) -> pa.Table:
-        o, names, total = table["o"].to_numpy(), table["sample_id"].to_pylist(), table["total"].to_numpy()
-        b = table["b"].to_numpy()
-        bi, bj = table["bi"][0].as_py(), table["bj"][0].as_py()
-        left, right = np.flatnonzero(b == bi), np.flatnonzero(b == bj)
-        left, right = left[np.argsort(o[left])], right[np.argsort(o[right])]
-        d = _compare(metric, alpha, tree_length, _strips(table, left, right), total[left], total[right])
+        left, right, d = _block(table, metric, alpha, tree_length)
+        o, names = table["o"].to_numpy(), table["sample_id"].to_pylist()
         i, j = np.nonzero(o[left][:, None] < o[right][None, :])
         pairs = pa.table({"sample_i": [names[k] for k in left[i]], "sample_j": [names[k] for k in right[j]], "distance": d[i, j]}, schema=PAIRS)
         for k, name in enumerate(by):
             pairs = pairs.add_column(k, name, pa.repeat(table[name][0], len(pairs)))
         return pairs
 
-    dealt = block_pairs(vectors, blocks, block)
     keys = "".join(f"{name} {masses.schema[name].dataType.simpleString()}, " for name in by)
-    return dealt.groupBy(*by, "bi", "bj").applyInArrow(kernel, f"{keys}sample_i string, sample_j string, distance double")
+    return _dealt(vectors, block).groupBy(*by, "bi", "bj").applyInArrow(kernel, f"{keys}sample_i string, sample_j string, distance double")
 
 
+def nearest(
+    masses: DataFrame, samples: DataFrame, split: DataFrame, k: int, metric: str, alpha: float = 0.5, totals: DataFrame | None = None,
+    tree_length: float = 0.0, block: int = BLOCK, digits: int | None = None,
+) -> DataFrame:
+    """``query, neighbour, rank, distance``: the k nearest other samples of each query of ``split(sample_id, is_query)``.
+
+    Distances are never a table: of each pair of blocks, no more than k rows for each query leave the task, and these are
+    ranked by query. Ties (of distances rounded to ``digits``) follow sample order.
+    """
+    metric = _checked(metric, alpha, totals)
+    vectors = materialise(sample_vectors(masses, samples, totals).join(split.select("sample_id", "is_query"), "sample_id"), "vectors")
+
+    def kernel(table: pa.Table) -> pa.Table:
+        left, right, d = _block(table, metric, alpha, tree_length)
+        d = d if digits is None else np.round(d, digits)
+        o, names, query = table["o"].to_numpy(), table["sample_id"].to_pylist(), table["is_query"].to_numpy(zero_copy_only=False)
+        sides = [(left, right, d)] if table["bi"][0].as_py() == table["bj"][0].as_py() else [(left, right, d), (right, left, d.T)]
+        out = []
+        for mine, others, far in sides:
+            others_at = np.flatnonzero(~query[others])
+            for row in np.flatnonzero(query[mine]):
+                best = others_at[np.argsort(far[row, others_at], kind="stable")[:k]]  # others are in sample order
+                out += [(names[mine[row]], names[others[c]], int(o[others[c]]), float(far[row, c])) for c in best]
+        return pa.table(dict(zip(("query", "neighbour", "o", "distance"), zip(*out, strict=True), strict=True)) if out else {"query": [], "neighbour": [], "o": [], "distance": []}, schema=NEAR)
+
+    found = _dealt(vectors, block).groupBy("bi", "bj").applyInArrow(kernel, "query string, neighbour string, o long, distance double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "o"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "neighbour", "rank", "distance")
+
+
+NEAR = pa.schema([("query", pa.string()), ("neighbour", pa.string()), ("o", pa.int64()), ("distance", pa.float64())])
 PAIRS = pa.schema([("sample_i", pa.string()), ("sample_j", pa.string()), ("distance", pa.float64())])
 
 

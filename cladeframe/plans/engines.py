@@ -59,6 +59,13 @@ def exact(c: Community, metric: str = "unweighted", alpha: float = 0.5, raw_coun
     return D.blocked(m, c.samples, metric, alpha, totals, tree_length or 0.0, by=by)
 
 
+def nearest(c: Community, split: DataFrame, k: int = 10, metric: str = "unweighted", alpha: float = 0.5, digits: int | None = None) -> DataFrame:
+    """``query, neighbour, rank, distance`` by exact distances, of which no table of all pairs is made."""
+    totals = B.totals(c.table) if metric == "variance_adjusted" else None
+    length = B.total_length(c.paths.select("edge_id", "length").distinct()) if metric == "generalized" and abs(alpha) < 1e-12 else 0.0
+    return D.nearest(masses(c, metric != "unweighted"), c.samples, split, k, metric, alpha, totals, length, digits=digits)
+
+
 def emd(c: Community, weighted: bool = False, method: str = "blocked") -> DataFrame:
     """Un-normalised earth mover's distances on the observed subtree; unweighted shares a sample's mass evenly."""
     B.require_match(c.table, c.paths)

@@ -411,16 +411,27 @@ def o9_query_split(spark, d):
 @query(f"{NATIONS}, {MASS}, {X}, {WEIGHTED}, {SPLIT}, {HALVES.format('d')}, {NEAR} SELECT query, neighbour, rank FROM k")
 def t1_nearest_neighbours(spark, d):
     c = A.nations(spark, d)
-    w = materialise(E.exact(c, "weighted"), "w").withColumn("distance", F.round("distance", 9))
-    return S.neighbours(w, c.samples, S.query_split(c.samples, 0.2), 5).withColumn("rank", F.col("rank").cast("long"))
+    near = E.nearest(c, S.query_split(c.samples, 0.2), 5, "weighted", digits=9)
+    return near.select("query", "neighbour", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"{BOTH}, {SPLIT}, {HALVES.format('d')}, {NEAR}, h2 AS (SELECT sample_i, sample_j, distance FROM u UNION ALL SELECT sample_j, sample_i, distance FROM u), {NEAR.replace('k AS', 'k2 AS').replace('h.', 'h2.').replace('FROM h ', 'FROM h2 ')} SELECT k2.query, count(k.query) / 5 AS recall FROM k2 LEFT JOIN k USING (query, neighbour) GROUP BY k2.query")
 def o10_recall(spark, d):
-    c, u, w = _both(spark, d)
-    nine = lambda x: x.withColumn("distance", F.round("distance", 9))
+    c = A.nations(spark, d)
     split = S.query_split(c.samples, 0.2)
-    return S.recall(S.neighbours(nine(u), c.samples, split, 5), S.neighbours(nine(w), c.samples, split, 5), 5)
+    return S.recall(*(E.nearest(c, split, 5, metric, digits=9) for metric in ("unweighted", "weighted")), 5)
+
+
+@query(f"{SUPPLIERS} SELECT row_number() OVER (ORDER BY sum(v), sample_id) AS place, sample_id, sum(v) AS total FROM tab GROUP BY sample_id")
+def t2_depths(spark, d):
+    return S.by_depth(B.totals(A.suppliers(spark, d).table))
+
+
+@query("""WITH e AS (SELECT p_retailprice / 10000 AS v FROM part), s AS (SELECT min(v) AS lo, (max(v) - min(v)) / 40 AS step, stddev_samp(v) * count(*) ** -0.2 AS h, count(*) AS n FROM e)
+SELECT i::INT AS point, round(lo + i * step, 6) AS x, round(sum(exp(-(((lo + i * step - v) / h) ** 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 4) AS density FROM e, s, range(41) r(i) GROUP BY i, lo, step""")
+def o20_density(spark, d):
+    """Of the leaves' branch lengths; the SQL adds a kernel for every value."""
+    return _six(S.density(A.catalogue_paths(spark, d).filter("edge_id >= 0"), "length", 41), "x").withColumn("density", F.round("density", 4))
 
 
 @query(f"{NATIONS}, {PRESENCE}, {X}, {UNWEIGHTED} {OUT}")

@@ -143,6 +143,37 @@ def test_neighbours_and_recall(spark):
     assert S.query_split(samples, 1.0).filter("is_query").count() == 3
 
 
+@pytest.mark.parametrize("metric,block", [("unweighted", 4), ("weighted", 256), ("variance_adjusted", 5)])
+def test_nearest_without_a_pair_table(spark, metric, block, monkeypatch):
+    """The same neighbours as from the table of all pairs, ties included; a task lets out k rows a query at most."""
+    from cladeframe.operators import branches, distances
+    from cladeframe.plans import engines as E
+
+    rng = np.random.default_rng(9)
+    rows = [(f"s{i:02d}", f"f{j}", float(rng.integers(1, 4))) for i in range(17) for j in range(5) if rng.random() < 0.6]
+    samples = spark.createDataFrame([(f"s{i:02d}", i) for i in range(17)], "sample_id string, sample_ordinal int")
+    star = spark.createDataFrame([(f"f{j}", j, 1.0) for j in range(5)], "feature_id string, edge_id long, length double")
+    c = E.Community(spark.createDataFrame(rows, "sample_id string, feature_id string, value double"), samples, star)
+    split = S.query_split(samples, 0.4)
+    table = E.exact(c, metric)
+    want = S.neighbours(table.selectExpr("sample_i", "sample_j", "round(distance, 9) AS distance"), samples, split, 4)
+    totals = branches.totals(c.table) if metric == "variance_adjusted" else None
+    got = distances.nearest(E.masses(c, metric != "unweighted"), samples, split, 4, metric, totals=totals, block=block, digits=9)
+    assert sorted(map(tuple, got.select("query", "neighbour", "rank").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_density_and_depths(spark):
+    v = np.random.default_rng(10).gamma(2, 3, 500)
+    rows = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double")
+    got = S.density(rows, "v", 9).orderBy("point").collect()
+    h, x = v.std(ddof=1) * 500**-0.2, np.linspace(v.min(), v.max(), 9)
+    want = np.exp(-(((x[:, None] - v) / h) ** 2) / 2).sum(1) / (500 * h * np.sqrt(2 * np.pi))
+    assert np.allclose([r["x"] for r in got], x) and np.allclose([r["density"] for r in got], want, rtol=1e-6)
+    assert S.density(rows.filter("v is null"), "v").count() == 0 and S.density(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v").count() == 0
+    depths = spark.createDataFrame([(f"s{k % 7}", float(k % 3)) for k in range(7)], "sample_id string, total double")
+    assert [tuple(r) for r in S.by_depth(depths).orderBy("place").collect()] == [(k, *r) for k, r in enumerate(sorted(((f"s{k % 7}", float(k % 3)) for k in range(7)), key=lambda r: r[::-1]), 1)]
+
+
 def test_summary_of_one_replicate(spark):
     r = S.summary(spark.createDataFrame([("k", 1, 2.0)], "k string, seed int, v double"), ["k"], "v", "seed").first()
     assert (r["n"], r["mean"], r["sd"], r["se"], r["cv"], r["first"]) == (1, 2.0, 0.0, 0.0, 0.0, 2.0)
