@@ -251,6 +251,19 @@ def density(rows: DataFrame, value: str, points: int = 200, cells: int = 16384)
     return curve.select("point", (F.col("point") * step + lo).alias("x"), (F.col("sum") / (n * h * float(np.sqrt(2 * np.pi)))).alias("density"))
 
 
+def estimator_errors(rows: DataFrame, slots: int, slack: float = 0.0) -> DataFrame:
+    """One row: whether estimates ``y`` of shares ``x`` (``seed, x, y``) err as equal slots do, of which each counts for itself.
+
+    ``bias_in_bound``: the mean error of a seed, averaged over seeds, lies within three of its standard errors of 0 (and
+    ``slack``). ``rmse_in_bound``: the mean square error is between half and one and a half of what theory has, x(1 - x) /
+    slots; too small is wrong too. Pairs share samples, so their errors go together: only seeds are independent.
+    """
+    e = F.col("y") - F.col("x")
+    seeds = rows.groupBy("seed").agg(F.avg(e).alias("b"), F.sum(e * e).alias("e2"), F.sum(F.col("x") * (1 - F.col("x")) / slots).alias("v"), F.count(F.lit(1)).alias("pairs"))
+    whole = seeds.agg(F.count(F.lit(1)).alias("seeds"), F.max("pairs").alias("pairs"), F.avg("b").alias("bias"), (F.stddev_samp("b") / F.sqrt(F.count(F.lit(1)))).alias("error"), (F.sum("e2") / F.sum("v")).alias("ratio"))
+    return whole.select("seeds", "pairs", "bias", "error", "ratio", F.col("ratio").between(0.5, 1.5).alias("rmse_in_bound"), (F.abs("bias") <= 3 * F.col("error") + slack).alias("bias_in_bound"))
+
+
 def by_depth(totals: DataFrame) -> DataFrame:
     """``place, sample_id, total``, from the least total on; ties by id. Ranges are sorted side by side and count on."""
     spread = totals.select("sample_id", "total").repartitionByRange("total", "sample_id").withColumn("part", F.spark_partition_id())

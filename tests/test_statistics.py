@@ -162,6 +162,19 @@ def test_nearest_without_a_pair_table(spark, metric, block, monkeypatch):
     assert sorted(map(tuple, got.select("query", "neighbour", "rank").collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("fault,rmse,bias", [(None, True, True), ("shift", True, False), ("scale", True, False), ("narrow", False, True), ("wide", False, True)])
+def test_a_wrong_sketch_is_told(spark, fault, rmse, bias):
+    """Shares of 512 equal slots pass; ones that lie a standard error too high, or vary too little or too much, do not."""
+    rng = np.random.default_rng(11)
+    x = rng.uniform(0.2, 0.8, 60)
+    y = rng.binomial(512, x, (8, 60)) / 512
+    sd = np.sqrt(x * (1 - x) / 512)
+    y = {None: y, "shift": y + 0.4 * sd, "scale": y * 1.012, "narrow": x + (y - x) / 2, "wide": x + (y - x) * 1.6}[fault]
+    rows = spark.createDataFrame([(s, float(x[p]), float(y[s, p])) for s in range(8) for p in range(60)], "seed int, x double, y double")
+    got = S.estimator_errors(rows, 512).first()
+    assert (got["rmse_in_bound"], got["bias_in_bound"], got["seeds"], got["pairs"]) == (rmse, bias, 8, 60)
+
+
 def test_density_and_depths(spark):
     v = np.random.default_rng(10).gamma(2, 3, 500)
     rows = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double")
