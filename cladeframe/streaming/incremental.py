@@ -47,10 +47,16 @@ def running_totals(spark: SparkSession, path: str, sample: str, value: str, file
     return changes.groupBy("sample_id").agg(F.max_by("total", "batch").alias("total"), F.max("n").alias("n"))
 
 
-def windowed_totals(spark: SparkSession, path: str, time: str, key: str, value: str, window: str = "1 day", late: str = "1 day") -> DataFrame:
-    """``window_start, key, n, total`` by event time. A watermark bounds the state; all windows are emitted as they change."""
+def windowed_totals(spark: SparkSession, path: str, time: str, key: str, value: str, window: str = "1 day", late: str = "1 day", files_per_batch: int | None = None) -> DataFrame:
+    """``window_start, key, n, total`` by event time. A watermark bounds the state; all windows are emitted as they change.
+
+    Files are taken by age, ``files_per_batch`` at a time (None: all). A row is dropped if its window has been closed: if the
+    window ended ``late`` before the latest time of the batches but for the last one, when the row's batch begins.
+    """
     schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).parquet(path).withWatermark(time, late)
+    files = spark.readStream.schema(schema)
+    files = files.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else files
+    rows = files.parquet(path).withWatermark(time, late)
     grouped = rows.groupBy(F.window(time, window).alias("w"), F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     changes = drain(grouped.select(F.col("w.start").alias("window_start"), "key", "n", "total"), "windows")
     return changes.groupBy("window_start", "key").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
