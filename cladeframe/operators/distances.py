@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from cladeframe.session import materialise
 
 BLOCK = 256
+#: Samples of a block when contributions of single taxa are told: a task lets out a row for each pair and taxon.
+CONTRIBUTION_BLOCK = 32
 #: Branches that the kernel holds dense at a time.
 STRIP = 2048
 
@@ -239,22 +241,37 @@ PAIRS = pa.schema([("sample_i", pa.string()), ("sample_j", pa.string()), ("dista
 def contributions(relative_table: DataFrame, leaf_edges: DataFrame, samples: DataFrame, least: float = 1e-14) -> DataFrame:
     """Per pair and taxon: what the leaf's own branch adds to the earth mover's distance.
 
-    ``leaf_edges(feature_id, length)``. Signed vectors of both samples are added up by pair and taxon; differences and
-    contributions of no more than ``least`` are left out, as are leaves the tree lacks.
+    ``leaf_edges(feature_id, length)``. Samples are compared block by block on their leaves' vectors, and only rows of the
+    result leave a task; differences and contributions of no more than ``least`` are left out, as are leaves the tree lacks.
     """
-    own = relative_table.join(leaf_edges.filter("length > 0"), "feature_id").join(samples, "sample_id")
-    n = samples.select(F.col("sample_id").alias("other"), F.col("sample_ordinal").alias("p"))
-    sides = own.join(n, F.col("sample_ordinal") != F.col("p"))
-    first = F.col("sample_ordinal") < F.col("p")
-    signed = sides.select(
-        F.when(first, F.col("sample_id")).otherwise(F.col("other")).alias("sample_i"),
-        F.when(first, F.col("other")).otherwise(F.col("sample_id")).alias("sample_j"),
-        F.col("feature_id").alias("taxon"), F.col("length").alias("edge_length"),
-        F.when(first, F.col("value")).otherwise(-F.col("value")).alias("v"),
-    )
-    summed = signed.groupBy("sample_i", "sample_j", "taxon").agg(F.max("edge_length").alias("edge_length"), F.sum("v").alias("signed_mass_difference"))
-    value = F.col("edge_length") * F.abs("signed_mass_difference")
-    return summed.withColumn("contribution", value).filter((F.abs("signed_mass_difference") > least) & (F.col("contribution") > least))
+    own = relative_table.join(leaf_edges.filter("length > 0"), "feature_id").groupBy("sample_id", "feature_id").agg(F.max("length").alias("l"), F.sum("value").alias("m"))
+    entries = own.groupBy("sample_id").agg(F.collect_list(F.struct(F.col("feature_id").alias("f"), F.col("l").cast("double").alias("l"), F.col("m").cast("double").alias("m"))).alias("v"))
+    lists = (F.coalesce(f"v.{c}", F.expr(f"cast(array() as array<{kind}>)")).alias(c) for c, kind in (("f", "string"), ("l", "double"), ("m", "double")))
+    vectors = samples.join(entries, "sample_id", "left").select(F.col("sample_ordinal").cast("long").alias("o"), F.col("sample_id").cast("string").alias("sample_id"), *lists)
+    vectors = materialise(vectors, "leaves")
+
+    def kernel(table: pa.Table) -> pa.Table:
+        o, b, ids = table["o"].to_numpy(), table["b"].to_numpy(), table["sample_id"]
+        taxa = table["f"].combine_chunks()
+        coded = taxa.flatten().dictionary_encode()
+        column, row = coded.indices.to_numpy(), np.repeat(np.arange(len(o)), np.diff(taxa.offsets.to_numpy()))
+        length, mass = np.zeros(len(coded.dictionary)), np.zeros((len(o), len(coded.dictionary)))
+        length[column], mass[row, column] = _flat(table["l"])[0], _flat(table["m"])[0]
+        left, right = (np.flatnonzero(b == table[side][0].as_py()) for side in ("bi", "bj"))
+        i, j, taxon, signed = [], [], [], []
+        for x in left:
+            later = right[o[right] > o[x]]
+            apart = mass[x] - mass[later]
+            at, which = np.nonzero((np.abs(apart) > least) & (np.abs(apart) * length > least))
+            i.append(np.full(len(at), x)), j.append(later[at]), taxon.append(which), signed.append(apart[at, which])
+        i, j, taxon, signed = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (i, j, taxon, signed))
+        return pa.table({
+            "sample_i": ids.take(pa.array(i)), "sample_j": ids.take(pa.array(j)), "taxon": coded.dictionary.take(pa.array(taxon)), "edge_length": length[taxon],
+            "signed_mass_difference": signed.astype(float), "contribution": length[taxon] * np.abs(signed),
+        })
+
+    dealt = _dealt(vectors, CONTRIBUTION_BLOCK).groupBy("bi", "bj")
+    return dealt.applyInArrow(kernel, "sample_i string, sample_j string, taxon string, edge_length double, signed_mass_difference double, contribution double")
 
 
 def normalized_emd(emd: DataFrame, factors: DataFrame) -> DataFrame:

@@ -112,9 +112,15 @@ def mantel(rows: DataFrame, permutations: int = 999, seed: int = 42, strip: int
     return r, (hits + 1) / (permutations + 1)
 
 
+def _ids(distances: DataFrame) -> DataFrame:
+    one = lambda c: distances.select(F.col(c).alias("sample_id")).distinct()
+    return one("sample_i").unionByName(one("sample_j")).distinct()
+
+
 def with_groups(distances: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Adds both samples' groups; an error if a sample has none."""
-    names = both_halves(distances).select(F.col("sample_i").alias("sample_id")).distinct()
+    """Adds both samples' groups; an error if a sample has none, or a null one."""
+    metadata = metadata.filter(F.col("group").isNotNull())
+    names = _ids(distances)
     lost = names.join(metadata, "sample_id", "left_anti").limit(10).collect()
     if lost:
         raise ValueError(f"samples without metadata, such as {[r[0] for r in lost]}")
@@ -126,7 +132,7 @@ def with_groups(distances: DataFrame, metadata: DataFrame) -> DataFrame:
 def permanova(distances: DataFrame, metadata: DataFrame) -> DataFrame:
     """One row: n, groups, ss_total, ss_within, pseudo_f, r_squared."""
     named = with_groups(distances, metadata)
-    members = both_halves(distances).select(F.col("sample_i").alias("sample_id")).distinct().join(metadata, "sample_id").groupBy("group").agg(F.count(F.lit(1)).alias("n_g"))
+    members = _ids(distances).join(metadata, "sample_id").groupBy("group").agg(F.count(F.lit(1)).alias("n_g"))
     d2 = F.col("distance") * F.col("distance")
     within = named.filter("group_i = group_j").groupBy(F.col("group_i").alias("group")).agg(F.sum(d2).alias("w"))
     parts = members.join(within, "group", "left").agg(F.sum("n_g").alias("n"), F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.col("w") / F.col("n_g")), F.lit(0.0)).alias("ss_within"))
@@ -142,8 +148,8 @@ def permanova_p(distances: DataFrame, metadata: DataFrame, permutations: int = 9
 
     Pairs stay where they are: every task draws each permutation of the groups anew and returns one sum for it.
     """
-    names = with_groups(distances, metadata).select(F.explode(F.array(F.struct(F.col("sample_i").alias("s"), F.col("group_i").alias("g")), F.struct(F.col("sample_j").alias("s"), F.col("group_j").alias("g")))).alias("z"))
-    samples = names.select("z.s", "z.g").distinct().orderBy("s").collect()  # one row for each sample
+    with_groups(distances, metadata)  # every sample has a group
+    samples = metadata.join(_ids(distances), "sample_id", "left_semi").select(F.col("sample_id").alias("s"), F.col("group").alias("g")).orderBy("s").collect()  # one row for each sample
     _, code = np.unique([str(r["g"]) for r in samples], return_inverse=True)
     size, n = np.bincount(code), len(code)
     at = distances.sparkSession.createDataFrame([(r["s"], k) for k, r in enumerate(samples)], "s string, k long")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from cladeframe.operators import branches as B
+from cladeframe.operators import distances as D
 from cladeframe.operators import sketches as H
 from cladeframe.operators import statistics as S
 from cladeframe.plans import engines as E
@@ -190,3 +191,25 @@ def test_compare_without_variance(spark):
     rows = spark.createDataFrame([("a", "b", 1.0, 1.0), ("a", "c", 1.0, 2.0), ("b", "c", 1.0, 3.0)], "sample_i string, sample_j string, x double, y double")
     r = S.compare(rows).first()
     assert r["pearson"] is None and r["bias"] == 1.0 and r["max_abs_error"] == 2.0
+
+
+def test_contributions_by_blocks(spark, monkeypatch):
+    """Every pair and taxon with a difference, whatever the blocks; a sample without taxa differs by all of the other's."""
+    monkeypatch.setattr(D, "CONTRIBUTION_BLOCK", 3)
+    rng = np.random.default_rng(12)
+    mass = {(f"s{i}", f"t{j}"): float(rng.integers(0, 4)) / 8 for i in range(7) for j in range(6) if i != 4}
+    rows = [(s, t, v) for (s, t), v in mass.items() if v] + [("s0", "unknown", 0.5)]
+    length = {f"t{j}": 0.5 + j for j in range(5)} | {"t5": 0.0}
+    table = spark.createDataFrame(rows, "sample_id string, feature_id string, value double")
+    leaves = spark.createDataFrame(list(length.items()), "feature_id string, length double")
+    samples = spark.createDataFrame([(f"s{i}", i) for i in range(7)], "sample_id string, sample_ordinal int")
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in D.contributions(table, leaves, samples).collect()}
+    want = {}
+    for i in range(7):
+        for j in range(i + 1, 7):
+            for t in ("t0", "t1", "t2", "t3", "t4"):
+                d = mass.get((f"s{i}", t), 0.0) - mass.get((f"s{j}", t), 0.0)
+                if d:
+                    want[f"s{i}", f"s{j}", t] = (length[t], d, length[t] * abs(d))
+    assert got == want
+    assert D.contributions(table.limit(0), leaves, samples).count() == 0
