@@ -1,10 +1,15 @@
 """Quality rules with cross-document line frequency.
 
 Base figures come from one pass over the text. Lines are normalised (lower case, runs of white space to one space) and
-hashed; for each host the documents with a line are counted, copies of one text counting once. A line found in more of
-a host's documents than the limit is taken out of all of them but the first (by id), and a document left with less
-than a share of its words is rejected as depleted. Keeping the first instance keeps one document of every group of
-near copies, whatever its size. :func:`judge` says which lines of a text go; :func:`accepted` takes them out.
+hashed; for each host the documents with a line are counted, a document once however often it has the line. A line in
+more of a host's documents than the limit is taken out of all of them, and a document left with less than a share of
+its words is rejected as depleted. The limit is one number, whatever the host's size. :func:`judge` says which
+documents stay; :func:`accepted` also takes the lines out of their texts.
+
+Copies are documents like any others, so a text with more copies in a host than the limit loses all its lines in all of
+them. ``copies_once`` is for callers that take copies out later: rows of one host with equal text count as one
+document, as if copies had been taken out before, and the first document with a frequent line keeps it, so that one of
+a group of near copies is left.
 """
 
 from __future__ import annotations
@@ -27,9 +32,8 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-#: A line is frequent in a host above this many documents, and above this share of the host's documents.
+#: A line is frequent in a host above this many documents.
 LINE_DOCUMENTS = 50
-LINE_SHARE = 0.01
 #: A document that keeps less than this share of its words is depleted.
 KEPT_SHARE = 0.25
 
@@ -94,7 +98,7 @@ def base_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     part.column("doc_id"),
                     part.column("host"),
-                    part.column("text_hash"),
+                    part.column("unit"),
                     pa.array(words.count, pa.int64()),
                     pa.array(before(words.solid & ((raw & 0xC0) != 0x80)), pa.int64()),
                     pa.array(before(SYMBOLS[raw]), pa.int64()),
@@ -103,12 +107,12 @@ def base_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([f[1] for f in facts], pa.list_(pa.int64())),
                     pa.array([f[2] for f in facts], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hashes", "line_words"],
+                ["doc_id", "host", "unit", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hashes", "line_words"],
             )
 
 
 BASE_SCHEMA = (
-    "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
+    "doc_id long, host string, unit long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
     " n_repeat_words long, line_hashes array<long>, line_words array<long>"
 )
 
@@ -118,59 +122,48 @@ def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def base(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+def base(docs: DataFrame, id_col: str, text_col: str, host_col: str, copies_once: bool) -> DataFrame:
+    """Base figures of each row; ``unit`` is the document within its host: the row, or its text if copies count once."""
     workspace.bounded_batches(docs.sparkSession)
     own = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), _text_hash(F.col(text_col)).alias("text_hash"),
+        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
+        (_text_hash(F.col(text_col)) if copies_once else F.monotonically_increasing_id()).alias("unit"),
     )
     return workspace.arrow_map(own, base_rows, BASE_SCHEMA)
 
 
 def _verdicts(
-    docs: DataFrame,
-    id_col: str,
-    text_col: str,
-    host_col: str,
-    line_documents: int,
-    line_share: float,
-    kept_share: float,
+    docs: DataFrame, id_col: str, text_col: str, host_col: str, line_documents: int, kept_share: float, copies_once: bool
 ) -> DataFrame:
-    """What :func:`judge` says, with ``host, text_hash`` and the hashes of the lines that go from the text (null: none)."""
-    facts = workspace.materialise(base(docs, id_col, text_col, host_col), "quality")
-    # distinct documents: rows with one text in one host count once, under the first of them
-    lines = facts.select("host", "text_hash", "doc_id", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("l"))
-    per_text = lines.groupBy("host", F.col("l.line_hashes").alias("line"), "text_hash").agg(
-        F.min("doc_id").alias("first"), F.max("l.line_words").alias("words")
-    )
-    per_line = per_text.groupBy("host", "line").agg(
-        F.count(F.lit(1)).alias("documents"), F.min(F.struct("first", "text_hash")).alias("owner")
+    """What :func:`judge` says, with ``host, unit`` and the hashes of the lines that go from the text (null: none)."""
+    facts = workspace.materialise(base(docs, id_col, text_col, host_col, copies_once), "quality")
+    of_host = ["host", "line"]
+    lines = facts.select("host", "unit", "doc_id", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("l")).select(
+        "host", "unit", "doc_id", F.col("l.line_hashes").alias("line"), F.col("l.line_words").alias("words")
     )
-    hosts = facts.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.sum("one").alias("host_documents"))
-    frequent = (
-        per_line.filter(F.col("documents") > line_documents)
-        .join(hosts, "host")
-        .filter(F.col("documents") > F.col("host_documents") * F.lit(line_share))
-        .select("host", "line", F.col("owner.text_hash").alias("owner"))
-    )
-    lost = (
-        per_text.join(frequent, ["host", "line"])
-        .filter(F.col("text_hash") != F.col("owner"))
-        .groupBy("host", "text_hash")
-        .agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("cut_lines"))
+    if copies_once:
+        lines = lines.groupBy(*of_host, "unit").agg(F.min("doc_id").alias("doc_id"), F.max("words").alias("words"))
+    owner = F.min(F.struct("doc_id", "unit"))["unit"] if copies_once else F.lit(None).cast("long")
+    counts = lines.groupBy(*of_host).agg(F.count(F.lit(1)).alias("documents"), owner.alias("owner"))
+    # written before they meet the lines: a line that a whole host has is then a skewed join, which can be split
+    frequent = workspace.materialise(counts.filter(F.col("documents") > line_documents).drop("documents"), "frequent")
+    met = lines.join(frequent, of_host).filter(~F.col("unit").eqNullSafe(F.col("owner")))
+    lost = workspace.materialise(
+        met.groupBy("host", "unit").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("cut_lines")), "lost"
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     removed = F.coalesce(F.col("removed_words"), F.lit(0))
     return (
         facts.drop("line_hashes", "line_words")
-        .join(lost, ["host", "text_hash"], "left")
+        .join(lost, ["host", "unit"], "left")
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             failed.alias("base_failed"),
             (~failed & (F.col("n_words") - removed >= F.lit(kept_share) * F.col("n_words"))).alias("kept"),
             F.coalesce(F.array_size("cut_lines"), F.lit(0)).cast("long").alias("removed_lines"),
             removed.alias("removed_words"),
-            "host", "text_hash", "cut_lines",
+            "host", "unit", "cut_lines",
         )
     )
 
@@ -181,25 +174,27 @@ def judge(
     text_col: str = "text",
     host_col: str = "source",
     line_documents: int = LINE_DOCUMENTS,
-    line_share: float = LINE_SHARE,
     kept_share: float = KEPT_SHARE,
+    copies_once: bool = False,
 ) -> DataFrame:
-    """Per row: the base figures, base_failed, lines removed, words left and kept.
+    """Per row: the base figures, base_failed, lines and words removed, and kept.
 
-    A null text counts as empty (no words, so base_failed); a null host is one host. Rows with equal id and text are
-    judged alike; an empty table gives an empty result.
+    A null text counts as empty (no words, so base_failed); a null host is one host. Repeated rows, and rows with null
+    or repeated ids, are documents of their own (with ``copies_once``, equal texts of a host are one document). Lines of
+    equal frequency are treated alike; the limit itself is not above the limit. Other columns are not read. An empty
+    table gives an empty result.
     """
-    return _verdicts(docs, id_col, text_col, host_col, line_documents, line_share, kept_share).drop("host", "cut_lines")
+    return _verdicts(docs, id_col, text_col, host_col, line_documents, kept_share, copies_once).drop("host", "unit", "cut_lines")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the base rules' counts, the lines and words that are too frequent on its host, and the verdict.
 
-    A null or empty text has no words and fails the base rules. Null sources are one host. Rows with null or repeated
-    ids stand for themselves. Texts of any length are read whole. An empty table gives an empty result.
+    A null or empty text has no words and fails the base rules. Null sources are one host. Repeated rows, and rows with
+    null or repeated ids, are documents of their own and count as such. Lines that tie are treated alike. Texts of any
+    length are read whole. Other columns are not read. An empty table gives an empty result.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return judge(docs).drop("text_hash")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
 
 
 @F.pandas_udf(StringType())
@@ -210,10 +205,14 @@ def _cut(texts: pd.Series, cut_lines: pd.Series) -> pd.Series:
 def accepted(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars"
 ) -> DataFrame:
-    """The rows that the rules keep, without the frequent lines of their texts; ``chars_col`` follows the text."""
+    """The rows that the rules keep, without the frequent lines of their texts; ``chars_col`` follows the text.
+
+    Copies count once and the first document with a frequent line keeps it. All columns of ``docs`` stay as they are;
+    rows alike in id, text and host are judged alike, and null ids and texts as in :func:`judge`.
+    """
     names = ("kept_id", "kept_host", "kept_text")
-    verdict = _verdicts(docs, id_col, text_col, host_col, LINE_DOCUMENTS, LINE_SHARE, KEPT_SHARE).filter("kept")
-    verdict = verdict.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "host", "text_hash"), names, strict=True)), "cut_lines")
+    verdict = _verdicts(docs, id_col, text_col, host_col, LINE_DOCUMENTS, KEPT_SHARE, True).filter("kept")
+    verdict = verdict.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "host", "unit"), names, strict=True)), "cut_lines")
     verdict = verdict.groupBy(*names).agg(F.first("cut_lines").alias("cut_lines"))  # rows alike in all three are judged alike
     rows = docs.select(
         F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), _text_hash(F.col(text_col)).alias("text_hash"),
@@ -232,28 +231,25 @@ def accepted(
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, text, host FROM d),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, text FROM d),
 u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
 g AS (SELECT doc_id, i, word, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 t AS (SELECT doc_id, i, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, w2, w3) > 1 AS twice FROM g),
 r AS (SELECT doc_id, count(*) FILTER (hit) AS n_repeat_words FROM (
         SELECT doc_id, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM t) GROUP BY doc_id),
-l AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
+l AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
 lw AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
-lines AS (SELECT doc_id, host, text, line, lower(array_to_string(ws, ' ')) AS norm, len(ws) AS n FROM lw WHERE len(ws) > 0),
+lines AS (SELECT doc_id, host, line, lower(array_to_string(ws, ' ')) AS norm, len(ws) AS n FROM lw WHERE len(ws) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
-pt AS (SELECT host, norm, text, min(doc_id) AS first, max(n) AS n FROM (
-        SELECT doc_id, host, text, norm, sum(n) AS n FROM lines GROUP BY ALL) GROUP BY ALL),
-hosts AS (SELECT host, count(DISTINCT text) AS hd FROM d GROUP BY host),
-pl AS (SELECT host, norm, count(*) AS docs, arg_min(text, first) AS owner FROM pt GROUP BY ALL),
-f AS (SELECT host, norm, owner FROM pl JOIN hosts USING (host) WHERE docs > 50 AND docs > 0.01 * hd),
-lost AS (SELECT host, text, sum(n)::BIGINT AS removed_words, count(*) AS removed_lines FROM pt JOIN f USING (host, norm) WHERE text <> owner GROUP BY ALL),
-b AS (SELECT doc_id, host, text, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+pd AS (SELECT doc_id, host, norm, sum(n) AS n FROM lines GROUP BY ALL),
+f AS (SELECT host, norm FROM pd GROUP BY ALL HAVING count(*) > 50),
+lost AS (SELECT doc_id, sum(n)::BIGINT AS removed_words, count(*) AS removed_lines FROM pd JOIN f USING (host, norm) GROUP BY ALL),
+b AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM w),
 x AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
         n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed,
         coalesce(removed_lines, 0) AS removed_lines, coalesce(removed_words, 0) AS removed_words
-      FROM b LEFT JOIN dup USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN lost USING (host, text))
+      FROM b LEFT JOIN dup USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN lost USING (doc_id))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND n_words - removed_words >= 0.25 * n_words AS kept,
   removed_lines, removed_words FROM x

@@ -207,22 +207,47 @@ def test_quality_base(spark, tmp_path):
         assert r["kept"] == (not failed)
 
 
-def test_quality_frequent_lines(spark):
+def _frequent_rows():
     rng = random.Random(2)
     common = prose(rng, 60)
     rows = [(i, common + "\n" + prose(rng, 5), "h") for i in range(8)]  # depleted without the common line
     rows += [(100 + i, common.upper() + "\n" + prose(rng, 80), "h") for i in range(3)]  # enough of their own
     rows += [(200 + i, common + "\n" + prose(rng, 5), "other") for i in range(3)]  # not frequent there
-    rows += [(300 + i, "x y\n" + prose(random.Random(7), 60), "h") for i in range(20)]  # copies count once
-    rows += [(400, common, None), (401, None, None)]
+    rows += [(300 + i, "x y\n" + prose(random.Random(7), 60), "h") for i in range(20)]  # copies
+    return rows + [(400, common, None), (401, None, None)]
+
+
+def test_quality_frequent_lines(spark):
+    rows = _frequent_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: r for r in quality.judge(docs, line_documents=5, line_share=0.0).collect()}
+    got = {r["doc_id"]: r for r in quality.judge(docs, line_documents=5).collect()}
+    assert len(got) == len(rows)
+    assert not any(got[i]["kept"] for i in (*range(8), *range(300, 320), 401))  # copies are documents too
+    assert all(got[i]["kept"] for i in (100, 101, 102, 200, 201, 202, 400))
+    assert got[101]["removed_words"] == 60 and got[300]["removed_lines"] == 2
+    assert quality.judge(docs.limit(0)).collect() == []
+
+
+def test_quality_copies_once(spark):
+    rows = _frequent_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(docs, line_documents=5, copies_once=True).collect()}
     assert len(got) == len(rows)
     assert [got[i]["kept"] for i in range(8)] == [True] + [False] * 7  # the first keeps the line
-    assert all(got[i]["kept"] for i in (100, 101, 102, 200, 201, 202, 300, 319, 400))
-    assert got[101]["removed_words"] == 60 and not got[401]["kept"]
+    assert all(got[i]["kept"] for i in (100, 101, 102, 200, 201, 202, *range(300, 320), 400))
     assert quality.accepted(docs).columns == docs.columns
-    assert quality.judge(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("others", "copies"), [(0, False), (6000, False), (0, True)])
+def test_quality_sixty_documents_at_any_host_size(spark, others, copies):
+    """A line of 60 documents goes from all 60, whatever else the host holds and whether they are copies or not."""
+    rng = random.Random(60)
+    own = [prose(rng, 60, 9000) for _ in range(60)]
+    rows = [(i, f"{own[0] if copies else own[i]}\nall rights reserved", "h") for i in range(60)]
+    rows += [(1000 + i, f"only here {i}", "h") for i in range(others)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality.judge(docs).filter("doc_id < 60 AND removed_words >= 3").collect()
+    assert len(got) == 60 and all(r["kept"] != copies for r in got)
 
 
 def test_quality_takes_frequent_lines_out(spark):
@@ -245,17 +270,17 @@ def test_quality_takes_frequent_lines_out(spark):
 
     order = lambda r: (r[0] is None, r[0] or 0, r[2])
     assert sorted((tuple(r) for r in got.collect()), key=order) == sorted((want(*r) for r in rows), key=order)
-    told = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    told = {r["doc_id"]: r for r in quality.judge(docs, copies_once=True).collect()}
     for r in got.filter("doc_id < 59").collect():
         t = told[r["doc_id"]]
         assert len(WORD.findall(r["text"])) == t["n_words"] - t["removed_words"]
 
 
-@pytest.mark.parametrize(("size", "gone"), [(400, {"x51"}), (5150, {"x52"})])
+@pytest.mark.parametrize(("size", "gone"), [(400, {"x51"}), (5150, {"x51", "x52"})])
 def test_quality_production_limits_equal_the_sql(spark, tmp_path, size, gone):
     duckdb = pytest.importorskip("duckdb")
     rng = random.Random(size)
-    lines = {"x50": 50, "x51": 51} if size < 5000 else {"x51": 51, "x52": 52}  # 1 % of 5,150 is 51.5
+    lines = {"x50": 50, "x51": 51} if size < 5000 else {"x50": 50, "x51": 51, "x52": 52}
     rows, at = [], 0
     filler = prose(rng, 55)
     texts = [f"{filler}\nown {i}" for i in range(size)]
