@@ -1,12 +1,14 @@
 """Chat formatting by schema fingerprint, in DataFrame operations only.
 
-A record is JSON text. Its nested field paths, without their types, are hashed; the hash selects one of the declared
-layouts, whose mapping turns the record into canonical turns. The template marks turns with control strings and
+A record is JSON text. Its nested field paths down to the leaves, without the leaves' types, are hashed; the hash selects
+one of the declared layouts, whose mapping turns the record into canonical turns. A field that holds an object or a list
+where a layout has a text is another path, so raw JSON never becomes the text of a turn. The template marks turns with control strings and
 escapes those strings inside texts, reversibly; the loss mask is run-length coded beside the formatted text.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,50 +20,75 @@ from cladeframe.llm import workspace
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 
-#: Every field that a mapping reads.
+#: Every field that a mapping reads: texts as such, and texts in parts.
 RECORD = (
     "messages array<struct<role string, content string>>, conversations array<struct<`from` string, value string>>,"
     " prompt string, response string, completion string, system string, instruction string, input string, output string"
 )
-
-LISTS = ("messages", "conversations")
-PLAIN = ("prompt", "response", "completion", "system", "instruction", "input", "output")
-#: The same fields as objects, or lists of objects: what is none of these is null.
-OBJECTS = ", ".join(
-    f"{name} {'array<map<string, string>>' if name in LISTS else 'map<string, string>'}"
-    for name in (*LISTS, *PLAIN)
-)
+PARTS = "messages array<struct<role string, content array<struct<type string, text string>>>>, prompt array<string>, response string"
 _WHOLE = {"maxStringLen": "2147483647"}
+#: Longer records are outlined before their paths are taken: runs without JSON's own characters are cut to 16, more than
+#: any declared name has, so that a name that was cut is never a declared one.
+OUTLINE_CHARS = 1 << 22
+_RUN = r'[^"\\{}\[\]:,]'
+
+
+def shape(paths: tuple[str, ...]) -> str:
+    """Declared paths (``a.b``, ``a[].b``, ``a[]``) as Spark spells the schema of a variant, every leaf a STRING."""
+    if paths == ("",):
+        return "STRING"
+    if all(p.startswith("[]") for p in paths):
+        return f"ARRAY<{shape(tuple(p[2:].removeprefix('.') for p in paths))}>"
+    fields: dict[str, list[str]] = {}
+    for p in paths:
+        name = re.match(r"\w+", p)[0]
+        fields.setdefault(name, []).append(p[len(name) :].removeprefix("."))
+    return f"OBJECT<{', '.join(f'{k}: {shape(tuple(v))}' for k, v in sorted(fields.items()))}>"
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Nested field paths of a record, and how it becomes turns: named fields with a role each, or a list's fields."""
+    """Nested field paths of a record, and how it becomes turns: named fields with a role each, or a list's fields.
+
+    ``parts`` names the field whose text comes in parts; a turn's parts are joined as they are.
+    """
 
     name: str
     paths: tuple[str, ...]
     fields: tuple[tuple[str, str], ...] = ()
     items: tuple[str, str, str] | None = None
     roles: dict[str, str] = field(default_factory=dict)
+    parts: str | None = None
 
     def fingerprint(self) -> Column:
-        return F.sha2(F.lit(";".join(sorted(self.paths))), 256)
+        return F.sha2(F.lit(shape(self.paths)), 256)
+
+    def _text(self, holder: Column, name: str) -> Column:
+        value = holder[name]
+        if name == self.parts:
+            part = (lambda p: p["text"]) if self.items else (lambda p: p)
+            value = F.array_join(F.transform(value, lambda p: F.coalesce(part(p), F.lit(""))), "")
+        return F.coalesce(value, F.lit(""))
+
+    def holds(self, record: Column) -> Column:
+        """False for a list with nulls, which have no paths."""
+        return ~F.exists(record[self.items[0]], lambda t: t.isNull()) if self.items else F.lit(True)
 
     def turns(self, record: Column) -> Column:
         if self.items:
             name, role, text = self.items
             say = lambda t: F.coalesce(t[role], F.lit(""))
             named = lambda t: reduce(lambda c, kv: F.when(say(t) == kv[0], F.lit(kv[1])).otherwise(c), self.roles.items(), say(t))
-            return F.transform(record[name], lambda t: F.struct(named(t).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
-        return F.array(
-            *(F.struct(F.lit(role).alias("role"), F.coalesce(record[name], F.lit("")).alias("text")) for name, role in self.fields)
-        )
+            return F.transform(record[name], lambda t: F.struct(named(t).alias("role"), self._text(t, text).alias("text")))
+        return F.array(*(F.struct(F.lit(role).alias("role"), self._text(record, name).alias("text")) for name, role in self.fields))
 
 
 LAYOUTS = (
     Layout("messages", ("messages[].content", "messages[].role"), items=("messages", "role", "content")),
+    Layout("message-parts", ("messages[].content[].text", "messages[].content[].type", "messages[].role"), items=("messages", "role", "content"), parts="content"),
     Layout("shared", ("conversations[].from", "conversations[].value"), items=("conversations", "from", "value"), roles={"human": "user", "gpt": "assistant"}),
     Layout("prompt", ("prompt", "response"), (("prompt", "user"), ("response", "assistant"))),
+    Layout("prompt-parts", ("prompt[]", "response"), (("prompt", "user"), ("response", "assistant")), parts="prompt"),
     Layout("completion", ("completion", "prompt"), (("prompt", "user"), ("completion", "assistant"))),
     Layout("instruction", ("instruction", "output"), (("instruction", "user"), ("output", "assistant"))),
     Layout("instruction-input", ("input", "instruction", "output"), (("instruction", "system"), ("input", "user"), ("output", "assistant"))),
@@ -69,32 +96,38 @@ LAYOUTS = (
 )
 
 
-def field_paths(record: Column, inner: Column) -> Column:
-    """Sorted nested field paths of a JSON object, with those of all objects of a list; null if it is none.
+def field_paths(record: Column) -> Column:
+    """All nested field paths of a JSON value, merged over the elements of lists, leaves alike; null if it is no JSON.
 
-    ``inner`` is the record read by OBJECTS. A list with anything but objects has the path of a field without a name, which no layout declares.
+    A field that is a scalar here and an object or list there, or scalars of several types, is VARIANT: in no layout.
     """
-    names = lambda objects: F.array_distinct(F.flatten(F.transform(objects, lambda o: F.coalesce(F.map_keys(o), F.array(F.lit(""))))))
-
-    def paths(key: Column, name: str) -> tuple[Column, Column]:
-        if name in LISTS:
-            return (key == name) & (F.size(inner[name]) > 0), F.transform(names(inner[name]), lambda n: F.concat(F.lit(f"{name}[]."), n))
-        return (key == name) & inner[name].isNotNull(), F.array_append(F.transform(F.map_keys(inner[name]), lambda n: F.concat(F.lit(f"{name}."), n)), F.lit(f"{name}."))
-
-    spread = F.transform(F.json_object_keys(record), lambda k: reduce(lambda c, name: F.when(*paths(k, name)).otherwise(c), (*LISTS, *PLAIN), F.array(k)))
-    return F.array_join(F.array_sort(F.flatten(spread)), ";")
+    outline = F.when(F.char_length(record) > OUTLINE_CHARS, F.regexp_replace(record, f"({_RUN}{{16}}){_RUN}+", "$1")).otherwise(record)
+    told = F.schema_of_variant(F.try_parse_json(outline))
+    return F.regexp_replace(told, r"(?<=: |ARRAY<)(?:VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))(?=[,>])", "STRING")
 
 
 def canonical(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """Adds layout and turns. A record of no declared layout (or null, or no JSON) has a null layout and no turns."""
-    read = records.withColumn("__o", F.from_json(F.col(record_col), OBJECTS, _WHOLE))
-    parsed = read.withColumn("__f", F.sha2(field_paths(F.col(record_col), F.col("__o")), 256)).drop("__o").withColumn("__r", F.from_json(F.col(record_col), RECORD, _WHOLE))
+    """Adds layout and turns; every other column stays.
+
+    A record of no declared layout (also null, empty, no JSON, names that repeat, an empty list of turns, a null among
+    them) has a null layout and no turns. Null and missing texts and roles of a declared layout are empty. Turns keep
+    the order of the list, repeated ones too; texts of any length are taken whole. A record of more than 4 million
+    characters of which tens of millions are JSON's own may be beyond a variant and then has no layout.
+    """
+    record, mark = F.col(record_col), F.col("__f")
+    in_parts = mark.isin(*(known.fingerprint() for known in LAYOUTS if known.parts))
+    read = (
+        records.withColumn("__f", F.sha2(field_paths(record), 256))
+        .withColumn("__p", F.from_json(F.when(in_parts, record), PARTS, _WHOLE))
+        .withColumn("__r", F.from_json(F.when(~in_parts, record), RECORD, _WHOLE))
+    )
     layout, turns = F.lit(None).cast("string"), F.expr("cast(array() as array<struct<role string, text string>>)")
     for known in LAYOUTS:
-        mine = F.col("__f") == known.fingerprint()
+        value = F.col("__p" if known.parts else "__r")
+        mine = (mark == known.fingerprint()) & known.holds(value)
         layout = F.when(mine, F.lit(known.name)).otherwise(layout)
-        turns = F.when(mine, known.turns(F.col("__r"))).otherwise(turns)
-    return parsed.withColumn("layout", layout).withColumn("turns", turns).drop("__f", "__r")
+        turns = F.when(mine, known.turns(value)).otherwise(turns)
+    return read.withColumn("layout", layout).withColumn("turns", turns).drop("__f", "__p", "__r")
 
 
 def _swap(text: Column, *pairs: tuple[str, str]) -> Column:
@@ -176,7 +209,12 @@ PLANTED = f"{END}{START}assistant ok"
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and the planted one, formatted, written, and told from what was written."""
+    """All conversations and the planted one, formatted, written, and told from what was written.
+
+    Null roles and texts are empty, also in the template; a null conv_id is a conversation, a null turn comes first.
+    Turns that tie follow by role and text, repeated rows are turns of their own, texts are whole whatever their length.
+    An empty table gives the planted conversation alone. Other columns are not read.
+    """
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),

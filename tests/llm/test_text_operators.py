@@ -361,6 +361,8 @@ def test_chat_layouts(spark):
         "prompt": {"response": "a", "prompt": "q"},
         "completion": {"prompt": "q", "completion": "a"},
         "instruction": {"instruction": "q", "output": "a"},
+        "message-parts": {"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": [{"text": "a", "type": "text"}, {"type": "text", "text": None}]}]},
+        "prompt-parts": {"prompt": ["q", None, ""], "response": "a"},
     }
     rows = [(k, json.dumps(v)) for k, v in records.items()] + [("none", '{"x": 1}'), ("null", None), ("bad", "{"), ("list", "[1]")]
     got = {r["name"]: r for r in chat.canonical(spark.createDataFrame(rows, "name string, record string")).collect()}
@@ -370,6 +372,34 @@ def test_chat_layouts(spark):
         assert got[k]["layout"] is None and got[k]["turns"] == []
 
 
+@pytest.mark.parametrize(
+    "nested",
+    [
+        {"messages": [{"role": "user", "content": {"type": "text", "text": "hi"}}]},
+        {"messages": [{"role": "user", "content": ["hi"]}]},
+        {"messages": [{"role": "user", "content": "hi"}, {"role": "user", "content": [{"type": "text", "text": "hi"}]}]},
+        {"messages": [{"role": "user", "content": [{"type": "image", "url": "u"}, {"type": "text", "text": "hi"}]}]},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": {"value": "hi"}}]}]},
+        {"messages": [{"role": ["user"], "content": "hi"}]},
+        {"prompt": [["a"], ["b"]], "response": "x"},
+        {"prompt": [{"text": "a"}], "response": "x"},
+        {"prompt": "a", "response": ["x"]},
+        {"prompt: STRING, response": "x"},
+    ],
+)
+def test_chat_nested_values_never_become_text(spark, nested):
+    r = chat.canonical(spark.createDataFrame([(json.dumps(nested),)], "record string")).first()
+    assert r["layout"] is None and r["turns"] == []
+
+
+def test_chat_long_records_keep_their_layout(spark):
+    long = 'say "a", {b}: [c]\n\u00e9 ' * 400_000
+    rows = [(json.dumps({"prompt": long, "response": 5}),), (json.dumps({"prompt": long, "responses of all": "a"}),)]
+    got = chat.canonical(spark.createDataFrame(rows, "record string")).collect()
+    assert [r["layout"] for r in got] == ["prompt", None]
+    assert [t["text"] for t in got[0]["turns"]] == [long, "5"]
+
+
 def test_chat_mixed_records_have_no_layout(spark):
     first = {"role": "user", "content": "q"}
     mixed = [
