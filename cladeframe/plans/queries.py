@@ -675,6 +675,21 @@ def s12_matrix_round_trip(spark, d):
     return _six(matrices.read_matrix(spark, path)[0])
 
 
+@query(f"""{NATIONS}, {MASS}, {X}, {WEIGHTED}, h AS (SELECT sample_i, sample_j, distance FROM d UNION ALL SELECT sample_j, sample_i, distance FROM d UNION ALL SELECT sample_id, sample_id, 0 FROM samples)
+SELECT 'Sample' || chr(9) || string_agg(sample_id, chr(9) ORDER BY o) AS line FROM samples UNION ALL
+SELECT sample_i || chr(9) || string_agg(printf('%.4f', distance), chr(9) ORDER BY o) FROM h JOIN samples ON sample_j = sample_id GROUP BY sample_i""")
+def k1_matrix_in_one_file(spark, d):
+    """The matrix as one plain file, written by many tasks and read again."""
+    import uuid
+
+    from cladeframe.session import shared_folder
+
+    c = A.nations(spark, d)
+    path = f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex[:12]}.tsv"
+    matrices.write_matrix_file(E.exact(c, "weighted"), c.samples, path, digits=4, label="Sample")
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 @query(f"""{NATIONS}, {MASS}, {X}, {WEIGHTED}, h AS (SELECT sample_i, sample_j, distance FROM d UNION ALL SELECT sample_j, sample_i, distance FROM d UNION ALL SELECT sample_id, sample_id, 0 FROM samples)
 SELECT 'Sample' || chr(9) || string_agg(sample_id, chr(9) ORDER BY o) AS line FROM samples UNION ALL
 SELECT sample_i || chr(9) || string_agg(printf('%.4f', distance), chr(9) ORDER BY o) FROM h JOIN samples ON sample_j = sample_id GROUP BY sample_i""")

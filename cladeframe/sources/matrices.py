@@ -5,27 +5,95 @@ A distance table is ``distances(sample_i, sample_j, distance)``, one row for eac
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladeframe.session import materialise
+from cladeframe.sources import onefile
 
-def read_matrix(spark: SparkSession, path: str, strict: bool = True, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame]:
+
+#: Rows and columns of a tile of a matrix that is read.
+TILE = 512
+
+
+def read_matrix(spark: SparkSession, path: str, strict: bool = True, tolerance: float = 1e-8, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """A square tab-separated matrix: distances (pairs i < j) and sample order.
 
-    Row and column ids are matched by name; ids on one side only, or cells that are no numbers, are errors. ``strict``
-    also asks for symmetry and a zero diagonal; otherwise both halves are averaged.
+    Row and column ids are matched by name, rows in any order; ids on one side only or twice, rows of another width, and
+    cells that are no numbers, are errors. ``strict`` also asks for symmetry and a zero diagonal; otherwise both halves are
+    averaged. Blank lines do not count; a file without lines is an error, a header without samples an empty table.
+
+    Lines are cut into strips of ``tile`` columns where they are read, and a tile meets its transpose in one group, so that
+    no task holds more than two tiles and no cell becomes a row before it is a pair. The driver sees the header alone.
     """
-    lines = [r[0].rstrip("\r") for r in spark.read.text(path).collect()]  # a matrix file is read by one reader
-    lines = [x for x in lines if x.strip()]
-    if not lines:
+    raw = spark.read.text(path).select(
+        F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+    ).filter(F.trim(F.regexp_replace("line", "\t", " ")) != "")
+    head = raw.orderBy("file", "block", "at").first()
+    if head is None:
         raise ValueError("the matrix is empty")
-    names = lines[0].split("\t")[1:]
+    names = head["line"].split("\t")[1:]
+    if len(set(names)) != len(names):
+        raise ValueError("row and column ids differ")
     samples = spark.createDataFrame(list(enumerate(names)), "sample_ordinal int, sample_id string").select("sample_id", "sample_ordinal")
-    rows = spark.createDataFrame([(x.split("\t")[0], x.split("\t")[1:]) for x in lines[1:]], "r string, c array<string>")
-    return from_cells(rows.select("r", F.posexplode("c").alias("pos", "v")).join(samples.withColumnRenamed("sample_ordinal", "pos"), "pos").select(F.col("r").alias("row_id"), F.col("sample_id").alias("column_id"), F.expr("try_cast(v as double)").alias("value")), samples, strict, tolerance), samples
+    rows = raw.filter((F.col("file") != head["file"]) | (F.col("block") != head["block"]) | (F.col("at") != head["at"]))
+    rows = rows.select(F.split("line", "\t", -1).alias("c")).select(F.col("c")[0].alias("sample_id"), F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0))).alias("c"))
+    told = rows.join(samples.withColumn("known", F.lit(True)), "sample_id", "left")
+    seen = told.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("sample_id").alias("ids"),
+        F.count_if(F.col("known").isNull() | (F.size("c") != len(names))).alias("strange"),
+    ).first()
+    if seen["strange"] or seen["rows"] != len(names) or seen["ids"] != len(names):
+        raise ValueError("row and column ids differ")
+    starts = F.sequence(F.lit(0), F.lit(max(len(names) - 1, 0)), F.lit(tile))
+    strips = told.select(
+        F.col("sample_ordinal").alias("i"), F.floor(F.col("sample_ordinal") / tile).cast("int").alias("a"),
+        F.explode(F.transform(starts, lambda s: F.struct((s / tile).cast("int").alias("b"), F.slice("c", s + 1, F.lit(tile)).alias("v")))).alias("s"),
+    ).select(
+        F.least("a", "s.b").alias("low"), F.greatest("a", "s.b").alias("high"), "i", F.col("s.b").alias("b"),
+        F.transform("s.v", lambda v: v.try_cast("double")).alias("v"),
+    )
+    pairs = materialise(strips.groupBy("low", "high").applyInPandas(_tile_kernel(tile, tolerance), _TILE_SCHEMA), "matrix")
+    bad = pairs.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("no_number", "asymmetric", "diagonal"))).first()
+    if bad["no_number"]:
+        raise ValueError(f"{bad['no_number']} cells are no numbers")
+    if strict and (bad["asymmetric"] or bad["diagonal"]):
+        raise ValueError(f"the matrix is not a distance matrix: {bad['asymmetric']} asymmetric cells, {bad['diagonal']} on the diagonal")
+    i = samples.select(F.col("sample_id").alias("sample_i"), F.col("sample_ordinal").alias("i"))
+    j = samples.select(F.col("sample_id").alias("sample_j"), F.col("sample_ordinal").alias("j"))
+    long = pairs.select("i", "first_j", F.posexplode("d").alias("k", "distance")).withColumn("j", F.col("first_j") + F.col("k"))
+    return long.join(i, "i").join(j, "j").select("sample_i", "sample_j", "distance"), samples
+
+
+_TILE_SCHEMA = "i int, first_j int, d array<double>, no_number long, asymmetric long, diagonal long"
+
+
+def _tile_kernel(tile: int, tolerance: float):
+    def meet(key: tuple[int, int], part: pd.DataFrame) -> pd.DataFrame:
+        """A tile above the diagonal and its transpose (or a tile on it): rows of pairs i < j and what is wrong."""
+        low, high = (int(k) for k in key)
+        of = part["i"] // tile
+        above, below = (part[(of == r) & (part["b"] == c)].sort_values("i") for r, c in ((low, high), (high, low)))
+        x = np.stack([np.asarray(v, float) for v in above["v"]])
+        y = np.stack([np.asarray(v, float) for v in below["v"]]).T
+        apart = low != high  # a tile on the diagonal is its own transpose
+        none = np.isnan(x).sum(1) + np.isnan(y).sum(1) * apart
+        uneven = (np.abs(x - y) > tolerance).sum(1) * (1 + apart)
+        own = (np.abs(np.diagonal(x)) > tolerance).astype(int) if not apart else np.zeros(len(x), int)
+        mean, first = (x + y) / 2, high * tile
+        rows = above["i"].to_numpy()
+        cut = np.maximum(rows + 1 - first, 0)
+        return pd.DataFrame({
+            "i": rows, "first_j": first + cut, "d": [m[c:] for m, c in zip(mean, cut, strict=True)],
+            "no_number": none, "asymmetric": uneven, "diagonal": own,
+        })
+
+    return meet
 
 
 def from_cells(cells: DataFrame, samples: DataFrame, strict: bool = True, tolerance: float = 1e-8) -> DataFrame:
@@ -95,14 +163,14 @@ def write_matrix_blocks(distances: DataFrame, samples: DataFrame, path: str, blo
 
 
 def compressed_matrix(distances: DataFrame, samples: DataFrame, target: str, level: int = 3, **how) -> str:
-    """The matrix in one zstd file on the driver's disk; ``.zst`` is added to its name unless it is there."""
-    import zstandard
-
+    """The matrix in one zstd file, its rows compressed where they are made; ``.zst`` is added to its name unless it is there."""
     target = target if target.endswith(".zst") else target + ".zst"
-    with open(target, "wb") as raw, zstandard.ZstdCompressor(level=level).stream_writer(raw) as out, io.TextIOWrapper(out, "utf-8") as text:
-        for row in matrix_lines(distances, samples, **how).orderBy("i").toLocalIterator():
-            text.write(row["line"] + "\n")
-    return target
+    return onefile.write_lines(matrix_lines(distances, samples, **how), target, "zstd", level)
+
+
+def write_matrix_file(distances: DataFrame, samples: DataFrame, target: str, **how) -> str:
+    """The matrix in one plain text file, written by many tasks."""
+    return onefile.write_lines(matrix_lines(distances, samples, **how), target, "none")
 
 
 def pcoa_text(ids: list[str], coordinates, proportion) -> str:
@@ -185,8 +253,6 @@ def ordinals(samples: DataFrame, by: str = "sample_id") -> DataFrame:
     spread = samples.select("sample_id").repartitionByRange(by).sortWithinPartitions(by)
     spread = spread.select("sample_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
     own = spread.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("m")))
-    from cladeframe.session import materialise
-
     own = materialise(own, "ordinals")
     before = own.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return own.join(before, "p").select("sample_id", (F.col("before") + F.col("k") - 1).cast("int").alias("sample_ordinal"))

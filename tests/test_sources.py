@@ -1,11 +1,13 @@
 """Readers, writers and the Newick parser."""
 
+import random
 import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cladeframe.sources import matrices, newick, tables
+from cladeframe.sources import matrices, newick, onefile, tables
 
 
 def test_newick_comments_labels_and_quotes():
@@ -114,6 +116,81 @@ def test_csr_to_table(spark):
     assert {tuple(r) for r in rows} == {("x", "A", 1.0), ("y", "B", 4.0)}
 
 
+def _random_matrix(n):
+    rng = random.Random(n)
+    names = [f"s{k}" for k in rng.sample(range(100), n)]
+    half = {(i, j): rng.random() for i in range(n) for j in range(i + 1, n)}
+    cell = lambda i, j: 0.0 if i == j else half[min(i, j), max(i, j)]
+    return names, half, [[repr(cell(i, j)) for j in range(n)] for i in range(n)]
+
+
+def _matrix_text(names, rows, order, end="\n"):
+    return end.join(["\t".join(["", *names]), *("\t".join([names[i], *rows[i]]) for i in order)]) + end
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10])
+def test_matrix_by_tiles(spark, tmp_path, n):
+    """Tiles that do and do not divide the matrix; rows in any order; blank lines and either line end."""
+    names, half, rows = _random_matrix(n)
+    order = random.Random(1).sample(range(n), n)
+    (tmp_path / "m.tsv").write_bytes(("\r\n" + _matrix_text(names, rows, order, "\r\n") + "\t\r\n").encode())
+    pairs, samples = matrices.read_matrix(spark, f"{tmp_path}/m.tsv", tile=3)
+    assert [r[0] for r in samples.orderBy("sample_ordinal").collect()] == names
+    got = {(r["sample_i"], r["sample_j"]): r["distance"] for r in pairs.collect()}
+    assert got == {(names[i], names[j]): d for (i, j), d in half.items()}
+
+
+@pytest.mark.parametrize(
+    ("at", "value", "told"),
+    [((6, 1), "0.5", "2 asymmetric cells, 0 on"), ((4, 5), "9", "2 asymmetric"), ((5, 5), "0.1", "0 asymmetric cells, 1 on"), ((0, 6), "x", "1 cells"), ((6, 0), "nan", "1 cells"), ((4, 3), "", "1 cells")],
+)
+def test_matrix_errors_by_tiles(spark, tmp_path, at, value, told):
+    names, _, rows = _random_matrix(7)
+    rows[at[0]][at[1]] = value
+    (tmp_path / "m.tsv").write_text(_matrix_text(names, rows, range(7)))
+    with pytest.raises(ValueError, match=told):
+        matrices.read_matrix(spark, f"{tmp_path}/m.tsv", tile=3)
+
+
+@pytest.mark.parametrize("text", ["\ta\tb\na\t0\t1\n", "\ta\tb\na\t0\t1\nc\t1\t0\n", "\ta\tb\na\t0\t1\na\t0\t1\n", "\ta\ta\na\t0\t1\na\t1\t0\n", "\ta\tb\na\t0\t1\nb\t1\n", "\ta\tb\na\t0\t1\nb\t1\t0\t0\n"])
+def test_matrix_ids_must_agree(spark, tmp_path, text):
+    (tmp_path / "m.tsv").write_text(text)
+    with pytest.raises(ValueError, match="ids differ"):
+        matrices.read_matrix(spark, f"{tmp_path}/m.tsv")
+
+
+def test_one_file_from_many_tasks(spark, tmp_path):
+    """Frames of several tasks are one valid file, byte for byte the text in order, and nothing else is left."""
+    import zstandard
+
+    lines = [(i, f"line {i} é " + "x" * (i % 50)) for i in range(-1, 999)]
+    want = "".join(f"{t}\n" for _, t in lines).encode()
+    table = spark.createDataFrame(random.Random(3).sample(lines, len(lines)) + [(5000, None)], "i long, line string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        onefile.write_lines(table, f"{tmp_path}/t.zst")
+        onefile.write_lines(table, f"{tmp_path}/t.txt", "none")
+        onefile.write_lines(table.limit(0), f"{tmp_path}/t.txt.empty", "none")
+        onefile.write_lines(table, f"file://{tmp_path}/t.txt", "none")  # an address, and a file that is there already
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    data = (tmp_path / "t.zst").read_bytes()
+    assert data.count(b"\x28\xb5\x2f\xfd") > 1
+    assert zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read() == want
+    assert (tmp_path / "t.txt").read_bytes() == want and (tmp_path / "t.txt.empty").read_bytes() == b""
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t.txt", "t.txt.empty", "t.zst"]
+    with pytest.raises(ValueError, match="unknown compression"):
+        onefile.write_lines(table, f"{tmp_path}/u", "lzma")
+
+
+def test_one_file_of_a_task_that_fails(spark, tmp_path):
+    broken = F.udf(lambda i: 1 // (7 - i), "long")
+    table = spark.range(20).select(F.col("id").alias("i"), broken("id").cast("string").alias("line"))
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        onefile.write_lines(table, f"{tmp_path}/t.zst")
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_matrix_round_trip_and_validation(spark, tmp_path):
     samples = spark.createDataFrame([("b", 0), ("a", 1), ("c", 2)], "sample_id string, sample_ordinal int")
     d = spark.createDataFrame([("b", "a", 0.25), ("b", "c", 0.5), ("a", "c", 1 / 3)], "sample_i string, sample_j string, distance double")
