@@ -273,17 +273,23 @@ def mismatch_distances(sketched: DataFrame, weighted: bool, block: int = BLOCK)
     return block_pairs(sketched, blocks, block).groupBy("bi", "bj").applyInArrow(kernel, "sample_i string, sample_j string, distance double")
 
 
-def race(weights: DataFrame, k: int) -> DataFrame:
-    """``sample_id, slot, edge_id``: an exponential race in SQL alone, exact for presence weights.
+def race_minima(weights: DataFrame, k: int) -> DataFrame:
+    """``sample_id, slot, m``: the earliest branch of an exponential race and its time, ``m(t, edge_id)``.
 
-    The draw of a branch in a slot is an MD5 prefix, so any engine gives the same sketch.
+    The draw of a branch in a slot is an MD5 prefix, so any engine gives the same sketch, and minima of parts of a
+    sample merge by the lesser.
     """
     edges = weights.select("edge_id", "weight").distinct()
     times = edges.select("edge_id", "weight", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"))
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("edge_id").cast("string"), F.col("slot").cast("string"))), 1, 12), 16, 10).cast("double") + 1.0) / F.lit(2.0**48 + 1)
     times = times.select("edge_id", "weight", "slot", (-F.log(u) / F.col("weight")).alias("t"))
     own = weights.select("sample_id", "edge_id", "weight").join(times, ["edge_id", "weight"])
-    return own.groupBy("sample_id", "slot").agg(F.min(F.struct("t", "edge_id")).alias("m")).select("sample_id", "slot", F.col("m.edge_id").alias("edge_id"))
+    return own.groupBy("sample_id", "slot").agg(F.min(F.struct("t", "edge_id")).alias("m"))
+
+
+def race(weights: DataFrame, k: int) -> DataFrame:
+    """``sample_id, slot, edge_id``: an exponential race in SQL alone, exact for presence weights."""
+    return race_minima(weights, k).select("sample_id", "slot", F.col("m.edge_id").alias("edge_id"))
 
 
 def race_distances(raced: DataFrame, samples: DataFrame, k: int) -> DataFrame:

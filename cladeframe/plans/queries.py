@@ -764,3 +764,12 @@ def x2_streaming_late_rows(spark, d):
     out = incremental.windowed_totals(spark, path, "ts", "event_type", "value", files_per_batch=1)
     naive = F.expr("timestampadd(MICROSECOND, unix_micros(window_start), timestamp_ntz'1970-01-01 00:00:00')")
     return _six(out.withColumn("window_start", naive), "total")
+
+
+@query(f"{NATIONS}, {PRESENCE}, {RACE} SELECT sample_id, slot, edge_id FROM race")
+def x3_streamed_sketches(spark, d):
+    """Every nation's rows are spread over three batches; merged minima are the sketch of the whole."""
+    c = A.nations(spark, d)
+    rows = materialise(c.table.repartition(3, "feature_id"), "rows")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
+    return incremental.raced_stream(stream, c.paths, SLOTS).withColumn("slot", F.col("slot").cast("long"))

@@ -65,3 +65,23 @@ def windowed_totals(spark: SparkSession, path: str, time: str, key: str, value:
 def sketched_stream(stream: DataFrame, sketch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Sketches of the samples in a stream of feature rows. A sample's rows must come in one batch."""
     return drain(stream, "sketched", "append", lambda rows, _: sketch(rows))
+
+
+def raced_stream(stream: DataFrame, paths: DataFrame, k: int) -> DataFrame:
+    """``sample_id, slot, edge_id``: presence sketches of samples whose feature rows may come in any batches.
+
+    A batch leaves the minimum of each slot over its own rows; the minima of all batches merge by the lesser, so any
+    split of the rows, repeated rows and repeated batches give the sketch of the whole. Rows without a positive value, or
+    of features outside the tree, do not count; a sample without others has no sketch. No rows at all give none.
+    """
+    from cladeframe.operators.sketches import race_minima
+
+    def minima(rows: DataFrame, _: int) -> DataFrame:
+        present = rows.filter("value > 0").select("sample_id", "feature_id").join(paths, "feature_id")
+        return race_minima(present.select("sample_id", "edge_id", F.col("length").alias("weight")).distinct(), k)
+
+    kept = drain(stream, "raced", "append", minima)
+    if "m" not in kept.columns:  # no batch at all
+        return stream.sparkSession.createDataFrame([], "sample_id string, slot int, edge_id long")
+    whole = kept.groupBy("sample_id", "slot").agg(F.min("m").alias("m"))
+    return whole.select("sample_id", "slot", F.col("m.edge_id").alias("edge_id"))

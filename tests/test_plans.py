@@ -61,6 +61,21 @@ def test_stream_of_samples_gives_the_same_sketches(spark, star, tmp_path):
     assert got == {r["sample_id"]: r["signature"] for r in E.sketch(star, True, sketch=32, portable=True).collect()}
 
 
+def test_stream_of_parts_of_samples_gives_the_sketch_of_the_whole(spark, star, tmp_path):
+    from cladeframe.operators import sketches
+
+    odd = spark.createDataFrame([("s0", "nowhere", 1.0), ("lost", "nowhere", 1.0), ("none", None, 1.0)], star.table.schema)
+    rows = star.table.unionByName(star.table.limit(3)).unionByName(odd)
+    rows.repartition(4).write.parquet(f"{tmp_path}/in")
+    stream = lambda path: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = incremental.raced_stream(stream(f"{tmp_path}/in"), star.paths, 16).collect()
+    present = star.table.filter("value > 0").join(star.paths, "feature_id").select("sample_id", "edge_id", star.paths["length"].alias("weight")).distinct()
+    want = sketches.race(present, 16).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
+    (tmp_path / "empty").mkdir()
+    assert incremental.raced_stream(stream(f"{tmp_path}/empty"), star.paths, 16).collect() == []
+
+
 def test_registry():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries)
