@@ -15,7 +15,8 @@ text alone, shared with nobody: texts whose shared ones do not reach the bound a
 2. Elements that the same items have are one (their items' keys add up to the same sum), with the number as weight. An
    item sends its elements, the rarest first, as long as what is left still reaches its bound: two near duplicates meet
    in the first element that they share.
-3. Items that meet are compared by their whole lists of shared elements. Links that join components go on.
+3. Items that meet are compared in the first element that they share, if what both lists weigh from there on reaches
+   the bound of the two. Links that join components go on.
 
 Lists of items that have a common element are cut to shards of bounded length, and shards meet two by two; no list,
 partner or candidate is capped. Elements are told apart by 64-bit hashes, as in all comparisons of texts.
@@ -44,8 +45,9 @@ S, T = SIMILAR[1] + SIMILAR[0], SIMILAR[1] - SIMILAR[0]
 
 ASKED, HELD, REPLY, LIST = range(4)
 LINKED, BETWEEN, HALF = 1, 2, 4
-#: Elements of one chunk, elements for which there is a bucket, items of one shard, pairs compared in one array operation.
-FLUSH, BUCKET_ELEMENTS, SHARD, PAIRS = 1 << 19, 1 << 20, 4096, 1 << 17
+#: Elements of one chunk, elements for which there is a bucket, items of one shard, pairs settled at once, lookups of one
+#: array operation.
+FLUSH, BUCKET_ELEMENTS, SHARD, PAIRS, LOOKUPS = 1 << 19, 1 << 20, 4096, 1 << 17, 1 << 22
 
 U64 = np.uint64
 Bag = tuple[np.ndarray, np.ndarray]
@@ -206,7 +208,8 @@ def _sent(sender, buckets, items, count, body, names, owners, tokens) -> list[tu
     other = _ragged(shards, np.zeros(len(shards), np.int64))
     low, high = np.minimum(mine[cells], other), np.maximum(mine[cells], other)
     name = tk.mix(token[which[cells]] ^ tk.mix((low.astype(U64) << U64(32)) | high.astype(U64)))
-    entry_item, entry_half = item[which[cells]], half[which[cells]]
+    side = np.where(low == high, 0, np.where(mine[cells] == low, 1, 2))
+    entry_item, entry_at, entry_half = item[which[cells]], (which - begins[item[which]])[cells], half[which[cells]]
     bucket = (name % U64(buckets)).astype(np.int64)
     rows = []
     order = np.lexsort((name, entry_item, bucket))
@@ -219,7 +222,7 @@ def _sent(sender, buckets, items, count, body, names, owners, tokens) -> list[tu
         parts = (
             blobs.pack(key[who], comp[who], flags[who], excess[who], length),
             blobs.pack(token[lists], weight[lists]),
-            blobs.pack(name[own], local.astype(np.int64), entry_half[own].astype(np.int64)),
+            blobs.pack(name[own], local.astype(np.int64), entry_at[own], side[own], entry_half[own].astype(np.int64)),
         )
         payload = b"".join([len(parts[0]).to_bytes(8, "little"), len(parts[1]).to_bytes(8, "little"), *parts])
         rows.append(sender.row(int(bucket[own[0]]), LIST, payload))
@@ -241,60 +244,99 @@ def _unite(up: dict[int, int], a: int, b: int) -> bool:
     return a != b
 
 
-def _met(key, comp, flags, excess, start, length, token, weight, name, local, half) -> set[tuple[int, int]]:
-    """Pairs of components that a link joins, among the items that meet in one bucket; a forest of them."""
-    tokens, token = np.unique(token, return_inverse=True)
-    span = np.int64(len(tokens))
-    whose = np.repeat(np.arange(len(key)), length)
-    place = whose * span + token
-    order = np.argsort(place)
-    place, weight, token = place[order], weight[order], token[order]
+class Meetings:
+    """Items that meet in one bucket, their lists in the common order (rarest first) and sorted for lookups."""
+
+    def __init__(self, key, comp, excess, start, length, token, weight):
+        self.comp, self.excess, self.start, self.length = comp, excess, start, length
+        tokens, self.token = np.unique(token, return_inverse=True)
+        self.span = np.int64(len(tokens))
+        place = np.repeat(np.arange(len(key)), length) * self.span + self.token
+        order = np.argsort(place)
+        self.place, self.weight = place[order], weight[order]
+        total = np.concatenate([[0], np.cumsum(weight)])
+        self.ends = total[start + length]
+        self.total = total
+
+    def rest(self, item: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What an item's list weighs from a place on."""
+        return self.ends[item] - self.total[self.start[item] + at]
+
+    def _shared(self, x, y, low, high) -> np.ndarray:
+        """What the elements of x's list from ``low`` up to ``high`` weigh that y has too."""
+        out, n = np.zeros(len(x), np.int64), high - low
+        cost = np.cumsum(n + 1)
+        edges = np.searchsorted(cost, np.arange(0, int(cost[-1]) + LOOKUPS, LOOKUPS)) if len(x) else []
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if i < j:
+                want = np.repeat(y[i:j], n[i:j]) * self.span + self.token[_ragged(n[i:j], (self.start[x] + low)[i:j])]
+                found = np.minimum(np.searchsorted(self.place, want), len(self.place) - 1)
+                same = np.where(self.place[found] == want, self.weight[found], 0)
+                out[i:j] = np.bincount(np.repeat(np.arange(j - i), n[i:j]), same, j - i)
+        return out
+
+    def first(self, x, y, at_x, at_y) -> np.ndarray:
+        """Whether the element in which two items meet is the first that they share."""
+        swap = at_y < at_x
+        x, y, at = np.where(swap, y, x), np.where(swap, x, y), np.minimum(at_x, at_y)
+        return self._shared(x, y, np.zeros_like(at), at) == 0
+
+    def near(self, x, y, at_x, at_y) -> np.ndarray:
+        """Whether two items that share nothing before the element in which they meet are near duplicates."""
+        swap = self.length[y] - at_y < self.length[x] - at_x
+        x, y, at = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, at_y, at_x)
+        return 2 * S * self._shared(x, y, at, self.length[x]) >= self.excess[x] + self.excess[y]
+
+
+def _met(key, comp, flags, excess, start, length, token, weight, name, local, at, side, half) -> set[tuple[int, int]]:
+    """Pairs of components that a link joins, among the items that meet in one bucket; a forest of them.
+
+    A pair is compared in the first element that both lists have, and there only: what both weigh from there on bounds
+    what they share, so that most partners fall to two bounds. Of two shards that meet, pairs inside one are left to the
+    meeting of that shard with itself.
+    """
+    meetings = Meetings(key, comp, excess, start, length, token, weight)
     linked = (flags & LINKED) > 0
-    # lists: those that are not linked first
-    order = np.lexsort((linked[local], name))
-    name, local, half = name[order], local[order], half[order]
+    # lists: those that are not linked first, by excess
+    order = np.lexsort((excess[local], linked[local], name))
+    name, local, at, side, half = (c[order] for c in (name, local, at, side, half))
+    group, own, tied = comp[local], excess[local], linked[local]
+    bound = 2 * S * meetings.rest(local, at) - own
     edges = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1], [True]]))
     names, comps = np.unique(comp, return_inverse=True)
     up: dict[int, int] = {}
     out: set[tuple[int, int]] = set()
-    held, size = [], 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
 
     def settle() -> None:
-        pairs = np.unique(np.concatenate(held))
-        x, y = pairs // len(key), pairs % len(key)
+        i, j = (np.concatenate(c) for c in zip(*held, strict=True))
         top = np.array([_root(up, c) for c in names.tolist()])[comps]
-        x, y = x[top[x] != top[y]], y[top[x] != top[y]]
-        shorter = length[x] <= length[y]
-        x, y = np.where(shorter, x, y), np.where(shorter, y, x)
-        for low in range(0, len(x), PAIRS):
-            i, j = x[low : low + PAIRS], y[low : low + PAIRS]
-            n = length[i]
-            at = _ragged(n, start[i])
-            want = np.repeat(j, n) * span + token[at]
-            found = np.minimum(np.searchsorted(place, want), len(place) - 1)
-            same = np.where(place[found] == want, weight[at], 0)
-            both = np.bincount(np.repeat(np.arange(len(i)), n), same, len(i))
-            for k in np.flatnonzero(2 * S * both >= excess[i] + excess[j]).tolist():
-                a, b = int(comp[i[k]]), int(comp[j[k]])
-                if _unite(up, a, b):
-                    out.add((min(a, b), max(a, b)))
+        apart = top[local[i]] != top[local[j]]
+        i, j = i[apart], j[apart]
+        new = meetings.first(local[i], local[j], at[i], at[j])
+        i, j = i[new], j[new]
+        for k in np.flatnonzero(meetings.near(local[i], local[j], at[i], at[j])).tolist():
+            a, b = int(group[i[k]]), int(group[j[k]])
+            if _unite(up, a, b):
+                out.add((min(a, b), max(a, b)))
 
     for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if high - low < 2:
+        if high - low < 2 or (group[low:high] == group[low]).all():
             continue
-        who, is_half = local[low:high], half[low:high]
-        if (comp[who] == comp[who[0]]).all():
-            continue
-        n = int((~linked[who]).sum())
-        for i in range(n):  # a member that is not linked against those after it
-            after = who[i + 1 :]
-            if is_half[i]:
-                after = after[(comp[after] != comp[who[i]]) & (is_half[i + 1 :] | linked[after])]
-            else:
-                after = who[n:][comp[who[n:]] != comp[who[i]]]
-            if len(after):
-                held.append(np.minimum(after, who[i]).astype(np.int64) * len(key) + np.maximum(after, who[i]))
-                size += len(after)
+        middle = low + int((~tied[low:high]).sum())
+        mine = bound[low:middle]
+        last = low + np.searchsorted(own[low:middle], mine, "right")
+        far = middle + np.searchsorted(own[middle:high], mine, "right")
+        for i in range(low, middle):  # a member that is not linked against those after it
+            others = np.arange(middle, far[i - low])
+            if half[i]:
+                others = np.concatenate([np.arange(i + 1, max(i + 1, last[i - low])), others])
+            fit = (group[others] != group[i]) & (own[i] <= bound[others]) & (half[others] | tied[others])
+            others = others[fit & ((side[others] == 0) | (side[others] != side[i]))]
+            if len(others):
+                held.append((np.full(len(others), i), others))
+                size += len(others)
                 if size >= PAIRS:
                     settle()
                     held, size = [], 0
@@ -313,14 +355,14 @@ def _links(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one, two = int.from_bytes(payload[:8], "little"), int.from_bytes(payload[8:16], "little")
             items.append(blobs.unpack(payload[16 : 16 + one]))
             lists.append(blobs.unpack(payload[16 + one : 16 + one + two]))
-            name, local, half = blobs.unpack(payload[16 + one + two :])
-            entries.append((name, local + known, half > 0))
+            name, local, at, side, half = blobs.unpack(payload[16 + one + two :])
+            entries.append((name, local + known, at, side, half > 0))
             known += len(items[-1][0])
         key, comp, flags, excess, length = (np.concatenate(c) for c in zip(*items, strict=True))
         token, weight = (np.concatenate(c) for c in zip(*lists, strict=True))
-        name, local, half = (np.concatenate(c) for c in zip(*entries, strict=True))
+        name, local, at, side, half = (np.concatenate(c) for c in zip(*entries, strict=True))
         start = np.cumsum(length) - length
-        found = _met(key, comp, flags, excess, start, length, token, weight, name, local, half)
+        found = _met(key, comp, flags, excess, start, length, token, weight, name, local, at, side, half)
         if found:
             a, b = zip(*sorted(found), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIR)

@@ -148,6 +148,76 @@ def test_texts_just_below_the_threshold_make_few_pairs(spark, tmp_path, monkeypa
     assert pairs[1] < 6 * pairs[0]
 
 
+def kernels(bags, comps, buckets=16):
+    """The steps of the kernels in this process: links between components of items that are not linked to the lead, item 0."""
+    gather = differences.Gather(buckets)
+    for i in range(1, len(bags)):
+        gather.add(0, i, comps[i], differences.BETWEEN, bags[0], bags[i])
+    rows = gather.flush()
+
+    def dealt(some):
+        return differences.blobs.batches(sorted(some, key=lambda r: r[:3]))
+
+    def listed(stream):
+        return [tuple(r.values()) for batch in stream for r in batch.to_pylist()]
+
+    replies = listed(differences._counted(dealt([r for r in rows if r[1] == differences.ASKED])))
+    sent = listed(differences._prefixes(buckets, dealt([r for r in rows if r[1] == differences.HELD] + replies)))
+    return listed(differences._links(dealt(sent)))
+
+
+def code_bags(rng, n):
+    """Bags of texts of 300 words with edits by words of the code: 5 shingles for each edit."""
+    out = [(np.arange(296, dtype=np.uint64), np.ones(296, np.int64))]
+    for code in rng.sample(code_words(), n):
+        e = np.arange(296, dtype=np.uint64)
+        for i in range(24):
+            if code >> i & 1:
+                e[2 + 12 * i : 7 + 12 * i] += np.uint64(1000)
+        out.append((np.sort(e), np.ones(296, np.int64)))
+    return out
+
+
+@pytest.mark.parametrize("shard", [differences.SHARD, 100])
+def test_pairs_are_compared_once_and_few_at_all(monkeypatch, shard):
+    """Of pairs just below the threshold, none is compared twice, though they share many elements and meet in many shards."""
+    monkeypatch.setattr(differences, "SHARD", shard)
+    compared, near = [], differences.Meetings.near
+
+    def noted(self, x, y, *at):
+        compared.extend(zip(np.minimum(self.ids[x], self.ids[y]).tolist(), np.maximum(self.ids[x], self.ids[y]).tolist(), strict=True))
+        return near(self, x, y, *at)
+
+    made = differences.Meetings.__init__
+    monkeypatch.setattr(differences.Meetings, "__init__", lambda self, key, *rest: (setattr(self, "ids", key), made(self, key, *rest))[1])
+    monkeypatch.setattr(differences.Meetings, "near", noted)
+    for n in (250, 500, 1000):
+        compared.clear()
+        assert kernels(code_bags(random.Random(0), n), list(range(n + 1))) == []
+        assert len(set(compared)) == len(compared)
+        assert len(compared) < n * (n - 1) // 2
+        print("compared", n, len(compared), n * (n - 1) // 2)
+
+
+@pytest.mark.parametrize("shard", [differences.SHARD, 5])
+def test_kernels_equal_brute_force(monkeypatch, shard):
+    """Components of items whose edits are common, by lists cut to small shards too."""
+    monkeypatch.setattr(differences, "SHARD", shard)
+    for seed in range(6):
+        rng = random.Random(seed)
+        bags = [(np.arange(60, dtype=np.uint64), np.ones(60, np.int64))]
+        while len(bags) < 80:
+            e = np.arange(60, dtype=np.uint64)
+            for i in rng.sample(range(30), rng.randrange(8, 14)):
+                e[i] += np.uint64(1000)
+            bags.append((np.sort(e), np.ones(60, np.int64)))
+        count = [collections.Counter(b[0].tolist()) for b in bags]
+        links = [x for x in brute_links(count) if x[0]]
+        assert not any(x[0] == 0 for x in brute_links(count))
+        want = union_find(len(bags), links)
+        assert links and union_find(len(bags), kernels(bags, list(range(len(bags))))) == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_differences_are_those_of_bags(seed):
     rng = np.random.default_rng(seed)
