@@ -13,11 +13,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = (
-    "node_id int, parent_id int, name string, length double, is_leaf boolean, depth double, pre int, post int, path array<int>"
+    "node_id int, parent_id int, name string, length double, is_leaf boolean, depth double, pre int, post int"
 )
 
 
@@ -141,23 +142,50 @@ def _quote(name: str) -> str:
 
 
 def rows(tree: Tree, include_root_length: bool = True) -> list[tuple]:
+    """Every column of ``tree_nodes`` but the paths, whose lengths add up to the leaves times the height."""
     n = len(tree.parent)
     post = list(range(n))
     for node in range(n - 1, 0, -1):
         up = tree.parent[node]
         post[up] = max(post[up], post[node])
-    depth, path, out = [0.0] * n, [()] * n, []
+    depth, out = [0.0] * n, []
     for node in range(n):
         up = tree.parent[node]
         long = tree.length[node] if up >= 0 or include_root_length else 0.0
         depth[node] = long + (depth[up] if up >= 0 else 0.0)
-        path[node] = ((node,) + path[up]) if up >= 0 else (node,)
-        out.append((node, up if up >= 0 else None, tree.name[node] or None, long, tree.leaf[node], depth[node], node, post[node], list(path[node]) if tree.leaf[node] else None))
+        out.append((node, up if up >= 0 else None, tree.name[node] or None, long, tree.leaf[node], depth[node], node, post[node]))
     return out
 
 
+def above(parent: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
+    """Each node, its parent and so on up to the root; all nodes go up one step at a time, together."""
+    who, at = np.arange(len(nodes)), np.asarray(nodes, np.int32)
+    steps = []
+    while len(at):
+        steps.append((who, at))
+        at = parent[at]
+        who, at = who[at >= 0], at[at >= 0]
+    if not steps:
+        return []
+    who, at = (np.concatenate(c) for c in zip(*steps, strict=True))
+    ends = np.cumsum(np.bincount(who, minlength=len(nodes)))
+    return np.split(at[np.argsort(who, kind="stable")], ends[:-1])
+
+
 def tree_nodes(spark: SparkSession, text: str, include_root_length: bool = True) -> DataFrame:
-    return spark.createDataFrame(rows(parse(text), include_root_length), SCHEMA)
+    """The nodes of a tree. Tasks walk up the parents for the paths of their leaves, and only if ``path`` is asked for."""
+    tree = parse(text)
+    parent = np.array(tree.parent, np.int32)
+
+    @F.pandas_udf("array<int>")
+    def path(leaf: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(leaf), dtype=object)
+        some = np.flatnonzero(leaf.notna())
+        out.iloc[some] = pd.Series(above(parent, leaf.iloc[some].to_numpy(np.int32)), dtype=object)
+        return out
+
+    nodes = spark.createDataFrame(rows(tree, include_root_length), SCHEMA)
+    return nodes.withColumn("path", path(F.when(F.col("is_leaf"), F.col("node_id"))))
 
 
 def read_newick(spark: SparkSession, path: str, include_root_length: bool = True) -> DataFrame:

@@ -59,6 +59,18 @@ def test_dense_table_rows_like_the_header(spark, tmp_path):
     assert {tuple(r) for r in long.collect()} == {("1", "T", 1.0), ("2", "T", 2.0), ("2", "U", 3.0)}
 
 
+def test_paths_of_a_chain_and_of_a_ladder(spark):
+    """A chain of 10,000 inner nodes, and leaves that hang from a chain, one at each node."""
+    paths = newick.tree_paths(newick.tree_nodes(spark, "(" * 10000 + "A:1" + "):1" * 10000 + ";"))
+    assert paths.count() == 10001
+    assert paths.distinct().count() == 10001
+    n = 600
+    ladder = "(" * n + "L0:1" + "".join(f",L{i}:1):1" for i in range(1, n + 1)) + ";"
+    got = {r["feature_id"]: r["n"] for r in newick.tree_paths(newick.tree_nodes(spark, ladder)).groupBy("feature_id").count().withColumnRenamed("count", "n").collect()}
+    assert got == {f"L{i}": n - max(i, 1) + 2 for i in range(n + 1)}
+    assert "path" not in newick.tree_nodes(spark, ladder).drop("path")._jdf.queryExecution().optimizedPlan().toString()
+
+
 class Stored(dict):
     """What the BIOM reader asks of an HDF5 file, from arrays by path."""
 

@@ -108,12 +108,12 @@ def test_linkage_against_brute_force(points):
 
 def test_neighbour_joining_recovers_an_additive_tree():
     tree = newick.parse("((A:1,B:2):1,(C:3,(D:1,E:4):2):1);")
-    paths = {r[2]: set(r[8]) for r in newick.rows(tree) if r[4]}
+    paths = {r[2]: set(newick.above(np.array(tree.parent), [r[0]])[0].tolist()) for r in newick.rows(tree) if r[4]}
     ids = sorted(paths)
     d = np.array([[sum(tree.length[e] for e in paths[a] ^ paths[b]) for b in ids] for a in ids])
     joined = C.neighbour_joining(d, ids)
     assert set(C.tree_splits(joined).values()) == set(C.tree_splits(tree).values())
-    again = {r[2]: set(r[8]) for r in newick.rows(joined) if r[4]}
+    again = {r[2]: set(newick.above(np.array(joined.parent), [r[0]])[0].tolist()) for r in newick.rows(joined) if r[4]}
     got = np.array([[sum(joined.length[e] for e in again[a] ^ again[b]) for b in ids] for a in ids])
     assert np.allclose(got, d)
 
