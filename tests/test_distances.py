@@ -213,3 +213,30 @@ def test_contributions_by_blocks(spark, monkeypatch):
                     want[f"s{i}", f"s{j}", t] = (length[t], d, length[t] * abs(d))
     assert got == want
     assert D.contributions(table.limit(0), leaves, samples).count() == 0
+
+
+@pytest.mark.parametrize("metric,alpha", [("unweighted", 0.5), ("weighted", 0.5), ("emd", 0.5), ("generalized", 0.5), ("generalized", 0.0), ("variance_adjusted", 0.5)])
+@pytest.mark.parametrize("block", [4, 256])
+def test_cells_do_not_matter(spark, monkeypatch, metric, alpha, block):
+    """Branches dealt to many small cells add up to the same distances; no kernel holds many more entries than a cell's."""
+    from pyspark.sql import functions as F
+
+    c, _, _ = random_community(spark, np.random.default_rng(5), 9)
+    m, totals = E.masses(c, metric != "unweighted"), B.totals(c.table)
+    whole = {(a, b): d for a, b, d in D.blocked(m, c.samples, metric, alpha, totals, 3.0).collect()}
+    assert len(whole) == 36
+    monkeypatch.setattr(D, "CELL", 5)
+    split = {(a, b): d for a, b, d in D.blocked(m, c.samples, metric, alpha, totals, 3.0, block).collect()}
+    assert split == {p: pytest.approx(d, abs=1e-12) for p, d in whole.items()}
+    query = c.samples.select("sample_id", (F.col("sample_ordinal") % 3 == 0).alias("is_query"))
+    want = S.neighbours(D.blocked(m, c.samples, metric, alpha, totals, 3.0).withColumn("distance", F.round("distance", 9)), c.samples, query, 3)
+    got = D.nearest(m, c.samples, query, 3, metric, alpha, totals, 3.0, block, 9)
+    assert sorted(map(tuple, got.select("query", "neighbour", "rank").collect())) == sorted(map(tuple, want.select("query", "neighbour", "rank").collect()))
+
+
+def test_blocks_meet_without_a_shuffle(spark):
+    """Cells are read where they are stored, once for each two blocks, whichever has the lesser number."""
+    cells = spark.createDataFrame([(b, c, f"{b}/{c}") for b in range(5) for c in range(2)], "b int, c int, what string").repartition(3)
+    met = D.meetings(cells, ["c"], ["what"])
+    assert "CartesianProduct" in met._jdf.queryExecution().toString() and "SortMergeJoin" not in met._jdf.queryExecution().toString()
+    assert sorted((r["i_what"], r["j_what"]) for r in met.collect()) == sorted((f"{i}/{c}", f"{j}/{c}") for c in range(2) for i in range(5) for j in range(i, 5))
