@@ -233,3 +233,26 @@ def test_streams(spark, tmp_path):
 def test_histogram(spark):
     rows = spark.createDataFrame([(float(i),) for i in range(11)], "v double")
     assert [(r["bin"], r["n"]) for r in S.histogram(rows, "v", 5).orderBy("bin").collect()] == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 3)]
+
+
+@pytest.mark.parametrize("wider,spare", [(2, 64), (1, 0)])
+def test_rarefied_rows_are_cut_where_they_are_made(spark, monkeypatch, wider, spare):
+    """The first counts by hash, of which only few are shuffled; a bound that leaves too few (1, 0) is made good."""
+    import hashlib
+    from collections import Counter
+
+    made = {}
+    keep = R.materialise
+    monkeypatch.setattr(R, "materialise", lambda df, name: made.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(R, "WIDER", wider)
+    monkeypatch.setattr(R, "SPARE", spare)
+    counts = {("a", "x"): 900, ("a", "y"): 700, ("a", "z"): 1, ("b", "x"): 6, ("b", "y"): 4, ("c", "x"): 9}
+    table = spark.createDataFrame([(s, f, float(n)) for (s, f), n in counts.items()], "sample_id string, feature_id string, value double")
+    got = {tuple(r)[:3]: r["value"] for r in R.rarefied(table, 10, 42, 3).collect()}
+    want = {}
+    for g in range(3):
+        for s in "ab":
+            lots = sorted((hashlib.md5(f"42:{g}:{s}:{f}:{k}".encode()).hexdigest(), f, k) for (t, f), n in counts.items() if t == s for k in range(1, n + 1))
+            want |= {(g, s, f): float(n) for f, n in Counter(f for _, f, _ in lots[:10]).items()}
+    assert got == want
+    assert made["lots"].count() < 3 * (10 + 200)  # of 4,833 counts
