@@ -240,3 +240,8 @@ def test_blocks_meet_without_a_shuffle(spark):
     met = D.meetings(cells, ["c"], ["what"])
     assert "CartesianProduct" in met._jdf.queryExecution().toString() and "SortMergeJoin" not in met._jdf.queryExecution().toString()
     assert sorted((r["i_what"], r["j_what"]) for r in met.collect()) == sorted((f"{i}/{c}", f"{j}/{c}") for c in range(2) for i in range(5) for j in range(i, 5))
+
+
+def test_a_race_neither_joins_nor_sorts_its_draws(spark, toy):
+    plan = H.race(B.branch_weights(E.masses(toy, False)).localCheckpoint(), 64)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "SortAggregate" not in plan
