@@ -245,3 +245,18 @@ def test_blocks_meet_without_a_shuffle(spark):
 def test_a_race_neither_joins_nor_sorts_its_draws(spark, toy):
     plan = H.race(B.branch_weights(E.masses(toy, False)).localCheckpoint(), 64)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("method", [H.dart, H.tree])
+def test_sketches_hold_few_branches_at_a_time(monkeypatch, method):
+    """The same signature whatever the parts, and memory that does not grow with cells."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    edges, weights = rng.choice(1 << 40, 60_000, replace=False), rng.gamma(0.3, 1, 60_000) + 1e-9
+    tracemalloc.start()
+    want = method(edges, weights, 64, 3)
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20  # of darts: 88 MB in one piece
+    tracemalloc.stop()
+    monkeypatch.setattr(H, "PART", 7_001)
+    assert (method(edges, weights, 64, 3) == want).all()
