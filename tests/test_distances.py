@@ -260,3 +260,21 @@ def test_sketches_hold_few_branches_at_a_time(monkeypatch, method):
     tracemalloc.stop()
     monkeypatch.setattr(H, "PART", 7_001)
     assert (method(edges, weights, 64, 3) == want).all()
+
+
+def test_pairs_and_contributions_of_many_blocks_are_not_dealt(spark, monkeypatch):
+    """Rows of samples are shuffled once and not for every block, whatever the blocks; every pair stays."""
+    monkeypatch.setattr(D, "CONTRIBUTION_BLOCK", 2)
+    monkeypatch.setattr(D, "PAIRED", 3)
+    samples = spark.createDataFrame([(f"s{i:02d}", i) for i in range(14)], "sample_id string, sample_ordinal int")
+    table = spark.createDataFrame([(f"s{i:02d}", f"t{i % 4}", 1.0) for i in range(14)], "sample_id string, feature_id string, value double")
+    leaves = spark.createDataFrame([(f"t{k}", 0.5) for k in range(4)], "feature_id string, length double")
+    want = {(f"s{i:02d}", f"s{j:02d}") for i, j in itertools.combinations(range(14), 2)}
+    pairs = D.sample_pairs(samples)
+    assert sorted(map(tuple, pairs.select("sample_i", "sample_j").collect())) == sorted(want)
+    rows = D.contributions(table, leaves, samples)
+    got = {tuple(r)[:4] for r in rows.select("sample_i", "sample_j", "taxon", "contribution").collect()}
+    assert got == {(i, j, f"t{int(s[1:]) % 4}", 0.5) for i, j in want for s in (i, j) if int(i[1:]) % 4 != int(j[1:]) % 4}
+    for frame in (pairs, rows):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
