@@ -18,8 +18,10 @@ text alone, shared with nobody: texts whose shared ones do not reach the bound a
 3. Items that meet are compared in the first element that they share, if what both lists weigh from there on reaches
    the bound of the two. Links that join components go on.
 
-Lists of items that have a common element are cut to shards of bounded length, and shards meet two by two; no list,
-partner or candidate is capped. Elements are told apart by 64-bit hashes, as in all comparisons of texts.
+Elements are named after their group, so only items of one group meet: an item's list goes to its group's cell once, and
+not to a place for each of its elements, which would send it as often as it is long. Groups of many items or shingles are
+cut to shards of bounded size, and shards meet two by two, a cell for each two; no list, partner or candidate is capped.
+Elements are told apart by 64-bit hashes, as in all comparisons of texts.
 """
 
 from __future__ import annotations
@@ -45,9 +47,9 @@ S, T = SIMILAR[1] + SIMILAR[0], SIMILAR[1] - SIMILAR[0]
 
 ASKED, HELD, REPLY, LIST = range(4)
 LINKED, BETWEEN, HALF = 1, 2, 4
-#: Elements of one chunk, elements for which there is a bucket, items of one shard, pairs settled at once, lookups of one
-#: array operation.
-FLUSH, BUCKET_ELEMENTS, SHARD, PAIRS, LOOKUPS = 1 << 19, 1 << 20, 4096, 1 << 17, 1 << 22
+#: Elements of one chunk, elements for which there is a bucket, items of one shard and shingles of theirs and their leads,
+#: pairs settled at once, lookups of one array operation.
+FLUSH, BUCKET_ELEMENTS, SHARD, SHARD_ELEMENTS, PAIRS, LOOKUPS = 1 << 19, 1 << 20, 4096, 1 << 22, 1 << 17, 1 << 22
 
 U64 = np.uint64
 Bag = tuple[np.ndarray, np.ndarray]
@@ -95,12 +97,12 @@ class Gather:
         self.names: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, lead: int, key: int, comp: int, flags: int, a: Bag, b: Bag) -> None:
+    def add(self, lead: int, key: int, comp: int, flags: int, a: Bag, b: Bag, shards: int = 1) -> None:
         names = difference(a, b)
         n = int(b[1].sum())
         excess, size = S * len(names) - T * n, int(a[1].sum())
         reach = 2 * excess - 2 * T * (min(n, size) * SIMILAR[1] // SIMILAR[0])
-        self.items.append((lead, key, comp, flags, excess, T * size, reach))
+        self.items.append((lead, key, comp, flags, excess, T * size, reach, shards))
         self.names.append(tk.mix(names ^ tk.mix(np.array([lead], np.int64).view(U64))))
         self.size += len(names) + 8
 
@@ -127,7 +129,7 @@ class Gather:
         sums = total[np.append(at[1:], len(order))] - total[at]
         bucket = (each % U64(self.buckets)).astype(np.int64)
         rows = self.sender.deal(ASKED, bucket, each, own, sums, np.full(len(each), home, np.int64))
-        about = blobs.pack(key, *items, count)
+        about = blobs.pack(lead, key, *items, count)
         rows.append(self.sender.row(home, HELD, b"".join([len(about).to_bytes(8, "little"), about, blobs.pack(names)])))
         self.flushed += 1
         self._clear()
@@ -153,7 +155,7 @@ def _counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(buckets: int, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each item's weighted shared elements, sent to the buckets of those that reach its bound."""
+    """Each item's weighted shared elements, sent to the cells of its group if they reach its bound."""
     sender = blobs.Sender()
     for _, parts in blobs.by_bucket(stream):
         held, replies = [], []
@@ -175,7 +177,7 @@ def _prefixes(buckets: int, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 
 
 def _sent(sender, buckets, items, count, body, names, owners, tokens) -> list[tuple[int, int, int, bytes]]:
-    key, comp, flags, excess, base, reach = items
+    lead, key, comp, flags, excess, base, reach, shards = items
     at = np.minimum(np.searchsorted(names, body), len(names) - 1)
     hit = names[at] == body
     item, at = np.repeat(np.arange(len(key)), count)[hit], at[hit]
@@ -200,32 +202,26 @@ def _sent(sender, buckets, items, count, body, names, owners, tokens) -> list[tu
     go = half | (some[item] & (2 * S * left >= reach[item]))
     if not go.any():
         return []
-    # shards of long lists
-    shards = (df[go] + SHARD - 1) // SHARD
-    which = np.flatnonzero(go)
-    mine = (tk.mix(key[item[which]].view(U64)) % shards.astype(U64)).astype(np.int64)
-    cells = np.repeat(np.arange(len(which)), shards)
-    other = _ragged(shards, np.zeros(len(shards), np.int64))
-    low, high = np.minimum(mine[cells], other), np.maximum(mine[cells], other)
-    name = tk.mix(token[which[cells]] ^ tk.mix((low.astype(U64) << U64(32)) | high.astype(U64)))
-    side = np.where(low == high, 0, np.where(mine[cells] == low, 1, 2))
-    entry_item, entry_at, entry_half = item[which[cells]], (which - begins[item[which]])[cells], half[which[cells]]
-    bucket = (name % U64(buckets)).astype(np.int64)
+    # an item meets its group in a cell for each other shard
+    mark = go + half.astype(np.uint8)
+    some = np.flatnonzero(np.bincount(item[go], minlength=len(key)))
+    mine = (tk.mix(key[some].view(U64)) % shards[some].astype(U64)).astype(np.int64)
+    who, mine, other = np.repeat(some, shards[some]), np.repeat(mine, shards[some]), _ragged(shards[some], np.zeros(len(some), np.int64))
+    low, high = np.minimum(mine, other), np.maximum(mine, other)
+    cell = tk.mix(tk.mix(lead[who].view(U64)) ^ ((low.astype(U64) << U64(32)) | high.astype(U64)))
+    side = np.where(low == high, 0, np.where(mine == low, 1, 2))
+    bucket = (cell % U64(buckets)).astype(np.int64)
     rows = []
-    order = np.lexsort((name, entry_item, bucket))
+    order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
     for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        own = order[x:y]
-        who, local = np.unique(entry_item[own], return_inverse=True)
-        length = ends[who] - begins[who]
-        lists = _ragged(length, begins[who])
-        parts = (
-            blobs.pack(key[who], comp[who], flags[who], excess[who], length),
-            blobs.pack(token[lists], weight[lists]),
-            blobs.pack(name[own], local.astype(np.int64), entry_at[own], side[own], entry_half[own].astype(np.int64)),
-        )
-        payload = b"".join([len(parts[0]).to_bytes(8, "little"), len(parts[1]).to_bytes(8, "little"), *parts])
-        rows.append(sender.row(int(bucket[own[0]]), LIST, payload))
+        at = order[x:y]
+        own = who[at]
+        length = ends[own] - begins[own]
+        lists = _ragged(length, begins[own])
+        about = blobs.pack(key[own], comp[own], flags[own], excess[own], length, cell[at], side[at])
+        payload = b"".join([len(about).to_bytes(8, "little"), about, blobs.pack(token[lists], weight[lists], mark[lists])])
+        rows.append(sender.row(int(bucket[at[0]]), LIST, payload))
     return rows
 
 
@@ -350,40 +346,49 @@ PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _links(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, parts in blobs.by_bucket(stream):
-        items, lists, entries, known = [], [], [], 0
+        items, lists = [], []
         for _, payload in parts:
-            one, two = int.from_bytes(payload[:8], "little"), int.from_bytes(payload[8:16], "little")
-            items.append(blobs.unpack(payload[16 : 16 + one]))
-            lists.append(blobs.unpack(payload[16 + one : 16 + one + two]))
-            name, local, at, side, half = blobs.unpack(payload[16 + one + two :])
-            entries.append((name, local + known, at, side, half > 0))
-            known += len(items[-1][0])
-        key, comp, flags, excess, length = (np.concatenate(c) for c in zip(*items, strict=True))
-        token, weight = (np.concatenate(c) for c in zip(*lists, strict=True))
-        name, local, at, side, half = (np.concatenate(c) for c in zip(*entries, strict=True))
+            cut = 8 + int.from_bytes(payload[:8], "little")
+            items.append(blobs.unpack(payload[8:cut]))
+            lists.append(blobs.unpack(payload[cut:]))
+        key, comp, flags, excess, length, cell, side = (np.concatenate(c) for c in zip(*items, strict=True))
+        token, weight, mark = (np.concatenate(c) for c in zip(*lists, strict=True))
         start = np.cumsum(length) - length
+        entry = np.flatnonzero(mark)
+        local = np.repeat(np.arange(len(key)), length)[entry]
+        name, at, side, half = tk.mix(token[entry] ^ cell[local]), entry - start[local], side[local], mark[entry] > 1
         found = _met(key, comp, flags, excess, start, length, token, weight, name, local, at, side, half)
         if found:
             a, b = zip(*sorted(found), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIR)
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "src")
+def _dealt(rows: DataFrame, width: int | None = None) -> DataFrame:
+    dealt = rows.repartition(width, "bucket") if width else rows.repartition("bucket")
+    return dealt.sortWithinPartitions("bucket", "kind", "src")
 
 
 def links(held: DataFrame, verifier: Verifier) -> DataFrame | None:
-    """``a, b``: components that near duplicates among ``a, b, comp, linked, between, a_size, b_size`` join, or None."""
+    """``a, b``: components that near duplicates join among ``a, b, comp, linked, between, a_size, b_size, n, weight``, or None.
+
+    ``n`` and ``weight`` are the group's items and the sum of all ``a_size`` and ``b_size`` in it.
+    """
+    spark = held.sparkSession
     known = held.agg(F.sum(F.col("a_size") + F.col("b_size"))).first()[0]
     if not known:
         return None
     buckets = max(16, int(known) // BUCKET_ELEMENTS)
     flags = F.when(F.col("linked"), LINKED).otherwise(0) + F.when(F.col("between"), BETWEEN).otherwise(0)
-    rows = verifier.differences(held.select("a", "b", "comp", flags.cast("long").alias("flags")), lambda: Gather(buckets))
+    shards = F.greatest(F.ceil(F.col("n") / SHARD), F.ceil(F.col("weight") / SHARD_ELEMENTS))
+    since = workspace.mark()
+    rows = verifier.differences(held.select("a", "b", "comp", flags.cast("long").alias("flags"), shards.cast("long").alias("shards")), lambda: Gather(buckets))
     rows = workspace.materialise(rows, "differences", "kind")
     asked = rows.filter(F.col("kind") == ASKED).select("bucket", "kind", "src", "payload")
     replies = workspace.arrow_map(_dealt(asked), _counted, blobs.SCHEMA)
     kept = rows.filter(F.col("kind") == HELD).select("bucket", "kind", "src", "payload")
     sent = workspace.arrow_map(_dealt(kept.unionByName(replies)), lambda b: _prefixes(buckets, b), blobs.SCHEMA)
-    found = workspace.materialise(workspace.arrow_map(_dealt(sent), _links, "a long, b long").distinct(), "links")
+    # lists are small for the work that they make: their partitions are not joined by size
+    sent = _dealt(sent, min(buckets, workspace.shuffle_width(spark)))
+    found = workspace.materialise(workspace.arrow_map(sent, _links, "a long, b long").distinct(), "links")
+    workspace.discard(spark, since)
     return None if found.isEmpty() else found

@@ -191,11 +191,14 @@ def removed_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def dedup_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Per row of ``docs`` key, n_lines, n_removed, kept_sha256, kept_text (null: unchanged), and for each line removed its
     number and the key and number of the one that stays for it."""
+    since = workspace.mark()
     gone = removed_lines(docs, text_col)
     own = docs.select(F.col("__key").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     place = F.struct(F.col("pos").cast("int").alias("line_no"), "kept_key", F.col("kept_pos").cast("int").alias("kept_line_no"))
     per_doc = gone.groupBy("key").agg(F.sort_array(F.collect_list(place)).alias("removed"))
-    rows = own.join(workspace.materialise(per_doc, "gone").hint("merge"), "key", "left").select("key", "text", F.coalesce("removed", F.array().cast(REMOVED)).alias("removed"))
+    per_doc = workspace.materialise(per_doc, "gone")
+    workspace.discard(docs.sparkSession, since)
+    rows = own.join(per_doc.hint("merge"), "key", "left").select("key", "text", F.coalesce("removed", F.array().cast(REMOVED)).alias("removed"))
     return workspace.arrow_map(rows, cut_rows, f"key long, n_lines long, n_removed long, kept_sha256 string, kept_text string, removed {REMOVED}")
 
 

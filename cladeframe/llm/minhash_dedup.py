@@ -131,10 +131,10 @@ def difference_rows(shingles: Callable, as_sets: bool, gather: Callable[[], diff
     held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     to = gather()
     for batch in batches:
-        a, b, comp, flags = (batch.column(c).to_pylist() for c in ("a", "b", "comp", "flags"))
+        a, b, comp, flags, shards = (batch.column(c).to_pylist() for c in ("a", "b", "comp", "flags", "shards"))
         bags = bags_of(shingles, as_sets, batch, held)
-        for x, y, c, f in zip(a, b, comp, flags, strict=True):
-            to.add(x, y, c, f, bags[x], bags[y])
+        for x, y, c, f, s in zip(a, b, comp, flags, shards, strict=True):
+            to.add(x, y, c, f, bags[x], bags[y], s)
             if to.full():
                 yield from blobs.batches(to.flush())
         held = {k: bags[k] for k in a[-1:]}

@@ -211,7 +211,8 @@ def classes(signed: DataFrame, shared: DataFrame, verifier: Verifier, alone: boo
     placed = placed.withColumns({"comp": F.coalesce("comp", "b"), "a_comp": F.coalesce("a_comp", "a")})
     held = workspace.materialise(_open(workspace.materialise(placed, "placed"), near[0] / near[1] - 1e-9), "held")
     # where two or three members are left, they are compared as they are
-    count = workspace.materialise(held.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "count")
+    count = held.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a_size") + F.col("b_size")).alias("weight"))
+    count = workspace.materialise(count, "count")
     held = held.join(count, "a")
     few = held.filter(F.col("n") <= FEW).select("a", "b", "comp", "linked")
     two = few.join(few.select("a", *(F.col(c).alias(f"{c}2") for c in ("b", "comp", "linked"))), "a")

@@ -5,11 +5,13 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cladeframe.llm import components, differences, line_dedup, minhash_dedup, poisson
+from cladeframe.llm import components, differences, line_dedup, minhash_dedup, poisson, workspace
 
 
 def union_find(n, links):
@@ -218,6 +220,54 @@ def test_kernels_equal_brute_force(monkeypatch, shard):
         assert links and union_find(len(bags), kernels(bags, list(range(len(bags))))) == want
 
 
+def test_lists_are_sent_once_to_their_group(monkeypatch):
+    """What items of a group send to meet follows their lists, not the number of elements in each."""
+    sent, links = [], differences._links
+    monkeypatch.setattr(differences, "_links", lambda stream: links(sent.append(list(stream)) or sent[-1]))
+    code = code_bags(random.Random(0), 1000)
+    mb = {}
+    for n in (250, 1000):
+        sent.clear()
+        assert kernels(code[: n + 1], list(range(n + 1)), buckets=64) == []
+        mb[n] = sum(len(p.as_py()) for batch in sent[0] for p in batch.column("payload")) / 1e6
+    lists = sum(len(differences.difference(code[0], b)) for b in code[1:]) // 5  # the five shingles of an edit are one
+    assert mb[1000] < lists * 16 / 1e6
+    assert mb[1000] < 5 * mb[250]
+
+
+@pytest.mark.parametrize("shards", [1, 4, 30])
+def test_groups_in_shards_equal_brute_force(monkeypatch, shards):
+    """Items of two groups in the same buckets, each group cut to shards: no link is lost, and none between groups."""
+    add = differences.Gather.add
+    monkeypatch.setattr(differences.Gather, "add", lambda self, lead, key, *rest: add(self, key % 2, key, *rest, shards))
+    for seed in range(3):
+        rng = random.Random(seed)
+        bags = [(np.arange(60, dtype=np.uint64), np.ones(60, np.int64))]
+        while len(bags) < 120:
+            e = np.arange(60, dtype=np.uint64)
+            for i in rng.sample(range(30), rng.randrange(8, 14)):
+                e[i] += np.uint64(1000)
+            bags.append((np.sort(e), np.ones(60, np.int64)))
+        links = [x for x in brute_links([collections.Counter(b[0].tolist()) for b in bags]) if x[0] and x[0] % 2 == x[1] % 2]
+        assert links and union_find(len(bags), kernels(bags, list(range(len(bags))), buckets=4)) == union_find(len(bags), links)
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    """A table written for a later step leaves no shuffle files, and the session's setting is as before."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    known = lambda: spark._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    had = known()
+    workspace.materialise(rows, "few")
+    for _ in range(50):  # files are removed beside the job
+        if known() <= had:
+            break
+        time.sleep(0.1)
+    assert known() <= had
+    assert spark.conf.get(setting, None) == before
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_differences_are_those_of_bags(seed):
     rng = np.random.default_rng(seed)
