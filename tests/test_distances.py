@@ -278,3 +278,16 @@ def test_pairs_and_contributions_of_many_blocks_are_not_dealt(spark, monkeypatch
     for frame in (pairs, rows):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_contributions_leave_in_runs(spark):
+    """By taxon, sample and the other's mass: equal differences of a sample follow one another, so stored results are small."""
+    table = spark.createDataFrame([(f"s{i}", f"t{k}", float(v)) for i in range(8) for k, v in ((0, i % 3 + 1), (1, i % 2 + 1))], "sample_id string, feature_id string, value double")
+    leaves = spark.createDataFrame([("t0", 0.5), ("t1", 2.0)], "feature_id string, length double")
+    samples = spark.createDataFrame([(f"s{i}", i) for i in range(8)], "sample_id string, sample_ordinal int")
+    rows = D.contributions(table, leaves, samples).collect()
+    want = {(i, j, t) for i, j in itertools.combinations(range(8), 2) for t, n in (("t0", 3), ("t1", 2)) if i % n != j % n}
+    assert sorted((int(r[0][1:]), int(r[1][1:]), r[2]) for r in rows) == sorted(want)
+    groups = [(key, [r["signed_mass_difference"] for r in own]) for key, own in itertools.groupby(rows, lambda r: (r["taxon"], r["sample_i"]))]
+    assert len({key for key, _ in groups}) == len(groups)
+    assert all(signed == sorted(signed, reverse=True) for _, signed in groups)
