@@ -291,3 +291,19 @@ def test_contributions_leave_in_runs(spark):
     groups = [(key, [r["signed_mass_difference"] for r in own]) for key, own in itertools.groupby(rows, lambda r: (r["taxon"], r["sample_i"]))]
     assert len({key for key, _ in groups}) == len(groups)
     assert all(signed == sorted(signed, reverse=True) for _, signed in groups)
+
+
+def test_tasks_hold_few_cells(spark, tmp_path, monkeypatch):
+    """Stored cells are as large as they are in memory, in row groups of few cells, and partitions of them are bounded."""
+    import pyarrow.parquet as pq
+
+    from cladeframe import session
+
+    stored = session.materialise(spark.range(0, 8, 1, 1).selectExpr("id", "cast(repeat('x', 1000000) as binary) as v"), "long", block_bytes=2 << 20)
+    metadata = pq.ParquetFile(next(f for f in stored.inputFiles()).removeprefix("file://")).metadata
+    assert metadata.num_row_groups > 2 and metadata.row_group(0).column(1).total_compressed_size > 1_000_000
+    c, _, _ = random_community(spark, np.random.default_rng(4), 23)
+    monkeypatch.setattr(session, "READ_BYTES", 4 << 20)
+    assert D.blocked(E.masses(c, True), c.samples, "weighted", block=4).count() == 253
+    assert int(spark.conf.get("spark.sql.files.maxPartitionBytes")) <= 4 << 20
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
