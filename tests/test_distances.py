@@ -307,3 +307,32 @@ def test_tasks_hold_few_cells(spark, tmp_path, monkeypatch):
     assert D.blocked(E.masses(c, True), c.samples, "weighted", block=4).count() == 253
     assert int(spark.conf.get("spark.sql.files.maxPartitionBytes")) <= 4 << 20
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_rejection_sampling_has_no_limit_of_branches(spark, monkeypatch, weighted):
+    """The signatures of one line of all caps, though no table of branches is sent to the driver or to tasks."""
+    monkeypatch.setattr(H, "BROADCAST_ROWS", 3, raising=False)
+    c, _, names = random_community(spark, np.random.default_rng(8), 12)
+    k, length, seed = 64, 600, 5
+    rows = B.branch_weights(E.masses(c, weighted)).select("sample_id", "edge_id", "weight").collect()
+    got = {r["sample_id"]: r["signature"] for r in H.sketches(spark.createDataFrame(rows), c.samples, k, "ers", seed, 64, length).collect()}
+    edges = sorted({r["edge_id"] for r in rows})
+    cap = np.array([max(r["weight"] for r in rows if r["edge_id"] == e) for e in edges])
+    line = np.cumsum(cap)
+    at = H._unit(H.mix((np.arange(k)[:, None] * (1 << 20) + np.arange(length)).astype(np.uint64) ^ H.mix(np.full(1, (seed << 8) + 3, np.uint64)))) * line[-1]
+    on = np.minimum(np.searchsorted(line, at), len(line) - 1)
+    high = at - (line[on] - cap[on])
+    assert sorted(got) == sorted(names)
+    for name in names:
+        weight = {r["edge_id"]: r["weight"] for r in rows if r["sample_id"] == name}
+        hit = high < np.array([weight.get(e, 0.0) for e in edges])[on]
+        first = np.where(hit.any(axis=1), hit.argmax(axis=1), -1)
+        want = np.zeros(k, np.int64)
+        if hit.any():
+            for slot in range(k):
+                own, turn = slot, 0
+                while first[own] < 0:
+                    own, turn = int(H.mix(np.full(1, slot * 65537 + turn, np.uint64))[0] % np.uint64(k)), turn + 1
+                want[slot] = H.mix(np.full(1, first[own] + (0 if own == slot else (own + 1) * length), np.uint64)).view(np.int64)[0]
+        assert got[name] == want.tolist()
